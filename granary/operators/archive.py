@@ -19,13 +19,12 @@ def on_date(df: DataFrame, column: str, day: dt.date) -> DataFrame:
 
 
 def on_planned_dates(source: DataFrame, column: str, plan: DataFrame) -> DataFrame:
-    """Rows of all planned dates at once, with ``as_of_date`` and ``date_type``.
+    """Rows of all planned dates at once, with their date as ``archive_date``.
 
     The plan has one row per date, so it broadcasts below Spark's size limit.
     """
-    return source.withColumn("as_of_date", F.to_date(F.col(column))).join(
-        plan.select("as_of_date", "date_type"), "as_of_date"
-    )
+    days = plan.select(F.col("as_of_date").alias("archive_date"))
+    return source.withColumn("archive_date", F.to_date(F.col(column))).join(days, "archive_date")
 
 
 def content_slice(keys: list[str], digits: int = 3) -> tuple[list[Column], Column]:
@@ -54,12 +53,13 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def assign_parts(
-    df: DataFrame, by: tuple[list[Column], Column], rows_per_part: int = ROWS_PER_PART
+    df: DataFrame, by: tuple[list[Column], Column], rows_per_part: int = ROWS_PER_PART,
+    date: str = "as_of_date",
 ) -> DataFrame:
-    """Add the 1-based ``part_index`` per ``as_of_date``; each date fills
+    """Add the 1-based ``part_index`` per date; each date fills
     ceil(rows / rows_per_part) parts, all full but the last."""
     order, slices = by
-    numbered = number_rows(df, ["as_of_date"], order, slices)
+    numbered = number_rows(df, [date], order, slices)
     index = F.floor((F.col("row_no") - 1) / F.lit(rows_per_part)) + 1
     return numbered.withColumn("part_index", index.cast("int")).drop("row_no")
 
@@ -144,12 +144,12 @@ def as_archival_files(rows: DataFrame) -> DataFrame:
 
 
 def run_details(
-    decisions: DataFrame, exported: DataFrame, deleted: DataFrame, run_id: int
+    decisions: DataFrame, exported: DataFrame, deletions: DataFrame, run_id: int
 ) -> DataFrame:
     """Run-detail rows: skipped dates, exports and deletions, as one table.
 
-    ``exported`` has as_of_date, row_count, part_count, file_path per date; ``deleted``
-    expected and actual rows per date. Dates to export without rows count as skipped.
+    ``exported`` has row_count, part_count and file_path per date; ``deletions`` comes from
+    :func:`delete_reconcile`. Dates to export without rows count as skipped.
     """
     key = [CONFIG, "as_of_date"]
     skipped = F.col("decision") == "Skipped"
@@ -163,16 +163,26 @@ def run_details(
         F.when(~skipped & (F.col("part_count") == 1), F.col("file_path")).alias("file_path"),
         F.when(skipped, F.col("message")).when(empty, MSG_EMPTY).alias("error_message"),
     )
-    deletions = (
-        delete_reconcile(deleted)
-        .join(decisions.where(~skipped).select(*key, "date_type"), key)
-        .select(
-            *key, "date_type", F.lit("Delete").alias("phase"), "status",
-            F.col("actual_rows").alias("rows_affected"),
-            F.lit(None).cast("string").alias("file_path"), "error_message",
-        )
+    deletes = deletions.join(decisions.where(~skipped).select(*key, "date_type"), key).select(
+        *key, "date_type", F.lit("Delete").alias("phase"), "status",
+        F.col("actual_rows").alias("rows_affected"),
+        F.lit(None).cast("string").alias("file_path"), "error_message",
+    )
+    return _as_run_details(exports.unionByName(deletes), run_id)
+
+
+def failed_details(decisions: DataFrame, run_id: int, phase: str, error: str) -> DataFrame:
+    """Run-detail rows of a phase that failed for all dates to export."""
+    failed = decisions.where("decision = 'Export'").select(
+        CONFIG, "as_of_date", "date_type", F.lit(phase).alias("phase"),
+        F.lit("Failed").alias("status"), F.lit(None).alias("rows_affected"),
+        F.lit(None).alias("file_path"), F.lit(error).alias("error_message"),
     )
-    out = exports.unionByName(deletions).withColumn("run_id", F.lit(run_id).cast("long"))
+    return _as_run_details(failed, run_id)
+
+
+def _as_run_details(rows: DataFrame, run_id: int) -> DataFrame:
+    out = rows.withColumn("run_id", F.lit(run_id))
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RUN_DETAIL])
 
 

@@ -156,10 +156,19 @@ FX = {
         FROM tiered t JOIN due d ON d.id = t.id WHERE d.page_rank <= 5000""",
 }
 
+# The same retention over months instead of days.
+FX["months"] = "SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders"
+for _name, _base in (("typed_m", "typed"), ("ranked_m", "ranked"), ("decided_m", "decided")):
+    FX[_name] = FX[_base].replace("dts", "months").replace("FROM typed", "FROM typed_m").replace(
+        "FROM ranked", "FROM ranked_m")
+FX["by_month"] = """
+    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1"""
+
 # Which fixtures build on which.
 NEEDS = {
     "typed": ["dts"], "ranked": ["typed"], "decided": ["ranked", "fx_file", "fx_exemption"],
     "part_plan": ["ship_parts"], "cutoffs": ["life", "conf"], "tiered": ["fx_file", "conf", "life"],
+    "typed_m": ["months"], "ranked_m": ["typed_m"], "decided_m": ["ranked_m", "fx_file", "fx_exemption"],
     "due": ["fx_file", "cutoffs"], "acts": ["tiered", "due"],
 }
 
@@ -308,6 +317,11 @@ _THRESHOLDS = " UNION ALL ".join(
     for kind, prefix in schemas.THRESHOLD_PREFIX.items() for action in schemas.TIER_ACTIONS
 )
 
+_ROUTED = """
+    SELECT CASE string_split(value, '|')[1] WHEN '06' THEN 'product' WHEN '07' THEN 'inventory'
+             WHEN '09' THEN 'trade' WHEN '12' THEN 'deals' WHEN '99' THEN '_unrouted' ELSE '_blank' END AS table_name,
+           count(*) AS n
+    FROM fx_feed GROUP BY 1"""
 _SEARCH = "regexp_matches(text, '(?i)licen[cs]e')"
 _LINES = "string_split_regex(text, '\\r\\n|\\r|\\n')"
 
@@ -512,4 +526,40 @@ ORACLES: dict[str, str] = {
         SELECT r_name AS parent_name, n_name AS child_name, s_name AS object_name
         FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey
         ORDER BY 1, 2, 3""",
+    # Queries that write and read back.
+    "write_parts": _with("by_month", """
+        SELECT d AS as_of_date, CAST(unnest(generate_series(1, (n + 499) // 500)) AS INTEGER) AS part_index,
+               least(500, n - 500 * (unnest(generate_series(1, (n + 499) // 500)) - 1)) AS row_count
+        FROM by_month"""),
+    "read_parts": "SELECT * FROM orders",
+    "archive_job": _with("decided_m by_month", """
+        SELECT CAST(77 AS BIGINT) AS run_id, 10 AS table_configuration_id, d AS as_of_date, kind AS date_type,
+               'Export' AS phase, CASE WHEN message IS NULL THEN 'Success' ELSE 'Skipped' END AS status,
+               CASE WHEN message IS NULL THEN n ELSE 0 END AS rows_affected,
+               CASE WHEN message IS NULL AND n <= 500 THEN '/TestDb/dbo/transactions/'
+                 || strftime(d, '%Y/%m/%d') || '.part-00001.parquet' END AS file_path,
+               message AS error_message
+        FROM decided_m JOIN by_month USING (d)
+        UNION ALL
+        SELECT 77, 10, d, kind, 'Delete', 'Success', n, NULL, NULL
+        FROM decided_m JOIN by_month USING (d) WHERE message IS NULL"""),
+    "archive_job_survivors": _with("decided_m by_month", """
+        SELECT d AS as_of_date, n FROM by_month
+        WHERE d NOT IN (SELECT d FROM decided_m WHERE message IS NULL)"""),
+    "ingest_job": _with("fx_feed", _ROUTED),
+    "stream_ingest": _with("fx_feed", _ROUTED),
+    "tee_archive": _with("fx_feed", "SELECT value FROM fx_feed"),
+    "stream_discovery_job": """
+        SELECT DISTINCT 20 AS table_configuration_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS as_of_date,
+               'EXT' AS date_type, 'Active' AS status, CAST(1 AS BIGINT) AS objects, CAST(1 AS BIGINT) AS sized
+        FROM orders""",
+    "staging_job": _with("fx_template", """
+        SELECT CAST(Year AS INTEGER) AS year, CAST(Month AS INTEGER) AS month, 2 * count(*) AS n,
+               CAST(2 * sum(CAST(FundId AS INTEGER)) AS BIGINT) AS fund_id_sum
+        FROM fx_template WHERE FundId NOT LIKE 'x%' AND Return <> '' GROUP BY 1, 2"""),
+    "rollback_job": "SELECT DATE '2000-06-30' AS created_on, CAST(1 AS BIGINT) AS run_id, count(*) AS n FROM orders",
+    "untyped_sheets": _with("fx_template", """
+        SELECT FundId, count(*) AS n, count(*) FILTER (Return <> '') AS returns FROM fx_template GROUP BY 1"""),
 }
+ORACLES["provider_deals_job"] = ORACLES["provider_deals"]
+ORACLES["lifecycle_job"] = ORACLES["lifecycle_actions"]

@@ -209,7 +209,7 @@ def run_detail_plan(spark, sf):
         F.when(F.dayofmonth("as_of_date") == 1, F.col("row_count") - 1)
         .otherwise(F.col("row_count")).alias("actual_rows"),
     )
-    return archive.run_details(decisions, exported, deleted, fx.RUN_ID)
+    return archive.run_details(decisions, exported, archive.delete_reconcile(deleted), fx.RUN_ID)
 
 
 @query

@@ -22,16 +22,20 @@ from granary.sinks.publish import (
 def write_parts(
     df: DataFrame, path: str, by, rows_per_part: int = ROWS_PER_PART, empty_part: bool = False
 ) -> str:
-    """Snappy Parquet below ``as_of_date=/part_index=``, one file per part.
+    """Snappy Parquet below ``archive_date=/part_index=``, one file per part.
 
-    A part is one task's work, so a date with many rows spreads over many tasks. With
-    ``empty_part`` an input without rows leaves a single schema-only file.
+    Rows carry their date as ``archive_date``. A part is one task's work, so a date with
+    many rows spreads over many tasks. With ``empty_part`` an input without rows leaves a
+    single schema-only file.
     """
+    key = ["archive_date", "part_index"]
+
     def write(staged: str) -> None:
-        parts = assign_parts(df, by, rows_per_part).repartition("as_of_date", "part_index")
-        parts.write.partitionBy("as_of_date", "part_index").parquet(staged)
-        if empty_part and not any("as_of_date=" in c for c in children(df.sparkSession, staged)):
-            empty = df.sparkSession.createDataFrame([], df.schema).coalesce(1)
+        parts = assign_parts(df, by, rows_per_part, "archive_date").drop("source_file", "source_row")
+        parts.repartition(*key).write.partitionBy(*key).parquet(staged)
+        if empty_part and not any("archive_date=" in c for c in children(df.sparkSession, staged)):
+            columns = df.drop("archive_date", "source_file", "source_row").schema
+            empty = df.sparkSession.createDataFrame([], columns).coalesce(1)
             empty.write.mode("overwrite").parquet(staged)
 
     return publish_new(df.sparkSession, path, write)
@@ -40,11 +44,11 @@ def write_parts(
 def read_part_files(spark: SparkSession, path: str) -> DataFrame:
     """Date, index, file, bytes and rows of the written parts; reads no data column."""
     schema = T.StructType([
-        T.StructField("as_of_date", T.DateType()), T.StructField("part_index", T.IntegerType()),
+        T.StructField("archive_date", T.DateType()), T.StructField("part_index", T.IntegerType()),
     ])
     files = spark.read.schema(schema).parquet(path)
     return files.groupBy(
-        "as_of_date", "part_index",
+        F.col("archive_date").alias("as_of_date"), "part_index",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size_bytes"),
     ).agg(F.count(F.lit(1)).alias("row_count"))
