@@ -12,28 +12,20 @@ def path_segments(path: Column) -> Column:
     return F.filter(F.split(path, r"[/\\]"), lambda x: x != "")
 
 
-def date_in_path(path: Column) -> Column:
-    """First position holding yyyy/MM/dd segments or one yyyy-MM-dd segment.
-
-    An impossible date falls through to the next position.
-    """
-    parts = path_segments(path)
+# Whole segments only: three of them as yyyy/MM/dd, or one as yyyy-MM-dd.
+_SEPARATOR = r"[/\\]+"
+_DATED = (
+    r"(?<![^/\\])("
+    rf"[0-9]{{4}}{_SEPARATOR}[0-9]{{2}}{_SEPARATOR}[0-9]{{2}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}"
+    r")(?![^/\\])"
+)
 
-    def at(i: Column, pattern: str) -> Column:
-        part = F.try_element_at(parts, i)
-        return F.when(part.rlike(pattern), part)
 
-    def candidate(part: Column, i: Column) -> Column:
-        triple = F.concat_ws(
-            "-",
-            F.array(
-                at(i + 1, "^[0-9]{4}$"), at(i + 2, "^[0-9]{2}$"), at(i + 3, "^[0-9]{2}$")
-            ),
-        )
-        return F.coalesce(parse_iso_date(triple), parse_iso_date(part))
-
-    found = F.filter(F.transform(parts, candidate), lambda d: d.isNotNull())
-    return F.try_element_at(found, F.lit(1))
+def date_in_path(path: Column) -> Column:
+    """First real date spelled by the path's segments; impossible ones are passed over."""
+    spelled = F.regexp_extract_all(path, F.lit(_DATED), F.lit(1))
+    dates = F.transform(spelled, lambda x: parse_iso_date(F.regexp_replace(x, _SEPARATOR, "-")))
+    return F.try_element_at(F.array_compact(dates), F.lit(1))
 
 
 def expand_template(

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 NEWLINE = "\r\n|\r|\n"
 
+# All white-space characters.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def clean_trim(col: Column) -> Column:
     """Trim every kind of white space; the built-in ``trim`` strips spaces only."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def non_blank(col: Column) -> Column:
-    return F.coalesce(col.rlike(r"(?U)\S"), F.lit(False))
+    return F.coalesce(clean_trim(col) != "", F.lit(False))
 
 
 def same_text(col: Column, value: str) -> Column:

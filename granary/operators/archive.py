@@ -39,9 +39,8 @@ def position_slice(rows_per_slice: int = 1_000_000) -> tuple[list[Column], Colum
     Needs no key, so any number of identical rows is spread as well. Take the two
     columns ``source_file`` and ``source_row`` from :func:`with_position`.
     """
-    row = F.col("source_row")
-    block = F.floor(row / F.lit(rows_per_slice)).cast("long")
-    return [F.col("source_file"), row], F.struct("source_file", block.alias("block"))
+    block = F.expr(f"source_row div {rows_per_slice}").alias("block")
+    return [F.col("source_file"), F.col("source_row")], F.struct("source_file", block)
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -60,8 +59,8 @@ def assign_parts(
     ceil(rows / rows_per_part) parts, all full but the last."""
     order, slices = by
     numbered = number_rows(df, [date], order, slices)
-    index = F.floor((F.col("row_no") - 1) / F.lit(rows_per_part)) + 1
-    return numbered.withColumn("part_index", index.cast("int")).drop("row_no")
+    index = F.expr(f"(row_no - 1) div {rows_per_part} + 1").cast("int")
+    return numbered.withColumn("part_index", index).drop("row_no")
 
 
 def part_sizes(rows_per_date: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:

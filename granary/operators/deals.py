@@ -25,8 +25,8 @@ def trade_key(col: Column) -> Column:
 def resolve_measures(file_b: DataFrame, seq: str, filtered: bool = False) -> DataFrame:
     """One measure per trade: the last non-blank preferred value, else the last fallback.
 
-    "Last" follows the column ``seq``. A trade with neither keeps a null measure. Both
-    maxima combine on the map side, so a hot trade sends one row per task.
+    "Last" follows the column ``seq``. A trade with neither keeps a null measure. The
+    maximum combines on the map side, so a hot trade sends one row per task.
     """
     b = file_b.select(
         trade_key(F.col("trade_id")).alias("trade_key"),
@@ -42,13 +42,10 @@ def resolve_measures(file_b: DataFrame, seq: str, filtered: bool = False) -> Dat
             & same_text(F.col("indicator_type"), INDICATOR_TYPE)
         )
 
-    def last(sub_type: str) -> Column:
-        usable = same_text(F.col("sub_type"), sub_type) & non_blank(F.col("measure"))
-        return F.max_by("measure", F.when(usable, F.col("seq")))
-
-    return b.groupBy("trade_key").agg(
-        F.coalesce(last(PREFERRED), last(FALLBACK)).alias("measure_value")
-    )
+    preferred = same_text(F.col("sub_type"), PREFERRED)
+    usable = non_blank(F.col("measure")) & (preferred | same_text(F.col("sub_type"), FALLBACK))
+    rank = F.when(usable, F.struct(preferred.alias("preferred"), "seq"))
+    return b.groupBy("trade_key").agg(F.max_by("measure", rank).alias("measure_value"))
 
 
 def provider_deals(

@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 
 def number_rows(
-    df: DataFrame, group: list[str], order: list[Column], slice_by: Column, out: str = "row_no"
+    df: DataFrame, group: list[str], order: list[Column], slice_by: Column, out: str = "row_no",
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
-    """1-based ``row_number`` per group, with the group spread over many tasks.
+    """1-based ``row_number`` per group, large groups spread over many tasks.
 
-    ``slice_by`` must never decrease along ``order``. Slices are numbered one by one and
-    shifted by the size of the slices before them, so only the per-slice counts of a
-    group, never its rows, meet in one task. Group columns must not be null.
+    ``slice_by`` must never decrease along ``order``. Groups of more than ``hot_rows`` rows,
+    at most rows/hot_rows of them, are numbered slice by slice and each slice is shifted by
+    the size of the slices before it, so only their per-slice counts meet in one task.
     """
-    sliced = df.withColumn("_slice", slice_by)
+    hot = (
+        df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        .select(*group, F.lit(True).alias("_hot"))
+    )
+    sliced = df.join(F.broadcast(hot), group, "left").withColumn("_slice", F.when(F.col("_hot"), slice_by))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        sliced.where("_hot").groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*group, "_slice", F.sum("_n").over(before).alias("_before"))
     )
     within = Window.partitionBy(*group, "_slice").orderBy(*order)
     return (
         sliced.withColumn("_within", F.row_number().over(within))
-        .join(offsets, [*group, "_slice"])
-        .withColumn(out, F.col("_within") + F.col("_before"))
-        .drop("_slice", "_within", "_before")
+        .join(offsets, [*group, "_slice"], "left")
+        .withColumn(out, F.col("_within") + F.coalesce("_before", F.lit(0)))
+        .drop("_hot", "_slice", "_within", "_before")
     )
 
 
@@ -40,8 +44,6 @@ def chunk_rows(
     slice holds at most ``rows_per_slice`` rows.
     """
     numbered = number_rows(
-        df, group, [F.col(seq)], F.floor(F.col(seq) / F.lit(rows_per_slice)).cast("long")
-    )
-    return numbered.withColumn(
-        "chunk", F.floor((F.col("row_no") - 1) / F.lit(rows_per_chunk)).cast("long")
+        df, group, [F.col(seq)], F.expr(f"floor({seq} / {rows_per_slice}D)")
     )
+    return numbered.withColumn("chunk", F.expr(f"(row_no - 1) div {rows_per_chunk}"))

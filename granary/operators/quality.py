@@ -40,13 +40,10 @@ def check_header(columns: list[str], template: T.StructType) -> None:
         raise ValueError(f"columns not defined in the template: {', '.join(extra)}")
 
 
-def bad_cells(template: T.StructType) -> Column:
-    """Names of the cells that hold text their type cannot take; null cells are fine."""
-    flags = [
-        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), f.name)
-        for f in template
-    ]
-    return F.array_compact(F.array(*flags))
+def _bad(field: T.StructField) -> Column:
+    """Does the cell hold text its type cannot take; null cells are fine."""
+    cell = F.col(field.name)
+    return cell.isNotNull() & cell.try_cast(field.dataType).isNull()
 
 
 def typed_rows(df: DataFrame, template: T.StructType, strict: bool = True) -> DataFrame:
@@ -57,13 +54,16 @@ def typed_rows(df: DataFrame, template: T.StructType, strict: bool = True) -> Da
     """
     if strict:
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in template])
-    good = df.where(F.size(bad_cells(template)) == 0)
+    good = df
+    for field in template:
+        good = good.where(~_bad(field))
     return good.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in template])
 
 
 def typed_rejects(df: DataFrame, template: T.StructType) -> DataFrame:
-    rejected = df.withColumn("bad_columns", F.array_join(bad_cells(template), ","))
-    return rejected.where(F.col("bad_columns") != "")
+    """Rows with bad cells and the names of those cells."""
+    names = F.concat_ws(",", *[F.when(_bad(f), f.name) for f in template])
+    return df.withColumn("bad_columns", names).where(F.col("bad_columns") != "")
 
 
 def required_rules(numbers: tuple[str, ...] = METRIC_NUMBERS, text: str = METRIC_TEXT) -> Rules:

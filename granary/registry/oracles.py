@@ -527,16 +527,16 @@ ORACLES: dict[str, str] = {
         FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey
         ORDER BY 1, 2, 3""",
     # Queries that write and read back.
-    "write_parts": _with("by_month", """
-        SELECT d AS as_of_date, CAST(unnest(generate_series(1, (n + 499) // 500)) AS INTEGER) AS part_index,
-               least(500, n - 500 * (unnest(generate_series(1, (n + 499) // 500)) - 1)) AS row_count
-        FROM by_month"""),
+    "write_parts": """
+        SELECT d AS as_of_date, CAST(part AS INTEGER) AS part_index, least(2000, n - 2000 * (part - 1)) AS row_count
+        FROM (SELECT d, n, unnest(generate_series(1, (n + 1999) // 2000)) AS part
+              FROM (SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1))""",
     "read_parts": "SELECT * FROM orders",
     "archive_job": _with("decided_m by_month", """
         SELECT CAST(77 AS BIGINT) AS run_id, 10 AS table_configuration_id, d AS as_of_date, kind AS date_type,
                'Export' AS phase, CASE WHEN message IS NULL THEN 'Success' ELSE 'Skipped' END AS status,
                CASE WHEN message IS NULL THEN n ELSE 0 END AS rows_affected,
-               CASE WHEN message IS NULL AND n <= 500 THEN '/TestDb/dbo/transactions/'
+               CASE WHEN message IS NULL AND n <= 1000 THEN '/TestDb/dbo/transactions/'
                  || strftime(d, '%Y/%m/%d') || '.part-00001.parquet' END AS file_path,
                message AS error_message
         FROM decided_m JOIN by_month USING (d)

@@ -22,24 +22,27 @@ from granary.streaming.discovery import stream_discovery
 from granary.streaming.feeds import stream_feed
 
 
+def _exported(spark, sf) -> str:
+    """Orders exported by year, at most 2,000 rows to a part."""
+    out = shared_dir(spark, "parts")
+    year = F.to_date(F.trunc("o_orderdate", "year")).alias("archive_date")
+    rows = archive.with_position(fx.table(spark, sf, "orders")).select("*", year)
+    return writers.write_parts(rows, out, archive.position_slice(), rows_per_part=2000)
+
+
 @query
 def write_parts(spark, sf):
-    """Orders exported by month, at most 500 rows to a part."""
-    out = shared_dir(spark, "parts")
-    month = F.to_date(F.trunc("o_orderdate", "month")).alias("archive_date")
-    rows = archive.with_position(fx.table(spark, sf, "orders")).select("*", month)
-    writers.write_parts(rows, out, archive.position_slice(), rows_per_part=500)
-    return writers.read_part_files(spark, out).select("as_of_date", "part_index", "row_count")
+    """Sizes of the exported parts."""
+    return writers.read_part_files(spark, _exported(spark, sf)).select(
+        "as_of_date", "part_index", "row_count"
+    )
 
 
 @query
 def read_parts(spark, sf):
     """The exported rows again, whole."""
-    out = shared_dir(spark, "parts")
-    month = F.to_date(F.trunc("o_orderdate", "month")).alias("archive_date")
-    rows = archive.with_position(fx.table(spark, sf, "orders")).select("*", month)
-    writers.write_parts(rows, out, archive.position_slice(), rows_per_part=500)
-    return spark.read.parquet(out).select(*fx.table(spark, sf, "orders").columns)
+    orders = fx.table(spark, sf, "orders")
+    return spark.read.parquet(_exported(spark, sf)).select(*orders.columns)
 
 
 @query
@@ -53,7 +56,7 @@ def archive_job(spark, sf):
         spark, source, "as_of_date", 10, schemas.table_configurations(spark),
         schemas.retention_policies(spark), schemas.lifecycle_policies(spark),
         fx.archival_files(spark, sf), fx.exemptions(spark), f"{base}/out", fx.RUN_ID, fx.RUN_TS,
-        rows_per_part=500,
+        rows_per_part=1000,
     )
     return spark.read.schema(schemas.RUN_DETAIL).parquet(run.details)
 
@@ -69,7 +72,7 @@ def archive_job_survivors(spark, sf):
         spark, source, "as_of_date", 10, schemas.table_configurations(spark),
         schemas.retention_policies(spark), schemas.lifecycle_policies(spark),
         fx.archival_files(spark, sf), fx.exemptions(spark), f"{base}/out", fx.RUN_ID, fx.RUN_TS,
-        rows_per_part=500, partitioned=True,
+        rows_per_part=1000, partitioned=True,
     )
     left = spark.read.parquet(source)
     return left.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("n"))
