@@ -123,14 +123,14 @@ def archive_plan(
 ) -> DataFrame:
     """Candidate dates that are neither archived already nor exempt."""
     key = [CONFIG, "as_of_date"]
-    c, e = candidates.alias("c"), exemptions.where(F.col("scope") == "Table").alias("e")
-    exempt = (F.col(f"c.{CONFIG}") == F.col(f"e.{CONFIG}")) & (
-        F.col("e.as_of_date").isNull() | (F.col("e.as_of_date") == F.col("c.as_of_date"))
-    )
+    exempt = exemptions.where(F.col("scope") == "Table")
+    whole = exempt.where(F.col("as_of_date").isNull()).select(CONFIG)
+    single = exempt.where(F.col("as_of_date").isNotNull()).select(*key)
     live = configs.where("is_active").select(F.col("id").alias(CONFIG))
     done = files.where(F.col("status") == "Active").select(*key, "date_type")
     return (
-        c.join(e, exempt, "left_anti")
-        .join(live, CONFIG, "left_semi")
+        candidates.join(live, CONFIG, "left_semi")
+        .join(whole, CONFIG, "left_anti")
+        .join(single, key, "left_anti")
         .join(done, [*key, "date_type"], "left_anti")
     )

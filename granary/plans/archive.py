@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from granary.operators import archive as ops
 from granary.operators import retention
 from granary.operators.retention import CONFIG
-from granary.schemas import ROWS_PER_PART
+from granary.schemas import DELETE_COUNTS, ROWS_PER_PART, local_table
 from granary.sinks.publish import remove
 from granary.sinks.writers import (
     delete_as_of, log_run_details, read_part_files, rewrite_survivors, write_parts,
@@ -70,9 +70,7 @@ def archive_table(
         F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("part_count"),
         F.max("blob_path").alias("file_path"),
     )
-    counts = spark.createDataFrame(
-        [], f"{CONFIG} int, as_of_date date, expected_rows long, actual_rows long"
-    )
+    counts = local_table(spark, [], DELETE_COUNTS)
     failed = None
     if one.select("delete_from_source").first()[0]:
         try:

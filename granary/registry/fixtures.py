@@ -105,7 +105,7 @@ def exemptions(spark: SparkSession) -> DataFrame:
         (2, 30, None, "Table", "legal hold"),
         (3, 10, AS_OF, "File", "tag only"),
     ]
-    return spark.createDataFrame(rows, schemas.EXEMPTION)
+    return schemas.local_table(spark, rows, schemas.EXEMPTION)
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

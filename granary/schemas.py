@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # ---------------------------------------------------------------- fixed values
 # Enumerations of the archival data model.
@@ -156,6 +158,13 @@ RUN = T.StructType([
     T.StructField("note", T.StringType()),
 ])
 
+DELETE_COUNTS = T.StructType([
+    T.StructField("table_configuration_id", T.IntegerType()),
+    T.StructField("as_of_date", T.DateType()),
+    T.StructField("expected_rows", T.LongType()),
+    T.StructField("actual_rows", T.LongType()),
+])
+
 RUN_DETAIL = T.StructType([
     T.StructField("run_id", T.LongType()),
     T.StructField("table_configuration_id", T.IntegerType()),
@@ -202,13 +211,25 @@ CONFIGURATION_SEED = [
 # ------------------------------------------------------------------------------
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small table whose size the optimizer knows.
+
+    Built from Arrow it becomes a local relation, so a join broadcasts it for being small
+    and not for being hinted, and never shuffles the large side by a handful of ids.
+    """
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
 def retention_policies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RETENTION_SEED, RETENTION_POLICY)
+    return local_table(spark, RETENTION_SEED, RETENTION_POLICY)
 
 
 def lifecycle_policies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LIFECYCLE_SEED, LIFECYCLE_POLICY)
+    return local_table(spark, LIFECYCLE_SEED, LIFECYCLE_POLICY)
 
 
 def table_configurations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONFIGURATION_SEED, TABLE_CONFIGURATION)
+    return local_table(spark, CONFIGURATION_SEED, TABLE_CONFIGURATION)
