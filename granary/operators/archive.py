@@ -53,12 +53,12 @@ def with_position(df: DataFrame) -> DataFrame:
 
 def assign_parts(
     df: DataFrame, by: tuple[list[Column], Column], rows_per_part: int = ROWS_PER_PART,
-    date: str = "as_of_date",
+    date: str = "as_of_date", hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Add the 1-based ``part_index`` per date; each date fills
     ceil(rows / rows_per_part) parts, all full but the last."""
     order, slices = by
-    numbered = number_rows(df, [date], order, slices)
+    numbered = number_rows(df, [date], order, slices, hot_rows=hot_rows)
     index = F.expr(f"(row_no - 1) div {rows_per_part} + 1").cast("int")
     return numbered.withColumn("part_index", index).drop("row_no")
 
@@ -91,7 +91,8 @@ def manifest(
 ) -> DataFrame:
     """archival_file rows for parts (config, date, type, index, rows, bytes).
 
-    ``tags`` holds the tag map; the id is the caller's to assign.
+    ``tags`` holds the tag map; ``etag`` and ``data_file`` come along if the parts have
+    them. The id is the caller's to assign.
     """
     policy = policies.where("is_active").select(
         F.col("id").alias("file_lifecycle_policy_id"), "azure_policy_tag"
@@ -130,6 +131,7 @@ def manifest(
             F.col(CONFIG), F.col("as_of_date"), F.col("date_type"),
             F.col("azure_policy_tag"), is_exempt, F.col("part_index"),
         ).alias("tags"),
+        *[c for c in ("etag", "data_file") if c in parts.columns],
     )
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import clean_trim, non_blank, same_text
+from granary.functions.text import clean_trim, same_text
 from granary.operators.joins import lookup_left
 
 # Indicator sub types and the filter of the second variant.
@@ -28,24 +28,23 @@ def resolve_measures(file_b: DataFrame, seq: str, filtered: bool = False) -> Dat
     "Last" follows the column ``seq``. A trade with neither keeps a null measure. The
     maximum combines on the map side, so a hot trade sends one row per task.
     """
-    b = file_b.select(
-        trade_key(F.col("trade_id")).alias("trade_key"),
-        clean_trim(F.col("indicator_sub_type")).alias("sub_type"),
-        clean_trim(F.col("measure_value")).alias("measure"),
-        clean_trim(F.col("category")).alias("category"),
-        clean_trim(F.col("indicator_type")).alias("indicator_type"),
-        F.col(seq).alias("seq"),
-    ).where(F.col("trade_key").isNotNull())
+    sub_type = F.upper(clean_trim(F.col("indicator_sub_type")))
+    priority = F.when(sub_type == PREFERRED.upper(), 2).when(sub_type == FALLBACK.upper(), 1)
+    b = file_b
     if filtered:
         b = b.where(
-            same_text(F.col("category"), CATEGORY)
-            & same_text(F.col("indicator_type"), INDICATOR_TYPE)
+            same_text(clean_trim(F.col("category")), CATEGORY)
+            & same_text(clean_trim(F.col("indicator_type")), INDICATOR_TYPE)
         )
-
-    preferred = same_text(F.col("sub_type"), PREFERRED)
-    usable = non_blank(F.col("measure")) & (preferred | same_text(F.col("sub_type"), FALLBACK))
-    rank = F.when(usable, F.struct(preferred.alias("preferred"), "seq"))
-    return b.groupBy("trade_key").agg(F.max_by("measure", rank).alias("measure_value"))
+    rows = b.select(
+        trade_key(F.col("trade_id")).alias("trade_key"),
+        priority.alias("priority"),
+        F.nullif(clean_trim(F.col("measure_value")), F.lit("")).alias("measure"),
+        F.col(seq).alias("seq"),
+    ).where(F.col("trade_key").isNotNull())
+    usable = F.col("priority").isNotNull() & F.col("measure").isNotNull()
+    rank = F.when(usable, F.struct("priority", "seq"))
+    return rows.groupBy("trade_key").agg(F.max_by("measure", rank).alias("measure_value"))
 
 
 def provider_deals(

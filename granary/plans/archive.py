@@ -96,7 +96,7 @@ def _export(
         ops.with_position(rows.where(in_range)), as_of_column, planned
     )
     write_parts(due, run.data, ops.position_slice(), rows_per_part)
-    parts = read_part_files(spark, run.data).drop("file_path").join(
+    parts = read_part_files(spark, run.data).join(
         planned.select(CONFIG, "as_of_date", "date_type"), "as_of_date"
     )
     made = ops.manifest(parts, one, lifecycle_policies, exemptions, run_ts)

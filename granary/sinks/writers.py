@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,38 +20,55 @@ from granary.sinks.publish import (
 
 
 def write_parts(
-    df: DataFrame, path: str, by, rows_per_part: int = ROWS_PER_PART, empty_part: bool = False
+    df: DataFrame, path: str, by, rows_per_part: int = ROWS_PER_PART, empty_part: bool = False,
+    hot_rows: int = 1_000_000,
 ) -> str:
-    """Snappy Parquet below ``archive_date=/part_index=``, one file per part.
+    """Snappy Parquet below ``archive_date=``, ceil(rows / rows_per_part) files per date.
 
-    Rows carry their date as ``archive_date``. A part is one task's work, so a date with
-    many rows spreads over many tasks. With ``empty_part`` an input without rows leaves a
-    single schema-only file.
+    Rows carry their date as ``archive_date``. A date of up to ``hot_rows`` rows goes to one
+    task, which starts a new file every ``rows_per_part`` rows: one shuffle in all. Larger
+    dates are numbered first and spread part by part over many tasks. With ``empty_part`` an
+    input without rows leaves a single schema-only file.
     """
-    key = ["archive_date", "part_index"]
+    spark = df.sparkSession
+    day, place = "archive_date", ["source_file", "source_row"]
+    hot = (
+        df.groupBy(day).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        .select(day)
+    )
+    # At most rows/hot_rows dates, so the list always fits a broadcast.
+    small = df.join(F.broadcast(hot), day, "left_anti").withColumn("part_index", F.lit(None).cast("int"))
+    large = assign_parts(
+        df.join(F.broadcast(hot), day, "left_semi"), by, rows_per_part, day, hot_rows
+    )
+    spread = small.unionByName(large).repartition(day, "part_index").drop("part_index", *place)
 
     def write(staged: str) -> None:
-        parts = assign_parts(df, by, rows_per_part, "archive_date").drop("source_file", "source_row")
-        parts.repartition(*key).write.partitionBy(*key).parquet(staged)
-        if empty_part and not any("archive_date=" in c for c in children(df.sparkSession, staged)):
-            columns = df.drop("archive_date", "source_file", "source_row").schema
-            empty = df.sparkSession.createDataFrame([], columns).coalesce(1)
+        writer = spread.write.option("maxRecordsPerFile", rows_per_part)
+        writer.option("compression", "snappy").partitionBy(day).parquet(staged)
+        if empty_part and not any(f"{day}=" in c for c in children(spark, staged)):
+            empty = spark.createDataFrame([], df.drop(day, *place).schema).coalesce(1)
             empty.write.mode("overwrite").parquet(staged)
 
-    return publish_new(df.sparkSession, path, write)
+    return publish_new(spark, path, write)
 
 
 def read_part_files(spark: SparkSession, path: str) -> DataFrame:
-    """Date, index, file, bytes and rows of the written parts; reads no data column."""
-    schema = T.StructType([
-        T.StructField("archive_date", T.DateType()), T.StructField("part_index", T.IntegerType()),
-    ])
-    files = spark.read.schema(schema).parquet(path)
-    return files.groupBy(
-        F.col("archive_date").alias("as_of_date"), "part_index",
-        F.col("_metadata.file_path").alias("file_path"),
+    """The written parts: date, index, file, bytes, rows; reads no data column."""
+    files = spark.read.schema("archive_date date").parquet(path)
+    counted = files.groupBy(
+        F.col("archive_date").alias("as_of_date"),
+        F.col("_metadata.file_path").alias("data_file"),
         F.col("_metadata.file_size").alias("file_size_bytes"),
+        F.col("_metadata.file_modification_time").alias("modified"),
     ).agg(F.count(F.lit(1)).alias("row_count"))
+    # One row per file from here on; full parts come before a date's last, shorter one.
+    order = Window.partitionBy("as_of_date").orderBy(F.desc("row_count"), "data_file")
+    etag = F.md5(F.concat_ws("|", "data_file", "file_size_bytes", F.unix_micros("modified")))
+    return counted.select(
+        "as_of_date", F.row_number().over(order).alias("part_index"), "data_file",
+        etag.alias("etag"), "file_size_bytes", "row_count",
+    )
 
 
 # -------------------------------------------------------------------------- feeds

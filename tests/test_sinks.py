@@ -34,6 +34,15 @@ def data_files(path, suffix=".parquet"):
     return [f for f in glob.glob(f"{path}/**/*{suffix}", recursive=True) if "/." not in f]
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Keep small shuffle partitions apart, so that tests see how rows spread."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")
+
+
 def boom(*_, **__):
     raise RuntimeError("injected")
 
@@ -56,13 +65,18 @@ def test_parts_are_full_but_the_last(spark, root, n):
         assert spark.read.parquet(f"{root}/out").select("id").distinct().count() == n
 
 
-def test_identical_rows_spread_by_position(spark, root):
-    spark.range(100).select(F.lit("same").alias("v")).repartition(3).write.parquet(f"{root}/in")
-    rows = archive.with_position(spark.read.parquet(f"{root}/in")).withColumn("archive_date", F.lit(D(2020, 1, 1)))
-    writers.write_parts(rows, f"{root}/out", archive.position_slice(5), 30)
-    sizes = [r.row_count for r in writers.read_part_files(spark, f"{root}/out").orderBy("part_index").collect()]
-    assert sizes == [30, 30, 30, 10]
-    assert spark.read.parquet(f"{root}/out").columns == ["v", "archive_date", "part_index"]
+@pytest.mark.parametrize("hot_rows", [20, 10**6])
+def test_identical_rows_of_a_hot_date_spread_by_position(spark, root, hot_rows, uncoalesced):
+    spark.range(110).select(F.lit("same").alias("v"), (F.col("id") < 100).alias("hot")).repartition(3).write.parquet(f"{root}/in")
+    day = F.when(F.col("hot"), D(2020, 1, 1)).otherwise(D(2020, 1, 2)).alias("archive_date")
+    rows = archive.with_position(spark.read.parquet(f"{root}/in")).select("v", "source_file", "source_row", day)
+    writers.write_parts(rows, f"{root}/out", archive.position_slice(5), 30, hot_rows=hot_rows)
+    parts = writers.read_part_files(spark, f"{root}/out").orderBy("as_of_date", "part_index").collect()
+    assert [(r.as_of_date.day, r.part_index, r.row_count) for r in parts] == [(1, 1, 30), (1, 2, 30), (1, 3, 30), (1, 4, 10), (2, 1, 10)]
+    assert spark.read.parquet(f"{root}/out").columns == ["v", "archive_date"]
+    if hot_rows == 20:
+        # The hot date was written by several tasks.
+        assert len({os.path.basename(r.data_file)[:10] for r in parts if r.as_of_date.day == 1}) > 1
 
 
 # ------------------------------------------------------------------------- publishing
