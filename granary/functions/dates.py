@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def wall_clock(moment: dt.datetime) -> Column:
+    """Literal without a zone, the same in every session zone."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def parse_iso_date(col: Column) -> Column:
     """Strict ``yyyy-MM-dd``; anything else is null."""
     return F.try_to_date(col, "yyyy-MM-dd")
@@ -38,5 +45,5 @@ def local_to_utc(col: Column, zone: str) -> Column:
 
 def local_to_instant(col: Column, zone: str) -> Column:
     """Wall-clock time in ``zone`` -> TimestampType, whatever the session zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    epoch = wall_clock(dt.datetime(1970, 1, 1))
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, local_to_utc(col, zone)))

@@ -31,6 +31,7 @@ def date_in_path(path: Column) -> Column:
 def expand_template(
     template: Column, database: Column, schema: Column, table: Column, as_of: Column
 ) -> Column:
+    # The placeholders of a path template.
     values = {
         "{db}": database,
         "{schema}": schema,
@@ -58,6 +59,7 @@ def file_tags(
     part_index: Column | None = None,
 ) -> Column:
     """Tag map of one archived file; date, type and part keys only when known."""
+    # The tag names.
     pairs = {
         "archival_table_configuration_id": config_id.cast("string"),
         "archival_policy": F.coalesce(policy_tag, F.lit("")),

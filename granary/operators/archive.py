@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.dates import wall_clock
 from granary.functions.paths import expand_template, file_tags, part_path
 from granary.operators.numbering import number_rows
 from granary.operators.retention import CONFIG, MSG_EMPTY
@@ -117,14 +118,13 @@ def manifest(
         .join(single, [CONFIG, "as_of_date"], "left")
     )
     is_exempt = F.coalesce("exempt_table", "exempt_one", F.lit(False))
-    now = F.lit(run_ts).cast("timestamp_ntz")
     return joined.select(
         CONFIG, "as_of_date", "date_type", "part_index",
         "storage_account_name", "container_name",
         part_path(base, F.col("part_index")).alias("blob_path"),
         F.lit("application/octet-stream").alias("content_type"),
         "file_size_bytes", "row_count", F.lit(status).alias("status"),
-        now.alias("created_at_et"),
+        wall_clock(run_ts).alias("created_at_et"),
         F.col("azure_policy_tag").alias("archival_policy_tag"),
         F.col("file_lifecycle_policy_id").alias("override_file_lifecycle_policy_id"),
         file_tags(
@@ -207,6 +207,7 @@ def survivors(df: DataFrame, column: str, day: dt.date) -> DataFrame:
 
 def delete_reconcile(counts: DataFrame) -> DataFrame:
     """Compare expected and actual deletions; a difference is a warning on a Success row."""
+    # Fixed value: the wording of the warning.
     mismatch = (F.col("expected_rows") > 0) & (F.col("expected_rows") != F.col("actual_rows"))
     text = F.concat(
         F.lit("ExpectedDeleteCount="), F.col("expected_rows").cast("string"),

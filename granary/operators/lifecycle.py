@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.dates import cutoff
+from granary.functions.dates import cutoff, wall_clock
 from granary.functions.tiers import desired_tier, normalise_tier, smallest_threshold
 from granary.operators.retention import CONFIG
 from granary.schemas import LIFECYCLE_PAGE, THRESHOLD_PREFIX, TIER_ACTIONS
@@ -58,7 +58,7 @@ def lifecycle_candidates(
     ``spread * page_size`` of them meet in one task.
     """
     checked = F.col("last_tier_check_at_et")
-    recheck = F.lit(run_ts - dt.timedelta(days=min_check_days)).cast("timestamp_ntz")
+    recheck = wall_clock(run_ts - dt.timedelta(days=min_check_days))
     age_date = F.coalesce("as_of_date", F.to_date("created_at_et"))
     due = (age_date <= F.col("cutoff_date")) | checked.isNull() | (checked <= recheck)
     plausible = (
@@ -116,6 +116,7 @@ def lifecycle_actions(
     cutoffs = policy_cutoffs(chosen, policies, run_ts.date())
     page = lifecycle_candidates(files, cutoffs, run_ts, page_size).select(*files.columns)
     tier = F.col("desired_tier")
+    # Fixed value: the wording of an action.
     action = F.format_string(
         "Table=%d File=%d Action=TierSet(%s)", F.col(CONFIG), F.col("id"),
         F.coalesce(tier, F.lit("none")),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.text import non_blank
 from granary.schemas import METRIC_NUMBERS, METRIC_TEXT
 
 Rules = list[tuple[str, str]]
@@ -97,7 +96,3 @@ def map_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFra
     if mapping is None:
         return df
     return df.select(*[F.col(source).alias(target) for source, target in mapping.items()])
-
-
-def blank_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.when(non_blank(F.col(c)), F.col(c)) for c in columns})

@@ -103,3 +103,19 @@ def test_account_filter(spark):
     conf = schemas.table_configurations(spark)
     assert as_rows(lifecycle.configs_for_account(conf, "DevStore").select("id"), "id") == [(10,), (20,), (30,)]
     assert as_rows(lifecycle.configs_for_account(conf, "devstore", "external").select("id")) == [(20,)]
+
+
+def test_recheck_time_ignores_the_session_zone(spark):
+    edge = NOW - dt.timedelta(days=1)
+    f = files(
+        spark, (1, 10, D(2020, 6, 29), "EOD", "Active", NOW, edge, None),
+        (2, 10, D(2020, 6, 29), "EOD", "Active", NOW, edge + dt.timedelta(seconds=1), None),
+    )
+    cut = lifecycle.policy_cutoffs(schemas.table_configurations(spark), schemas.lifecycle_policies(spark), NOW.date())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert as_rows(lifecycle.lifecycle_candidates(f, cut, NOW).select("id")) == [(1,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
