@@ -127,7 +127,8 @@ def archive_plan(
     whole = exempt.where(F.col("as_of_date").isNull()).select(CONFIG)
     single = exempt.where(F.col("as_of_date").isNotNull()).select(*key)
     live = configs.where("is_active").select(F.col("id").alias(CONFIG))
-    done = files.where(F.col("status") == "Active").select(*key, "date_type")
+    # Distinct before the join: a date has many files, and they combine on the map side.
+    done = files.where(F.col("status") == "Active").select(*key, "date_type").distinct()
     return (
         candidates.join(live, CONFIG, "left_semi")
         .join(whole, CONFIG, "left_anti")

@@ -87,31 +87,33 @@ FX = {
         FROM lineitem""",
     "life": f"SELECT * FROM (VALUES {_values(schemas.LIFECYCLE_SEED)}) AS t({_LIFE_COLUMNS})",
     "conf": f"SELECT * FROM (VALUES {_values(schemas.CONFIGURATION_SEED)}) AS t({_CONF_COLUMNS})",
-    # Retention of configuration 10: policy 1.
-    "dts": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL",
+    # Retention of configuration 10 (orders, policy 1) and 30 (line items, policy 3).
+    "dts": """
+        SELECT DISTINCT 10 AS cfg, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL
+        UNION ALL
+        SELECT DISTINCT 30, CAST(l_shipdate AS DATE) FROM lineitem WHERE l_shipdate IS NOT NULL""",
     "typed": """
-        SELECT d, CASE
-            WHEN NOT EXISTS (SELECT 1 FROM dts x WHERE x.d > a.d AND year(x.d) = year(a.d))
-             AND (d < (SELECT max(d) FROM dts) OR (month(d) = 12 AND day(d) = 31)) THEN 'EOY'
-            WHEN NOT EXISTS (SELECT 1 FROM dts x WHERE x.d > a.d
-                               AND date_trunc('quarter', x.d) = date_trunc('quarter', a.d))
-             AND (d < (SELECT max(d) FROM dts)
+        SELECT cfg, d, CASE
+            WHEN d = max(d) OVER (PARTITION BY cfg, year(d))
+             AND (d < max(d) OVER (PARTITION BY cfg) OR (month(d) = 12 AND day(d) = 31)) THEN 'EOY'
+            WHEN d = max(d) OVER (PARTITION BY cfg, date_trunc('quarter', d))
+             AND (d < max(d) OVER (PARTITION BY cfg)
                   OR d = CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)) THEN 'EOQ'
-            WHEN NOT EXISTS (SELECT 1 FROM dts x WHERE x.d > a.d
-                               AND date_trunc('month', x.d) = date_trunc('month', a.d))
-             AND (d < (SELECT max(d) FROM dts) OR d = last_day(d)) THEN 'EOM'
+            WHEN d = max(d) OVER (PARTITION BY cfg, date_trunc('month', d))
+             AND (d < max(d) OVER (PARTITION BY cfg) OR d = last_day(d)) THEN 'EOM'
             ELSE 'EOD' END AS kind
-        FROM dts a""",
+        FROM dts""",
     "ranked": """
-        SELECT d, kind, row_number() OVER (PARTITION BY kind ORDER BY d DESC)
-          <= CASE kind WHEN 'EOD' THEN 30 WHEN 'EOM' THEN 12 WHEN 'EOQ' THEN 8 ELSE 3 END AS kept
+        SELECT cfg, d, kind, row_number() OVER (PARTITION BY cfg, kind ORDER BY d DESC)
+          <= CASE WHEN cfg = 30 THEN 3650 WHEN kind = 'EOD' THEN 30 WHEN kind = 'EOM' THEN 12
+                  WHEN kind = 'EOQ' THEN 8 ELSE 3 END AS kept
         FROM typed""",
     "decided": """
-        SELECT d, kind, CASE
-            WHEN EXISTS (SELECT 1 FROM fx_file f WHERE f.table_configuration_id = 10 AND f.status = 'Active'
+        SELECT cfg, d, kind, CASE
+            WHEN EXISTS (SELECT 1 FROM fx_file f WHERE f.table_configuration_id = r.cfg AND f.status = 'Active'
                            AND f.as_of_date = r.d AND f.date_type = r.kind)
               THEN 'Already archived (archival_file exists).'
-            WHEN EXISTS (SELECT 1 FROM fx_exemption e WHERE e.cfg = 10 AND e.scope = 'Table'
+            WHEN EXISTS (SELECT 1 FROM fx_exemption e WHERE e.cfg = r.cfg AND e.scope = 'Table'
                            AND (e.d IS NULL OR e.d = r.d))
               THEN 'Table/date is exempt from archival.' END AS message
         FROM ranked r WHERE NOT kept""",
@@ -157,7 +159,7 @@ FX = {
 }
 
 # The same retention over months instead of days.
-FX["months"] = "SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders"
+FX["months"] = "SELECT DISTINCT 10 AS cfg, CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders"
 for _name, _base in (("typed_m", "typed"), ("ranked_m", "ranked"), ("decided_m", "decided")):
     FX[_name] = FX[_base].replace("dts", "months").replace("FROM typed", "FROM typed_m").replace(
         "FROM ranked", "FROM ranked_m")
@@ -355,16 +357,16 @@ ORACLES: dict[str, str] = {
         FROM fx_file_a a LEFT JOIN ({_measures('passes')}) m ON m.trade_key = upper(a.trade_id)
         WHERE a.trade_id <> ''"""),
     "scan_orders_as_of": "SELECT * FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1998-10-03'",
-    "distinct_as_of": _with("dts", "SELECT d AS as_of_date FROM dts"),
-    "date_types": _with("typed", "SELECT 10 AS table_configuration_id, d AS as_of_date, kind AS date_type FROM typed"),
+    "distinct_as_of": _with("dts", "SELECT d AS as_of_date FROM dts WHERE cfg = 10"),
+    "date_types": _with("typed", "SELECT cfg AS table_configuration_id, d AS as_of_date, kind AS date_type FROM typed"),
     "retention_keep": _with("ranked", """
-        SELECT 10 AS table_configuration_id, d AS as_of_date, kind AS date_type FROM ranked WHERE kept"""),
+        SELECT cfg AS table_configuration_id, d AS as_of_date, kind AS date_type FROM ranked WHERE kept"""),
     "retention_candidates": _with("ranked", """
-        SELECT 10 AS table_configuration_id, d AS as_of_date, kind AS date_type FROM ranked WHERE NOT kept ORDER BY d"""),
+        SELECT cfg AS table_configuration_id, d AS as_of_date, kind AS date_type FROM ranked WHERE NOT kept ORDER BY d"""),
     "archive_plan": _with("decided", """
-        SELECT 10 AS table_configuration_id, d AS as_of_date, kind AS date_type FROM decided WHERE message IS NULL"""),
+        SELECT cfg AS table_configuration_id, d AS as_of_date, kind AS date_type FROM decided WHERE message IS NULL"""),
     "archive_decisions": _with("decided", """
-        SELECT 10 AS table_configuration_id, d AS as_of_date, kind AS date_type, message,
+        SELECT cfg AS table_configuration_id, d AS as_of_date, kind AS date_type, message,
                CASE WHEN message IS NULL THEN 'Export' ELSE 'Skipped' END AS decision FROM decided"""),
     "export_parts": _with("ship_parts", """
         SELECT as_of_date, CAST(part_index AS INTEGER) AS part_index, count(*) AS row_count,

@@ -86,9 +86,12 @@ def provider_deals(spark, sf):
 
 
 def _typed(spark, sf) -> DataFrame:
-    orders = fx.table(spark, sf, "orders")
-    days = retention.as_of_dates(orders, "o_orderdate")
-    return retention.date_types(days.withColumn(retention.CONFIG, F.lit(10)))
+    """Dates of two archived tables: orders under configuration 10, line items under 30."""
+    days = [
+        retention.as_of_dates(fx.table(spark, sf, name), column).withColumn(retention.CONFIG, F.lit(config))
+        for name, column, config in (("orders", "o_orderdate", 10), ("lineitem", "l_shipdate", 30))
+    ]
+    return retention.date_types(days[0].unionByName(days[1]))
 
 
 def _policies(spark) -> tuple[DataFrame, DataFrame]:

@@ -19,11 +19,28 @@ DEFAULTS = {
 }
 
 
-def get_session(app: str = "granary", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the defaults above; keyword names use ``__`` for dots."""
+# A shuffle task's share before compression; well within an executor core's memory.
+SHUFFLE_TASK_BYTES = 256 * 1024**2
+
+
+def shuffle_partitions(data_bytes: int) -> int:
+    """Shuffle width for an input size. Adaptive execution merges partitions that turn out
+    small but cannot split below this number, so it has to fit the largest shuffle."""
+    return min(100_000, max(200, -(-data_bytes // SHUFFLE_TASK_BYTES)))
+
+
+def get_session(
+    app: str = "granary", master: str | None = None, data_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with the defaults above; keyword names use ``__`` for dots.
+
+    ``data_bytes``, the size of the largest input, sets the shuffle width.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if data_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", shuffle_partitions(data_bytes))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
