@@ -91,6 +91,11 @@ def validation_by_rule(df: DataFrame, rules: Rules) -> DataFrame:
     return counted.selectExpr(f"stack({len(rules)}, {pairs}) AS (rule, rejected_rows)")
 
 
+def property_names(template: T.StructType) -> dict[str, str]:
+    """Mapping for :func:`map_columns` that drops the spaces of column names."""
+    return {name: name.replace(" ", "") for name in template.names}
+
+
 def map_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """Source -> destination names; without a mapping every column keeps its name."""
     if mapping is None:

@@ -58,7 +58,8 @@ def load_provider_deals(
 ) -> str:
     """Enrich file A with the measures of file B and publish the rows as one run.
 
-    A failure takes back this run only and is raised again.
+    With ``archive_root`` the inputs move to its archive folder afterwards. A failure takes
+    back this run only and is raised again.
     """
     a = _snake(scan_typed_csv(spark, file_a, FILE_A), FILE_A)
     b = _snake(with_file_order(scan_typed_csv(spark, file_b, FILE_B)), FILE_B)

@@ -161,6 +161,7 @@ def export_parts(spark, sf):
             F.max("l_orderkey").alias("max_orderkey"),
             F.sum("l_partkey").alias("partkey_sum"),
         )
+        .orderBy("as_of_date", "part_index")
     )
 
 
@@ -332,18 +333,18 @@ def tier_normalise(spark, sf):
 @query
 def schema_diff(spark, sf):
     return quality.schema_diff(
-        fx.sheets(spark, sf), "sheet_id", "header", schemas.TEMPLATES["Template1"]
+        fx.sheets(spark, sf), "sheet_id", "header", schemas.template("Template1")
     )
 
 
 @query
 def template_typed(spark, sf):
-    return quality.typed_rows(fx.template_rows(spark, sf), schemas.TEMPLATES["Template1"], strict=False)
+    return quality.typed_rows(fx.template_rows(spark, sf), schemas.template("Template1"), strict=False)
 
 
 @query
 def template_rejects(spark, sf):
-    return quality.typed_rejects(fx.template_rows(spark, sf), schemas.TEMPLATES["Template1"])
+    return quality.typed_rejects(fx.template_rows(spark, sf), schemas.template("Template1"))
 
 
 @query
@@ -391,7 +392,7 @@ def binary_columns(spark, sf):
 
 @query
 def catalog_type_map(spark, sf):
-    return catalog.catalog_type_map(fx.tables(spark, sf))
+    return catalog.catalog_type_map(fx.tables(spark, sf)).orderBy("class_name", "ordinal")
 
 
 # ---------------------------------------------------------------------- transforms

@@ -150,7 +150,7 @@ def staging_job(spark, sf):
     rules = [("return_positive", "`return` > 0")]
     for truncate in (True, True, False):
         import_staging(
-            rows, schemas.TEMPLATES["Template1"], f"{base}/staging", rules, names, truncate
+            rows, schemas.template("Template1"), f"{base}/staging", rules, names, truncate
         )
     loaded = spark.read.parquet(f"{base}/staging")
     return loaded.groupBy("year", "month").agg(

@@ -41,6 +41,12 @@ TEMPLATES = {
     ]),
 }
 
+def template(name: str) -> T.StructType:
+    if name not in TEMPLATES:
+        raise ValueError(f"template '{name}' is not defined")
+    return TEMPLATES[name]
+
+
 # Twelve required numbers and one required text of the metric form.
 METRIC_NUMBERS = (
     "clientEscalationsKyc",

@@ -33,14 +33,6 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
-def copy_file(spark: SparkSession, source: str, target: str) -> None:
-    src_fs, src = _fs(spark, source)
-    dst_fs, dst = _fs(spark, target)
-    util = spark._jvm.org.apache.hadoop.fs.FileUtil
-    if not util.copy(src_fs, src, dst_fs, dst, False, True, spark._jsc.hadoopConfiguration()):
-        raise OSError(f"cannot copy {source} to {target}")
-
-
 def children(spark: SparkSession, path: str) -> list[str]:
     fs, target = _fs(spark, path)
     if not fs.exists(target):

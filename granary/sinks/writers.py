@@ -13,7 +13,7 @@ from granary.operators.archive import assign_parts
 from granary.operators.feed import BLANK, UNROUTED, Routes, routed_rows
 from granary.schemas import FEED_ROUTES, JDBC_BATCH_ROWS, ROWS_PER_PART
 from granary.sinks.publish import (
-    children, copy_file, path_exists, publish_new, publish_swap, remove,
+    children, move, path_exists, publish_new, publish_swap, remove,
 )
 
 # ------------------------------------------------------------------ archive parts
@@ -175,13 +175,22 @@ def rewrite_survivors(spark: SparkSession, path: str, kept: DataFrame) -> str:
 def archive_inputs(
     spark: SparkSession, inputs: dict[str, str], target: str, run_ts: dt.datetime
 ) -> list[str]:
-    """Copy input files to ``target/archive/<label>_<yyyyMMdd_HHmmss>.csv``."""
+    """Move input files or folders to ``target/archive/<label>_<yyyyMMdd_HHmmss>.csv``.
+
+    A rename: no data passes through the driver. If one move fails, earlier ones are undone.
+    """
     stamp = run_ts.strftime("%Y%m%d_%H%M%S")
-    copies = []
-    for label, source in inputs.items():
-        copies.append(f"{target.rstrip('/')}/archive/{label}_{stamp}.csv")
-        copy_file(spark, source, copies[-1])
-    return copies
+    moved: list[tuple[str, str]] = []
+    try:
+        for label, source in inputs.items():
+            copy = f"{target.rstrip('/')}/archive/{label}_{stamp}.csv"
+            move(spark, source, copy)
+            moved.append((source, copy))
+    except BaseException:
+        for source, copy in moved:
+            move(spark, copy, source)
+        raise
+    return [copy for _, copy in moved]
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -59,6 +59,17 @@ def test_required_fields(spark):
     assert as_rows(quality.validation_counts(df, quality.required_rules())) == [(3, 2)]
 
 
+def test_unknown_template():
+    with pytest.raises(ValueError, match="'Nope' is not defined"):
+        schemas.template("Nope")
+
+
+def test_property_names_drop_spaces(spark):
+    spaced = T.StructType([T.StructField("Fund Id", T.IntegerType()), T.StructField("Month", T.IntegerType())])
+    df = spark.createDataFrame([("1", "2")], "`Fund Id` string, Month string")
+    assert quality.map_columns(quality.typed_rows(df, spaced), quality.property_names(spaced)).columns == ["FundId", "Month"]
+
+
 def test_mapping(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert quality.map_columns(df, {"b": "x"}).columns == ["x"]

@@ -175,6 +175,15 @@ def test_failure_takes_back_this_run_only(spark, root, monkeypatch):
     assert [r[0] for r in spark.read.parquet(f"{root}/out").select("run_id").distinct().collect()] == [1]
 
 
+def test_inputs_move_together_or_not_at_all(spark, root):
+    a, b = deal_files(root)
+    with pytest.raises(Exception):
+        writers.archive_inputs(spark, {"FileA": a, "FileB": f"{root}/none.csv"}, root, TS)
+    assert os.path.exists(a) and not [f for f in os.listdir(f"{root}/archive") if f.endswith(".csv")]
+    writers.archive_inputs(spark, {"FileA": a, "FileB": b}, root, TS)
+    assert not os.path.exists(a) and not os.path.exists(b)
+
+
 def test_typed_csv_modes(spark, root):
     a, _ = deal_files(root, day="oops")
     with pytest.raises(Exception):
