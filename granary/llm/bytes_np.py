@@ -65,10 +65,10 @@ class Words:
     first: np.ndarray  # index of each row's first word, one more entry than rows
 
 
-def words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
+def words(buf: np.ndarray, at: np.ndarray, lower: bool = False, separator: np.ndarray = SPACE) -> Words:
     n = buf.size
     rows = at.size - 1
-    word = ~SPACE[buf]
+    word = ~separator[buf]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before, after = np.ones(n, bool), np.ones(n, bool)
@@ -91,7 +91,7 @@ def words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
     return Words(start, end, row, mix(out), np.searchsorted(row, np.arange(rows + 1)))
 
 
-def windows(w: Words, k: int, lower: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each k-word window that lies in one row, and the index of its first word."""
     n = w.hash.size - k + 1
     if n <= 0:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import mixing, quality_rules, token_counts, token_files
-from granary.llm.common import WORD, table
+from granary.llm import decontaminate, language_id, mixing, pii, quality_rules, token_counts, token_files, warc
+from granary.llm.common import WORD, materialize, table
 from granary.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,27 @@ def op1_quality_rules(spark, sf):
         (~quality_rules.rejected(bits, quality_rules.POLICIES[-1])).alias("kept"))
 
 
+@query
+def op3_pii(spark, sf):
+    """Base and learned spans of every document."""
+    found = pii.find(table(spark, sf, "documents"))
+    kinds = F.transform("base", lambda s: s.kind)
+    counts = [
+        (F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("all")).alias("spans"))
+
+
+@query
+def op4_language_id(spark, sf):
+    """Predicted language of every document."""
+    docs = table(spark, sf, "documents")
+    found = docs.withColumn("found", language_id.predict(docs, language_id.fit(docs), F.col("text")))
+    return found.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 @query
 def op5_token_files(spark, sf):
     """Token files of every document, and what they say when read back."""
@@ -45,6 +66,22 @@ def op6_mixing(spark, sf):
     return mixing.copies(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_warc(spark, sf):
+    """Archives of every page, as read back."""
+    path = shared_dir(spark, "warc")
+    warc.write_warc(warc.plan_records(table(spark, sf, "pages")), path, segment=4096, chunk=1024)
+    return warc.read_warc(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_decontamination(spark, sf):
+    """Documents that hold a passage of a test item, one row per document and item."""
+    found = decontaminate.add_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 #: Versions whose counts are kept: words, and words with punctuation marks apart.
 TOKENIZERS = {"words": WORD, "words_marks": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\x5B-`{-~]"}
 
@@ -58,8 +95,6 @@ def op10_token_counts(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", "source", "lang", *[F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias(t) for t, p in TOKENIZERS.items()],
         F.sha2("text", 256).alias("digest"))
-    from granary.llm.common import materialize
-
     ledger = materialize(docs, "token-ledger")
     first = ledger.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     repeats = ledger.join(first, "digest").where("doc_id > first_id")
