@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, language_id, mixing, pii, quality_rules, token_counts, token_files, warc
+from granary.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality_rules, token_counts, token_files, warc
 from granary.llm.common import WORD, materialize, table
 from granary.session import shared_dir
 
@@ -66,6 +66,13 @@ def op6_mixing(spark, sf):
     return mixing.copies(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_jaccard_join(spark, sf):
+    """Component of every document under the join."""
+    docs = table(spark, sf, "documents").withColumn("row_id", F.monotonically_increasing_id())
+    return jaccard_join.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op8_warc(spark, sf):
     """Archives of every page, as read back."""
