@@ -56,6 +56,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """Sums from which ``span_hash`` takes the hash of any span of ``buf``."""
+    out = np.zeros(buf.size + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_TABLE[buf] * _power("up", _BASE, buf.size), out=out[1:])
+    return out
+
+
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (sums[end] - sums[start]) * _power("down", _INVERSE, sums.size)[start]
+
+
 @dataclass
 class Words:
     start: np.ndarray  # byte offset in the column

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality_rules, token_counts, token_files, warc
+from granary.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality_rules, suffix_dedup, token_counts, token_files, warc
 from granary.llm.common import WORD, materialize, table
 from granary.session import shared_dir
 
@@ -31,6 +31,12 @@ def op1_quality_rules(spark, sf):
         (~quality_rules.rejected(bits, quality_rules.POLICIES[-1])).alias("kept"))
 
 
+@query
+def op2_suffix_dedup(spark, sf):
+    """What is removed of every document, and the checksum of what stays."""
+    return suffix_dedup.dedup(table(spark, sf, "documents"))
+
+
 @query
 def op3_pii(spark, sf):
     """Base and learned spans of every document."""
