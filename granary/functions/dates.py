@@ -37,10 +37,12 @@ def local_to_utc(col: Column, zone: str) -> Column:
     Where clocks are set back, an ambiguous local time is read as standard time,
     that is the later of its two instants.
     """
+    day = F.expr("INTERVAL 1 DAY")
     early = F.convert_timezone(F.lit(zone), F.lit("UTC"), col)
-    late = early + F.expr("INTERVAL 1 HOUR")
+    # The offset in force a day later, whatever the size of the change.
+    late = F.convert_timezone(F.lit(zone), F.lit("UTC"), col + day) - day
     again = F.convert_timezone(F.lit("UTC"), F.lit(zone), late)
-    return F.when(again == col, late).otherwise(early)
+    return F.when(again == col, F.greatest(early, late)).otherwise(early)
 
 
 def local_to_instant(col: Column, zone: str) -> Column:

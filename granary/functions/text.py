@@ -39,12 +39,12 @@ def lines_of(col: Column) -> Column:
 
 def keep_lines(col: Column, prefix: str) -> Column:
     """Only the lines that start with ``prefix`` once trimmed, joined by newline."""
-    kept = F.filter(F.split(col, "\r?\n"), lambda x: clean_trim(x).startswith(prefix))
+    kept = F.filter(F.split(col, "\r?\n"), lambda x: F.ltrim(x, F.lit(WHITE_SPACE)).startswith(prefix))
     return F.array_join(kept, "\n")
 
 
 def drop_blank_line_after(col: Column, pattern: str) -> Column:
-    """Remove the empty line that follows a line ending in ``pattern``."""
+    """Remove the empty line that follows a line ending in ``pattern``, the last part of it at least."""
     return F.regexp_replace(col, rf"({pattern}\r?\n)\r?\n", "$1")
 
 

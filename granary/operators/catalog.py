@@ -60,14 +60,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _unpivot(stats: DataFrame, fields: list[tuple[int, T.StructField]], table: str, *names: str):
     """One row per column from a single aggregated row with columns ``name_i``."""
-    rows = ", ".join(
-        f"'{f.name}', '{_type_name(f)}', {i}, " + ", ".join(f"{n}_{i}" for n in names)
+    rows = F.array(*[
+        F.struct(
+            F.lit(f.name).alias("column_name"), F.lit(_type_name(f)).alias("data_type"), F.lit(i).alias("ordinal"),
+            *[F.col(f"{n}_{i}").alias(n) for n in names],
+        )
         for i, f in fields
-    )
-    columns = "column_name, data_type, ordinal, " + ", ".join(names)
-    return stats.selectExpr(
-        f"'{table}' AS table_name", f"stack({len(fields)}, {rows}) AS ({columns})"
-    )
+    ])
+    return stats.select(F.lit(table).alias("table_name"), F.inline(rows))
 
 
 def columns_by_type(
@@ -115,7 +115,10 @@ def target_type(data_type: Column) -> Column:
 
 
 def catalog_type_map(tables: Tables, key_name: str = "id") -> DataFrame:
-    """Per column: target type, null mark, required mark and length, from the data itself."""
+    """Per column: target type, null mark, required mark and length, from the data itself.
+
+    ``declared`` marks the lengths that stand in a declaration: those below the limit.
+    """
     parts = []
     for table, df in tables.items():
         fields = list(enumerate(df.schema, 1))
@@ -136,7 +139,8 @@ def catalog_type_map(tables: Tables, key_name: str = "id") -> DataFrame:
         target_type(data_type).alias("target_type"),
         F.when(has_null & data_type.isin(*NULL_MARKED), "?").otherwise("").alias("null_mark"),
         (~has_null & (F.lower("column_name") != key_name)).alias("required"),
-        F.when(F.col("longest") < MAX_LENGTH_BELOW, F.col("longest")).alias("max_length"),
+        F.col("longest").alias("max_length"),
+        F.coalesce(F.col("longest") < MAX_LENGTH_BELOW, F.lit(False)).alias("declared"),
     )
 
 

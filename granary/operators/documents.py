@@ -9,8 +9,6 @@ from granary.functions.json import shape_type
 from granary.functions.text import contains_pattern, lines_of
 from granary.operators.numbering import chunk_rows
 
-ROWS_PER_CHUNK = 1000
-
 
 def _ordered(item: Column) -> Column:
     """Items of a chunk in row order; a chunk is bounded, so this list is too."""
@@ -20,7 +18,7 @@ def _ordered(item: Column) -> Column:
 
 def nested_json(
     rows: DataFrame, group: list[str], seq: str, item: Column, list_name: str,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int,
 ) -> DataFrame:
     """One JSON object per group with the group's rows as a list in source order.
 
@@ -35,16 +33,15 @@ def nested_json(
 
 def ordered_text(
     rows: DataFrame, group: list[str], seq: str, text: Column, separator: str,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int,
 ) -> DataFrame:
     """Rows joined to one text per group in the order of ``seq``, in bounded chunks."""
     chunked = chunk_rows(rows.withColumn("_text", text), group, seq, rows_per_chunk)
-    joined = F.expr(f"listagg(_text, '{separator}') WITHIN GROUP (ORDER BY row_no)")
-    return chunked.groupBy(*group, "chunk").agg(joined.alias("body"))
+    return chunked.groupBy(*group, "chunk").agg(F.array_join(_ordered(F.col("_text")), separator).alias("body"))
 
 
 def grouped_names(
-    rows: DataFrame, group: list[str], seq: str, name: str, rows_per_chunk: int = ROWS_PER_CHUNK
+    rows: DataFrame, group: list[str], seq: str, name: str, rows_per_chunk: int
 ) -> DataFrame:
     """Names per group in source order."""
     chunked = chunk_rows(rows, group, seq, rows_per_chunk)
@@ -68,21 +65,22 @@ def matching_lines(docs: DataFrame, key: str, pattern: str) -> DataFrame:
     return lines.where(F.col("line").rlike(pattern))
 
 
-def json_shape(df: DataFrame, column: str, depth: int = 1) -> DataFrame:
+def json_shape(df: DataFrame, column: str) -> DataFrame:
     """Key paths of the JSON objects in a column, with the kinds of value they hold.
 
-    Objects are opened ``depth`` levels deep.
+    Objects are opened level by level until no value is an object.
     """
     spark = df.sparkSession
     level = df.select(F.lit("").alias("prefix"), F.try_parse_json(F.col(column)).alias("object"))
+    level = level.where(F.schema_of_variant("object").startswith("OBJECT"))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         level = level.lateralJoin(spark.tvf.variant_explode(F.col("object").outer())).select(
             F.concat("prefix", "key").alias("path"), "value", shape_type(F.col("value")).alias("kind")
         )
         pairs = level.select("path", "kind")
         found = pairs if found is None else found.unionByName(pairs)
-        level = level.where(F.col("kind") == "object").select(
+        level = level.where(F.schema_of_variant("value").startswith("OBJECT")).select(
             F.concat("path", F.lit(".")).alias("prefix"), F.col("value").alias("object")
         )
     return found.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))

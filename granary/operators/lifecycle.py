@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions.dates import cutoff, wall_clock
 from granary.functions.tiers import desired_tier, normalise_tier, smallest_threshold
 from granary.operators.retention import CONFIG
-from granary.schemas import LIFECYCLE_PAGE, THRESHOLD_PREFIX, TIER_ACTIONS
+from granary.schemas import THRESHOLD_PREFIX, TIER_ACTIONS
 
 
 def policy_thresholds(policies: DataFrame) -> DataFrame:
@@ -48,28 +48,36 @@ def policy_cutoffs(configs: DataFrame, policies: DataFrame, run_date: dt.date) -
     )
 
 
-def lifecycle_candidates(
-    files: DataFrame, cutoffs: DataFrame, run_ts: dt.datetime,
-    page_size: int = LIFECYCLE_PAGE, min_check_days: int = 1, spread: int = 64,
+def due_files(
+    files: DataFrame, cutoffs: DataFrame, run_ts: dt.datetime, min_check_days: int = 1
 ) -> DataFrame:
-    """First page of files per configuration that may be due, longest unchecked first.
-
-    A configuration's files are ranked in ``spread`` shares first, so that only
-    ``spread * page_size`` of them meet in one task.
-    """
+    """All files that may be due: old enough, never checked, or not checked lately."""
     checked = F.col("last_tier_check_at_et")
     recheck = wall_clock(run_ts - dt.timedelta(days=min_check_days))
     age_date = F.coalesce("as_of_date", F.to_date("created_at_et"))
     due = (age_date <= F.col("cutoff_date")) | checked.isNull() | (checked <= recheck)
-    plausible = (
-        files.where(F.col("status") != "Deleted").join(cutoffs, CONFIG).where(due)
-    )
-    order = [checked.asc_nulls_first(), F.col("as_of_date").asc_nulls_first(), F.col("id")]
+    return files.where(F.col("status") != "Deleted").join(cutoffs, CONFIG).where(due)
+
+
+def lifecycle_candidates(
+    files: DataFrame, cutoffs: DataFrame, run_ts: dt.datetime, page_size: int,
+    min_check_days: int = 1, spread: int = 64,
+) -> DataFrame:
+    """The due files that come first per configuration, longest unchecked first, as one page.
+
+    Only for callers that want a page; enforcement takes all due files. A configuration's
+    files are ranked in ``spread`` shares first, so that only ``spread * page_size`` of them
+    meet in one task.
+    """
+    order = [
+        F.col("last_tier_check_at_et").asc_nulls_first(), F.col("as_of_date").asc_nulls_first(), F.col("id")
+    ]
     share = F.pmod(F.xxhash64("id"), F.lit(spread))
     first = Window.partitionBy(CONFIG, share).orderBy(*order)
     page = Window.partitionBy(CONFIG).orderBy(*order)
     return (
-        plausible.withColumn("_share_rank", F.row_number().over(first))
+        due_files(files, cutoffs, run_ts, min_check_days)
+        .withColumn("_share_rank", F.row_number().over(first))
         .where(F.col("_share_rank") <= page_size)
         .withColumn("page_rank", F.row_number().over(page))
         .where(F.col("page_rank") <= page_size)
@@ -109,19 +117,25 @@ def configs_for_account(configs: DataFrame, account: str, container: str | None
 
 def lifecycle_actions(
     files: DataFrame, configs: DataFrame, policies: DataFrame, run_ts: dt.datetime,
-    account: str, container: str | None = None, page_size: int = LIFECYCLE_PAGE,
+    account: str, container: str | None = None, page_size: int | None = None,
 ) -> DataFrame:
-    """Action table of one enforcement run over all tables of a storage account."""
+    """Action table of one enforcement run over all tables of a storage account.
+
+    All due files get their action; ``page_size`` limits a run to so many per table.
+    """
     chosen = configs_for_account(configs, account, container)
     cutoffs = policy_cutoffs(chosen, policies, run_ts.date())
-    page = lifecycle_candidates(files, cutoffs, run_ts, page_size).select(*files.columns)
+    due = (
+        due_files(files, cutoffs, run_ts) if page_size is None
+        else lifecycle_candidates(files, cutoffs, run_ts, page_size)
+    )
     tier = F.col("desired_tier")
     # Fixed value: the wording of an action.
     action = F.format_string(
         "Table=%d File=%d Action=TierSet(%s)", F.col(CONFIG), F.col("id"),
         F.coalesce(tier, F.lit("none")),
     )
-    return with_desired_tier(page, chosen, policies, run_ts.date()).select(
+    return with_desired_tier(due.select(*files.columns), chosen, policies, run_ts.date()).select(
         CONFIG, F.col("id").alias("file_id"), "storage_account_name", "container_name",
         "blob_path", "age_days", normalise_tier(tier).alias("desired_tier"),
         action.alias("action"),

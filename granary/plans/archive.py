@@ -46,9 +46,13 @@ def archive_table(
     them again from a source that has changed. ``partitioned`` says that the source is
     laid out by ``as_of_column``; its partitions are then dropped, not rewritten.
     """
-    run = run_paths(out, run_id)
     one = configs.where(F.col("id") == config_id)
+    if one.isEmpty():
+        raise ValueError(f"no table configuration {config_id}")
     rows = spark.read.parquet(source)
+    if as_of_column not in rows.columns:
+        raise ValueError(f"{source} has no column {as_of_column}")
+    run = run_paths(out, run_id)
 
     dates = retention.as_of_dates(rows, as_of_column).withColumn(CONFIG, F.lit(config_id))
     candidates = retention.candidate_dates(retention.date_types(dates), one, retention_policies)
@@ -68,7 +72,7 @@ def archive_table(
 
     exported = manifest.groupBy(CONFIG, "as_of_date").agg(
         F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("part_count"),
-        F.max("blob_path").alias("file_path"),
+        F.max("template_path").alias("file_path"),
     )
     counts = local_table(spark, [], DELETE_COUNTS)
     failed = None
@@ -100,7 +104,8 @@ def _export(
         planned.select(CONFIG, "as_of_date", "date_type"), "as_of_date"
     )
     made = ops.manifest(parts, one, lifecycle_policies, exemptions, run_ts)
-    made.write.parquet(run.manifest)
+    # The recorded path is that of the file; the one the template spells comes along.
+    made.withColumn("template_path", F.col("blob_path")).withColumn("blob_path", F.col("data_file")).write.parquet(run.manifest)
     return spark.read.parquet(run.manifest)
 
 
@@ -109,21 +114,29 @@ def _delete(
 ) -> DataFrame:
     """Delete the dates whose written parts hold exactly their source rows.
 
-    Returns expected and deleted rows per date; a date with a difference is left alone.
+    Returns expected and deleted rows per date; a date with a difference is left alone. What
+    was deleted is counted in the source afterwards, not taken from the plan.
     """
     day = F.to_date(F.col(as_of_column))
     held = rows.groupBy(day.alias("as_of_date")).agg(F.count(F.lit(1)).alias("held"))
-    same = F.col("held") == F.col("row_count")
+    plan = f"{run.deletions}_plan"
     exported.join(held, "as_of_date").select(
-        CONFIG, "as_of_date", F.col("row_count").alias("expected_rows"),
-        F.when(same, F.col("held")).otherwise(0).alias("actual_rows"),
-    ).write.parquet(run.deletions)
-    counts = spark.read.parquet(run.deletions)
-    gone = counts.where("actual_rows > 0").select(F.col("as_of_date").alias("_gone"))
+        CONFIG, "as_of_date", F.col("row_count").alias("expected_rows"), "held",
+    ).write.parquet(plan)
+    planned = spark.read.parquet(plan)
+    gone = planned.where("held = expected_rows").select(F.col("as_of_date").alias("_gone"))
     if partitioned:
         # One row per date: a few thousand at most.
         delete_as_of(spark, source, as_of_column, [r[0] for r in gone.toLocalIterator()])
     elif not gone.isEmpty():
-        kept = rows.join(gone, day == F.col("_gone"), "left_anti")
-        rewrite_survivors(spark, source, kept)
-    return counts
+        hit = rows.withColumn("_file", F.col("_metadata.file_path")).join(gone, day == F.col("_gone"), "left_semi")
+        files = [r[0] for r in hit.select("_file").distinct().toLocalIterator()]
+        kept = spark.read.schema(rows.schema).parquet(*files).join(gone, day == F.col("_gone"), "left_anti")
+        rewrite_survivors(spark, source, files, kept)
+    left = spark.read.schema(rows.schema).parquet(source).join(gone, day == F.col("_gone"), "left_semi")
+    still = left.groupBy(day.alias("as_of_date")).agg(F.count(F.lit(1)).alias("left"))
+    removed = F.when(F.col("held") == F.col("expected_rows"), F.col("held") - F.coalesce("left", F.lit(0))).otherwise(0)
+    planned.join(still, "as_of_date", "left").select(
+        CONFIG, "as_of_date", "expected_rows", removed.alias("actual_rows")
+    ).write.parquet(run.deletions)
+    return spark.read.parquet(run.deletions)

@@ -7,15 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from granary.operators.lifecycle import lifecycle_actions, lifecycle_summary
-from granary.schemas import LIFECYCLE_PAGE
 from granary.sinks.publish import publish_new
 
 
 def enforce_lifecycle(
     files: DataFrame, configs: DataFrame, policies: DataFrame, run_ts: dt.datetime, account: str,
-    out: str, container: str | None = None, dry_run: bool = False, page_size: int = LIFECYCLE_PAGE,
+    out: str, container: str | None = None, dry_run: bool = False, page_size: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Actions and their counts per table and tier; unless a dry run, publish the actions.
+    """Actions of all due files and their counts per table and tier; unless a dry run, publish them.
 
     Whoever owns the store applies the published table; nothing is moved or deleted here.
     """

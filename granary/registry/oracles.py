@@ -155,7 +155,7 @@ FX = {
                CAST(t.age AS INTEGER) AS age_days, t.tier AS desired_tier,
                'Table=' || t.table_configuration_id || ' File=' || t.id || ' Action=TierSet(' || t.tier || ')'
                  AS action
-        FROM tiered t JOIN due d ON d.id = t.id WHERE d.page_rank <= 5000""",
+        FROM tiered t JOIN due d ON d.id = t.id""",
 }
 
 # The same retention over months instead of days.
@@ -257,7 +257,7 @@ def _catalog_type_map() -> str:
             f"'{ty}' AS data_type, '{kind}' AS target_type, "
             f"CASE WHEN count({c}) < count(*) AND {marked} THEN '?' ELSE '' END AS null_mark, "
             f"count({c}) = count(*) AS required, "
-            f"CAST(CASE WHEN {longest} < 1000 THEN {longest} END AS INTEGER) AS max_length FROM {t}"
+            f"CAST({longest} AS INTEGER) AS max_length, coalesce({longest} < 1000, false) AS declared FROM {t}"
         )
     return " UNION ALL ".join(rows)
 

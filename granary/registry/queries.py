@@ -533,7 +533,7 @@ def line_filter(spark, sf):
     return fx.table(spark, sf, "documents").select(
         "doc_id",
         text.keep_lines(F.col("text"), "The").alias("kept"),
-        text.drop_blank_line_after(F.col("text"), r"[A-Za-z]+\.").alias("squeezed"),
+        text.drop_blank_line_after(F.col("text"), r"[A-Za-z]\.").alias("squeezed"),
     )
 
 

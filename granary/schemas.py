@@ -24,7 +24,6 @@ FEED_ROUTES = {
 
 # Writer defaults.
 ROWS_PER_PART = 50_000
-LIFECYCLE_PAGE = 5_000
 JDBC_BATCH_ROWS = 1_000
 
 # Import templates: name -> ordered (column, type).

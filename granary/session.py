@@ -26,7 +26,7 @@ SHUFFLE_TASK_BYTES = 256 * 1024**2
 def shuffle_partitions(data_bytes: int) -> int:
     """Shuffle width for an input size. Adaptive execution merges partitions that turn out
     small but cannot split below this number, so it has to fit the largest shuffle."""
-    return min(100_000, max(200, -(-data_bytes // SHUFFLE_TASK_BYTES)))
+    return max(200, -(-data_bytes // SHUFFLE_TASK_BYTES))
 
 
 def get_session(

@@ -20,8 +20,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder; one that is not there is fine, one that stays is an error."""
     fs, target = _fs(spark, path)
     fs.delete(target, True)
+    if fs.exists(target):
+        raise OSError(f"{path} could not be deleted")
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from granary.operators.archive import assign_parts
 from granary.operators.feed import BLANK, UNROUTED, Routes, routed_rows
 from granary.schemas import FEED_ROUTES, JDBC_BATCH_ROWS, ROWS_PER_PART
 from granary.sinks.publish import (
-    children, move, path_exists, publish_new, publish_swap, remove,
+    children, move, path_exists, publish_new, publish_swap, remove, staging,
 )
 
 # ------------------------------------------------------------------ archive parts
@@ -158,15 +160,56 @@ def load_staging(df: DataFrame, path: str, truncate: bool = True) -> str:
     return path
 
 
-def delete_as_of(spark: SparkSession, path: str, column: str, days: Iterable[dt.date]) -> None:
-    """Drop whole date partitions of a table partitioned by ``column``."""
-    for day in days:
-        remove(spark, f"{path.rstrip('/')}/{column}={day.isoformat()}")
+def partition_date(name: str, column: str) -> dt.date | None:
+    """Date of a partition folder ``column=value``, whatever the value's type is written like."""
+    key, _, value = name.partition("=")
+    try:
+        return dt.date.fromisoformat(unquote(value)[:10]) if key == column else None
+    except ValueError:
+        return None
+
 
+def delete_as_of(spark: SparkSession, path: str, column: str, days: Iterable[dt.date]) -> set[dt.date]:
+    """Drop whole date partitions of a table partitioned by ``column``; returns the dates dropped.
+
+    Folders are listed and matched by the date they stand for, so a timestamp or text
+    partition counts as well. A folder that cannot be deleted is an error.
+    """
+    wanted, gone = set(days), set()
+    for folder in children(spark, path):
+        day = partition_date(folder.rstrip("/").rpartition("/")[2], column)
+        if day in wanted:
+            remove(spark, folder)
+            gone.add(day)
+    return gone
 
-def rewrite_survivors(spark: SparkSession, path: str, kept: DataFrame) -> str:
-    """Put the kept rows in the place of an unpartitioned table."""
-    return publish_swap(spark, path, lambda staged: kept.write.parquet(staged))
+
+def rewrite_survivors(spark: SparkSession, path: str, files: list[str], kept: DataFrame) -> None:
+    """Put the rows of ``kept``, what is to stay of ``files``, in the place of those files.
+
+    All other files of the table, also those that arrive meanwhile, are left alone. The old files
+    are set aside in a folder that readers skip until the new ones are in place, and come back
+    if that fails.
+    """
+    with staging(spark, path) as staged:
+        kept.write.parquet(staged)
+        aside = f"{path.rstrip('/')}/_gone_{uuid.uuid4().hex}"
+        moves = [(f, f"{aside}/{i}") for i, f in enumerate(files)]
+        moves += [
+            (f, f"{path.rstrip('/')}/{f.rpartition('/')[2]}")
+            for f in children(spark, staged) if f.rpartition("/")[2].startswith("part-")
+        ]
+        done: list[tuple[str, str]] = []
+        try:
+            for source, target in moves:
+                move(spark, source, target)
+                done.append((source, target))
+        except BaseException:
+            for source, target in reversed(done):
+                move(spark, target, source)
+            raise
+    remove(spark, aside)
+    remove(spark, staged)
 
 
 # ------------------------------------------------------------------ files and reports

@@ -32,11 +32,11 @@ def stream_discovery(
         .option("recursiveFileLookup", True).load(root)
     )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = discovered_files(batch, config_id)
+    def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    writer = listing.writeStream.foreachBatch(write)
+    # Columns chosen before the sink prune the content, so that no object is opened.
+    writer = discovered_files(listing, config_id).writeStream.foreachBatch(write)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

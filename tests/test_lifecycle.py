@@ -116,6 +116,16 @@ def test_recheck_time_ignores_the_session_zone(spark):
     try:
         for name in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
             spark.conf.set("spark.sql.session.timeZone", name)
-            assert as_rows(lifecycle.lifecycle_candidates(f, cut, NOW).select("id")) == [(1,)]
+            assert as_rows(lifecycle.due_files(f, cut, NOW).select("id")) == [(1,)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_every_due_file_gets_an_action(spark):
+    n = 12_000
+    f = spark.range(n).selectExpr("id").join(
+        files(spark, (0, 10, D(2019, 1, 1), "EOD", "Active", NOW, None, None)).drop("id"), how="cross"
+    )
+    conf, pol = schemas.table_configurations(spark), schemas.lifecycle_policies(spark)
+    assert lifecycle.lifecycle_actions(f, conf, pol, NOW, "devstore").count() == n
+    assert lifecycle.lifecycle_actions(f, conf, pol, NOW, "devstore", page_size=7).count() == 7

@@ -54,7 +54,7 @@ def test_validation_counts_nulls_as_failures(spark):
 def test_required_fields(spark):
     full = {n: 1.0 for n in schemas.METRIC_NUMBERS} | {schemas.METRIC_TEXT: "ok"}
     df = spark.createDataFrame(
-        [full, full | {schemas.METRIC_TEXT: " "}, full | {"sp" + "EscalationsOutsideSpeakers": None}], schemas.METRIC_FORM
+        [full, full | {schemas.METRIC_TEXT: " "}, full | {schemas.METRIC_NUMBERS[5]: None}], schemas.METRIC_FORM
     )
     assert as_rows(quality.validation_counts(df, quality.required_rules())) == [(3, 2)]
 
@@ -105,7 +105,7 @@ def test_type_map(spark):
     )
     got = {r.column_name: r for r in catalog.catalog_type_map({"role": df}).collect()}
     assert got["Id"].class_name == "Role" and got["Id"].target_type == "long" and not got["Id"].required
-    assert got["long_text"].required and got["long_text"].max_length is None
+    assert got["long_text"].required and got["long_text"].max_length == 1000 and not got["long_text"].declared
     assert (got["when"].target_type, got["when"].null_mark, got["when"].required) == ("DateTime", "?", False)
     assert got["m"].target_type == "UNKNOWN_map<string,string>" and got["m"].null_mark == ""
 

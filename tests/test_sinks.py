@@ -17,7 +17,7 @@ from granary.plans.lifecycle import enforce_lifecycle
 from granary.plans.profile import profile_catalog
 from granary.registry import fixtures as fx
 from granary.sinks import writers
-from granary.sinks.publish import publish_new, publish_swap
+from granary.sinks.publish import move, publish_new, publish_swap
 from granary.sources import files as sources
 from granary.sources.tables import quoted, scan_as_of, scan_table
 
@@ -98,10 +98,31 @@ def test_failed_writes_leave_nothing(spark, root):
         publish_new(spark, f"{root}/old", lambda s: None)
 
 
-def test_swap_may_read_what_it_replaces(spark, root):
-    spark.range(5).write.parquet(f"{root}/t")
-    writers.rewrite_survivors(spark, f"{root}/t", spark.read.parquet(f"{root}/t").where("id > 2"))
-    assert spark.read.parquet(f"{root}/t").count() == 2 and os.listdir(root) == ["t"]
+def test_rewrite_touches_the_named_files_only(spark, root):
+    spark.range(5).coalesce(1).write.parquet(f"{root}/t")
+    first = data_files(f"{root}/t")
+    kept = spark.read.parquet(*first).where("id > 2")
+    spark.range(100, 103).coalesce(1).write.mode("append").parquet(f"{root}/t")  # arrives meanwhile
+    later = set(data_files(f"{root}/t")) - set(first)
+    writers.rewrite_survivors(spark, f"{root}/t", first, kept)
+    assert sorted(r[0] for r in spark.read.parquet(f"{root}/t").collect()) == [3, 4, 100, 101, 102]
+    assert later < set(data_files(f"{root}/t")) and os.listdir(root) == ["t"]
+
+
+def test_failed_rewrite_changes_nothing(spark, root, monkeypatch):
+    spark.range(5).coalesce(1).write.parquet(f"{root}/t")
+    files, calls = data_files(f"{root}/t"), []
+
+    def once(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("no")
+        return move(*args)
+
+    monkeypatch.setattr("granary.sinks.writers.move", once)
+    with pytest.raises(OSError):
+        writers.rewrite_survivors(spark, f"{root}/t", files, spark.read.parquet(*files).where("id > 2"))
+    assert spark.read.parquet(f"{root}/t").count() == 5 and os.listdir(root) == ["t"]
 
 
 # ------------------------------------------------------------------------------ feeds
@@ -251,6 +272,43 @@ def test_archive_moves_rows_without_loss(spark, root, partitioned):
     assert moved.count() + left.count() == with_null.count()
 
 
+def test_archive_drops_timestamp_partitions(spark, root):
+    month = F.trunc("o_orderdate", "month").cast("timestamp_ntz").alias("as_of_date")
+    orders = fx.table(spark, SF, "orders").select("*", month)
+    orders.write.partitionBy("as_of_date").parquet(f"{root}/src")
+    run = archive_orders(spark, root, 1, True)
+    left = spark.read.parquet(f"{root}/src").count()
+    deleted = spark.read.parquet(run.details).where("phase = 'Delete' and status = 'Success'").agg(F.sum("rows_affected")).first()[0]
+    assert 0 < deleted == orders.count() - left == spark.read.parquet(run.data).count()
+
+
+def test_deletions_count_what_is_gone(spark, root, monkeypatch):
+    month = F.to_date(F.trunc("o_orderdate", "month")).alias("as_of_date")
+    fx.table(spark, SF, "orders").select("*", month).write.partitionBy("as_of_date").parquet(f"{root}/src")
+    monkeypatch.setattr("granary.plans.archive.delete_as_of", lambda *args: set())
+    details = spark.read.parquet(archive_orders(spark, root, 1, True).details)
+    deletes = details.where("phase = 'Delete'")
+    assert deletes.agg(F.sum("rows_affected")).first()[0] == 0
+    assert deletes.where("error_message is null").count() == 0
+
+
+def test_manifest_names_files_that_exist(spark, root):
+    month = F.to_date(F.trunc("o_orderdate", "month")).alias("as_of_date")
+    fx.table(spark, SF, "orders").select("*", month).write.parquet(f"{root}/src")
+    manifest = spark.read.parquet(archive_orders(spark, root, 1).manifest).collect()
+    assert manifest and all(os.path.exists(r.blob_path.removeprefix("file:")) for r in manifest)
+    assert all(r.template_path.endswith(".parquet") and r.template_path != r.blob_path for r in manifest)
+
+
+def test_archive_refuses_unknown_names(spark, root):
+    spark.range(3).write.parquet(f"{root}/src")
+    with pytest.raises(ValueError, match="no table configuration 99"):
+        archive_orders(spark, root, 1, config_id=99)
+    with pytest.raises(ValueError, match="no column as_of_date"):
+        archive_orders(spark, root, 1)
+    assert os.listdir(root) == ["src"]
+
+
 def test_failed_export_is_logged_and_cleaned(spark, root, monkeypatch):
     fx.table(spark, SF, "orders").select("*", F.to_date(F.trunc("o_orderdate", "month")).alias("as_of_date")).write.parquet(f"{root}/src")
     before = spark.read.parquet(f"{root}/src").count()

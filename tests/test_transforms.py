@@ -76,11 +76,12 @@ def test_xml(spark):
 
 def test_json_shape(spark):
     df = spark.createDataFrame([('{"s":"x","i":1,"d":1.5,"b":true,"o":{"k":2,"p":{"q":1}},"a":[1],"n":null}',), ('{"i":"t"}',), ("bad{",)], "j string")
-    flat = {(r.path, r.kind): r.n for r in documents.json_shape(df, "j").collect()}
+    every = {(r.path, r.kind): r.n for r in documents.json_shape(df, "j").collect()}
+    flat = {k: n for k, n in every.items() if "." not in k[0]}
     assert flat == {("s", "string"): 1, ("i", "int"): 1, ("i", "string"): 1, ("d", "double"): 1, ("b", "bool"): 1,
                     ("o", "object"): 1, ("a", "object"): 1, ("n", "object"): 1}
-    deep = {r.path for r in documents.json_shape(df, "j", depth=3).collect()}
-    assert {"o.k", "o.p", "o.p.q"} <= deep
+    assert every.keys() - flat.keys() == {("o.k", "int"), ("o.p", "object"), ("o.p.q", "int")}
+    assert documents.json_shape(df.where("false"), "j").count() == 0
     assert documents.json_schema(df, "j").first()[0].startswith("OBJECT<")
 
 
@@ -96,7 +97,7 @@ def test_nested_json_keeps_source_order(spark):
 def test_ordered_text_has_no_trailing_separator(spark):
     df = spark.createDataFrame([("e", 2, "Two"), ("e", 1, "One")], "g string, id int, d string")
     line = F.format_string("[%d] %s = %d", "id", "d", "id")
-    assert as_rows(documents.ordered_text(df, ["g"], "id", line, ",\n")) == [("e", 0, "[1] One = 1,\n[2] Two = 2")]
+    assert as_rows(documents.ordered_text(df, ["g"], "id", line, ",\n", rows_per_chunk=1000)) == [("e", 0, "[1] One = 1,\n[2] Two = 2")]
 
 
 def test_matching_lines(spark):
@@ -108,3 +109,26 @@ def test_search(spark):
     df = spark.createDataFrame([(1, "MIT Licence"), (2, "none"), (3, "a license")], "id int, text string")
     assert as_rows(documents.text_search(df, "licen[cs]e").select("id"), "id") == [(1,), (3,)]
     assert as_rows(documents.text_search_summary(df.withColumn("l", F.lit("en")), "LICEN[CS]E", ["l"])) == [("en", 3, 2)]
+
+
+def test_overlaps_of_any_size_take_the_later_instant(spark):
+    from granary.functions.dates import local_to_utc
+
+    def utc(text, zone):
+        return spark.sql(f"select timestamp_ntz'{text}' t").select(local_to_utc(F.col("t"), zone)).first()[0].strftime("%d %H:%M")
+
+    assert utc("2024-04-07 01:45:00", "Australia/Lord_Howe") == "06 15:15"
+    assert utc("2024-04-07 03:00:00", "Australia/Lord_Howe") == "06 16:30"
+    assert utc("2024-11-03 01:30:00", "America/New_York") == "03 06:30"
+    assert utc("2024-07-01 12:00:00", "America/New_York") == "01 16:00"
+    assert utc("2024-03-10 02:30:00", "America/New_York") == "10 07:30"
+
+
+def test_names_may_hold_quotes(spark):
+    from granary.operators import catalog
+
+    df = spark.createDataFrame([("a",), (None,)], T.StructType([T.StructField("it's", T.StringType())]))
+    got = catalog.columns_by_type({"o'neil": df}, ("string",)).collect()
+    assert [(r.table_name, r.column_name, r.n_rows, r.n_nulls) for r in got] == [("o'neil", "it's", 2, 1)]
+    rows = spark.createDataFrame([("g", 1, "x"), ("g", 2, "y")], "g string, seq int, t string")
+    assert documents.ordered_text(rows, ["g"], "seq", F.col("t"), "'", rows_per_chunk=5).first()["body"] == "x'y"
