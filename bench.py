@@ -25,7 +25,7 @@ HEADLINE = """
     lifecycle_summary file_full_view schema_diff template_typed template_rejects validation_by_rule
     binary_columns catalog_type_map strict_date path_date local_to_utc nested_json ordered_listagg json_shape
     json_rename xml_to_json text_search_summary regex_lines regex_rewrite line_filter inner_join_report
-    write_parts archive_job ingest_job stream_ingest provider_deals_job staging_job
+    write_parts archive_job archive_job_survivors stream_discovery_job lifecycle_actions ingest_job stream_ingest provider_deals_job staging_job
 """.split()
 
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from granary.functions.dates import format_iso_date, parse_iso_date
 
 
-def path_segments(path: Column) -> Column:
-    return F.filter(F.split(path, r"[/\\]"), lambda x: x != "")
-
-
 # Whole segments only: three of them as yyyy/MM/dd, or one as yyyy-MM-dd.
 _SEPARATOR = r"[/\\]+"
 _DATED = (

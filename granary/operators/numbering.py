@@ -40,10 +40,19 @@ def chunk_rows(
 ) -> DataFrame:
     """Number rows by an integer ``seq`` and cut each group into chunks of bounded size.
 
-    Adds ``row_no`` and the 0-based ``chunk``. When ``seq`` is unique in its group, a
-    slice holds at most ``rows_per_slice`` rows.
+    Adds ``row_no`` and the 0-based ``chunk``. A group of more than ``rows_per_slice`` rows is
+    sliced by equal shares of its own range of ``seq``, two per ``rows_per_slice`` rows, so keys that
+    are far apart make no more slices than dense ones.
     """
+    n = F.count(F.lit(1))
+    low, high = F.min(seq).cast("double"), F.max(seq).cast("double")
+    wide = df.groupBy(*group).agg(n.alias("_rows"), low.alias("_low"), high.alias("_high")).where(
+        F.col("_rows") > rows_per_slice)
+    step = (F.col("_high") - F.col("_low") + 1) / F.ceil(2 * F.col("_rows") / F.lit(rows_per_slice))
+    # At most rows / rows_per_slice groups, so their ranges always fit a broadcast.
+    placed = df.join(F.broadcast(wide.select(*group, "_low", step.alias("_step"))), group, "left")
+    share = F.floor((F.col(seq).cast("double") - F.col("_low")) / F.col("_step"))
     numbered = number_rows(
-        df, group, [F.col(seq)], F.expr(f"floor({seq} / {rows_per_slice}D)")
-    )
+        placed.withColumn("_share", F.coalesce(share, F.lit(0))), group, [F.col(seq)], F.col("_share"), hot_rows=rows_per_slice
+    ).drop("_low", "_step", "_share")
     return numbered.withColumn("chunk", F.expr(f"(row_no - 1) div {rows_per_chunk}"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from granary.operators import archive as ops
 from granary.operators import retention
 from granary.operators.retention import CONFIG
-from granary.schemas import DELETE_COUNTS, ROWS_PER_PART, local_table
+from granary.schemas import DELETE_COUNTS, ROWS_PER_PART, RUN, local_table
 from granary.sinks.publish import remove
 from granary.sinks.writers import (
     delete_as_of, log_run_details, read_part_files, rewrite_survivors, write_parts,
@@ -27,10 +27,12 @@ class ArchiveRun:
     manifest: str
     deletions: str
     details: str
+    files: str
+    header: str
 
 
 def run_paths(out: str, run_id: int) -> ArchiveRun:
-    names = ("decisions", "data", "manifest", "deletions", "details")
+    names = ("decisions", "data", "manifest", "deletions", "details", "files", "header")
     return ArchiveRun(*[f"{out.rstrip('/')}/{name}/run_id={run_id}" for name in names])
 
 
@@ -44,7 +46,9 @@ def archive_table(
 
     Decisions, manifest and deletion counts are written tables, so no later step computes
     them again from a source that has changed. ``partitioned`` says that the source is
-    laid out by ``as_of_column``; its partitions are then dropped, not rewritten.
+    laid out by ``as_of_column``; its partitions are then dropped, not rewritten. If the export
+    fails, it is tried again in halves, so that only the dates at fault are left out and logged
+    as failed. ``files`` with the new parts merged in is written as the run's file table, for the next run.
     """
     one = configs.where(F.col("id") == config_id)
     if one.isEmpty():
@@ -60,7 +64,7 @@ def archive_table(
     decisions = spark.read.parquet(run.decisions)
 
     try:
-        manifest = _export(
+        manifest, bad = _export(
             spark, rows, as_of_column, decisions, one, lifecycle_policies, exemptions,
             run, run_ts, rows_per_part,
         )
@@ -68,7 +72,11 @@ def archive_table(
         remove(spark, run.data)
         remove(spark, run.manifest)
         log_run_details(ops.failed_details(decisions, run_id, "Export", str(error)), run.details)
+        _log_header(spark, run, run_id, run_ts, "Failed", str(error))
         raise
+    ops.merge_manifest(files, manifest).write.parquet(run.files)
+    not_exported = [ops.failed_details(decisions.where(F.col("as_of_date") == day), run_id, "Export", why) for day, why in bad.items()]
+    decisions = decisions.where(~F.col("as_of_date").isin(*bad)) if bad else decisions
 
     exported = manifest.groupBy(CONFIG, "as_of_date").agg(
         F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("part_count"),
@@ -83,30 +91,69 @@ def archive_table(
             # The export stands; the failed deletion is only recorded.
             failed = ops.failed_details(decisions, run_id, "Delete", str(error))
     details = ops.run_details(decisions, exported, ops.delete_reconcile(counts), run_id)
-    log_run_details(details if failed is None else details.unionByName(failed), run.details)
+    for more in [failed, *not_exported]:
+        details = details if more is None else details.unionByName(more)
+    log_run_details(details, run.details)
+    _log_header(spark, run, run_id, run_ts, "Failed" if failed is not None or bad else "Success", None)
     return run
 
 
+def _log_header(spark, run: ArchiveRun, run_id: int, run_ts: dt.datetime, status: str, note: str | None) -> None:
+    ended = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    local_table(spark, [(run_id, run_ts, ended, status, note)], RUN).write.parquet(run.header)
+
+
 def _export(
     spark, rows, as_of_column, decisions, one, lifecycle_policies, exemptions,
     run: ArchiveRun, run_ts, rows_per_part,
-) -> DataFrame:
-    """Write the parts of all planned dates, then the manifest read back from the files."""
+) -> tuple[DataFrame, dict[dt.date, str]]:
+    """Write the parts of all planned dates, then the manifest read back from the files.
+
+    Also returns the dates that could not be written, with the reason.
+    """
     planned = decisions.where("decision = 'Export'")
-    first, last = planned.agg(F.min("as_of_date"), F.max("as_of_date")).first()
     day = F.to_date(F.col(as_of_column))
-    in_range = day.between(F.lit(first), F.lit(last)) if first else F.lit(False)
-    due = ops.on_planned_dates(
-        ops.with_position(rows.where(in_range)), as_of_column, planned
-    )
-    write_parts(due, run.data, ops.position_slice(), rows_per_part)
+
+    def write(plan: DataFrame, path: str) -> None:
+        first, last = plan.agg(F.min("as_of_date"), F.max("as_of_date")).first()
+        in_range = day.between(F.lit(first), F.lit(last)) if first else F.lit(False)
+        due = ops.on_planned_dates(ops.with_position(rows.where(in_range)), as_of_column, plan)
+        write_parts(due, path, ops.position_slice(), rows_per_part)
+
+    bad: dict[dt.date, str] = {}
+    try:
+        write(planned, run.data)
+    except Exception as error:
+        remove(spark, run.data)
+        # One row per date: a few thousand at most.
+        days = sorted(r[0] for r in planned.select("as_of_date").distinct().toLocalIterator())
+        _export_halves(spark, planned, days, write, run.data, bad)
+        if len(bad) == len(days):
+            raise error
     parts = read_part_files(spark, run.data).join(
         planned.select(CONFIG, "as_of_date", "date_type"), "as_of_date"
     )
     made = ops.manifest(parts, one, lifecycle_policies, exemptions, run_ts)
     # The recorded path is that of the file; the one the template spells comes along.
     made.withColumn("template_path", F.col("blob_path")).withColumn("blob_path", F.col("data_file")).write.parquet(run.manifest)
-    return spark.read.parquet(run.manifest)
+    return spark.read.parquet(run.manifest), bad
+
+
+def _export_halves(spark, planned, days, write, path, bad: dict[dt.date, str]) -> None:
+    """Export dates in ever smaller groups until the ones that fail stand alone."""
+    middle = len(days) // 2
+    for half in (days[:middle], days[middle:]):
+        if not half:
+            continue
+        piece = f"{path}/piece={half[0].isoformat()}"
+        try:
+            write(planned.where(F.col("as_of_date").isin(*half)), piece)
+        except Exception as error:
+            remove(spark, piece)
+            if len(half) == 1:
+                bad[half[0]] = str(error)
+            else:
+                _export_halves(spark, planned, half, write, path, bad)
 
 
 def _delete(

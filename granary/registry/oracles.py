@@ -565,3 +565,40 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["provider_deals_job"] = ORACLES["provider_deals"]
 ORACLES["lifecycle_job"] = ORACLES["lifecycle_actions"]
+
+ORACLES |= {
+    "stream_tee": ORACLES["tee_archive"],
+    "stream_batch_hook": _with("fx_feed", "SELECT CAST(count(*) AS BIGINT) AS n, true AS several FROM fx_feed"),
+    "object_listing": """
+        SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS as_of_date, 'EXT' AS date_type,
+               CAST(1 AS BIGINT) AS objects, CAST(1 AS BIGINT) AS sized FROM orders""",
+    "scan_files": "SELECT * FROM supplier",
+    "scan_catalog": "SELECT * FROM supplier",
+    "json_array_files": "SELECT p_partkey, p_name, p_size FROM part",
+    "json_file": """
+        SELECT '{"o_orderkey":' || o_orderkey || ',"priority":' ||
+               CASE WHEN o_orderpriority = '5-LOW' OR o_orderpriority IS NULL THEN 'null'
+                    ELSE '"' || o_orderpriority || '"' END || '}' AS value FROM orders""",
+    "tsv_report": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "empty_part": """
+        SELECT CAST(1 AS BIGINT) AS files, (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns()
+               WHERE table_name = 'orders') AS columns, (SELECT count(*) FROM orders WHERE o_orderkey < 0) AS rows""",
+    "archived_inputs": """
+        SELECT 'FileA_20000630_000000.csv' AS name, count(*) AS n FROM orders
+        UNION ALL SELECT 'FileB_20000630_000000.csv', count(*) FROM nation""",
+    "file_stamps": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events",
+    "default_date_type": _with("typed", """
+        SELECT 10 AS table_configuration_id, s.d AS as_of_date, coalesce(t.kind, 'EOD') AS date_type
+        FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) s
+        LEFT JOIN (SELECT d, kind FROM typed WHERE cfg = 10) t ON t.d = s.d"""),
+    "json_shape_nested": """
+        SELECT path, kind, (SELECT count(*) FROM orders) AS n FROM (VALUES ('key', 'int'), ('order', 'object'),
+          ('order.total', 'double'), ('order.state', 'object'), ('order.state.status', 'string')) AS t(path, kind)""",
+    "catalog_profile": """
+        SELECT 'labels' AS table_name, c AS column_name, 5 AS listed, 9 AS mapped
+        FROM (SELECT 'quality' AS c, max(quality) AS top FROM labels UNION ALL SELECT 'toxic', max(toxic) FROM labels)
+        WHERE top <= 1""",
+    "repeated_hour": """
+        SELECT o_orderkey, TIMESTAMP '2024-04-06 15:00:00' + INTERVAL 1 MINUTE * CAST(o_orderkey % 30 AS INTEGER) AS utc
+        FROM orders""",
+}

@@ -30,3 +30,17 @@ def test_chunks_are_bounded_and_ordered(rows):
     w = Window.partitionBy("g").orderBy("chunk")
     bad = sizes.withColumn("prev", F.lag("z").over(w)).where("n > 100 OR a <= prev")
     assert bad.count() == 0
+
+
+def test_far_apart_keys_make_few_slices(spark):
+    from granary.operators.numbering import chunk_rows
+
+    df = spark.range(4000).selectExpr("'g' as g", "abs(xxhash64(id)) as k").unionByName(
+        spark.range(5).selectExpr("'small' as g", "id * 1000000007 as k"))
+    got = chunk_rows(df, ["g"], "k", 10, rows_per_slice=100)
+    rows = [r for r in got.collect() if r.g == "g"]
+    rows.sort(key=lambda r: r.k)
+    assert [r.row_no for r in rows] == list(range(1, 4001)) and [r.chunk for r in rows] == [i // 10 for i in range(4000)]
+    low, high = rows[0].k, rows[-1].k
+    slices = {int((r.k - low) // ((high - low + 1) / 80)) for r in rows}
+    assert len(slices) <= 81

@@ -309,6 +309,40 @@ def test_archive_refuses_unknown_names(spark, root):
     assert os.listdir(root) == ["src"]
 
 
+def test_one_bad_date_does_not_stop_the_others(spark, root, monkeypatch):
+    month = F.to_date(F.trunc("o_orderdate", "month")).alias("as_of_date")
+    fx.table(spark, SF, "orders").select("*", month).write.parquet(f"{root}/src")
+    bad = D(1995, 3, 1)
+
+    def picky(df, path, *args):
+        if df.where(F.col("archive_date") == F.lit(bad)).count():
+            raise RuntimeError("bad date")
+        return writers.write_parts(df, path, *args)
+
+    monkeypatch.setattr("granary.plans.archive.write_parts", picky)
+    run = archive_orders(spark, root, 1)
+    details = spark.read.parquet(run.details)
+    assert [(r.as_of_date, r.error_message) for r in details.where("status = 'Failed'").collect()] == [(bad, "bad date")]
+    moved = {r[0] for r in spark.read.parquet(run.data).select("archive_date").distinct().collect()}
+    assert len(moved) > 10 and bad not in moved
+    assert spark.read.parquet(f"{root}/src").where(F.col("as_of_date") == F.lit(bad)).count() > 0
+    assert spark.read.parquet(run.header).select("id", "status").collect() == [(1, "Failed")]
+
+
+def test_second_run_exports_nothing(spark, root):
+    month = F.to_date(F.trunc("o_orderdate", "month")).alias("as_of_date")
+    fx.table(spark, SF, "orders").select("*", month).write.parquet(f"{root}/src")
+    few = schemas.retention_policies(spark).withColumn("keep_last_eom", F.lit(1))
+    kw = dict(config_id=30, retention_policies=few, exemptions=fx.exemptions(spark).limit(0))
+    first = archive_orders(spark, root, 1, **kw)
+    known = spark.read.parquet(first.files)
+    assert known.count() == spark.read.parquet(first.manifest).count() == known.select("id").distinct().count() > 0
+    second = archive_orders(spark, root, 2, files=known, **kw)
+    assert spark.read.parquet(second.decisions).where("decision = 'Export'").count() == 0
+    assert spark.read.parquet(second.files).count() == known.count()
+    assert spark.read.parquet(second.header).select("status").collect() == [("Success",)]
+
+
 def test_failed_export_is_logged_and_cleaned(spark, root, monkeypatch):
     fx.table(spark, SF, "orders").select("*", F.to_date(F.trunc("o_orderdate", "month")).alias("as_of_date")).write.parquet(f"{root}/src")
     before = spark.read.parquet(f"{root}/src").count()

@@ -78,3 +78,16 @@ def test_discovery_registers_new_objects(spark, tmp_path):
     assert got == {"f": ("2024-01-05", "EXT", "Active"), "g": ("None", None, "Active")}
     again = known_files(spark, files.withColumn("status", F.lit("Created")), f"{root}/out")
     assert {r.status for r in again.collect()} == {"Active"} and again.count() == 2
+
+
+def test_discovery_opens_no_object(spark, tmp_path):
+    folder = tmp_path / "in" / "2024-01-05"
+    folder.mkdir(parents=True)
+    (folder / "a.bin").write_bytes(b"x" * 100)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, "10")
+    try:
+        stream_discovery(spark, str(tmp_path / "in"), 20, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    assert [r.file_size_bytes for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [100]
