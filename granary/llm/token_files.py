@@ -9,6 +9,7 @@ ids and counts are delta-encoded (format version 2). Lengths and starts are read
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +24,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 256 << 10
-#: Distinct pieces of text whose ids a worker remembers; then it starts anew.
-CACHE_PIECES = 300_000
+#: Distinct pieces of text in each of a worker's two generations.
+CACHE_PIECES = 250_000
 SCHEMA = "doc_id long, ids array<int>"
 
 
@@ -34,14 +35,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> object:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+#: White space next to a space: such places are not cut. All branches begin with a space, which is searched for fast.
+_WIDE = re.compile(r" (?:\s|$|(?<=\s )|(?<=^ ))")
 
 
 def pieces(text: str) -> list[str]:
@@ -62,29 +57,77 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes with the tokenizer, each distinct piece once."""
+    """Encodes with the tokenizer, each distinct piece once while it is remembered.
+
+    Most pieces are a word after a space. They are kept in two generations of bounded size: those
+    met again move to the new one, and when that is full the old one is dropped.
+    """
 
     def __init__(self, path: str) -> None:
-        self.path, self.known, self.ids = path, {}, []
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.ids = {}, []
-        known, new, cut = self.known, {}, []
-        for t in texts:
-            own = pieces(t) if t else []
-            cut.append(own)
-            for p in own:
-                if p not in known and p not in new:
-                    new[p] = len(self.ids) + len(new)
-        if new:
-            made = _tokenizer(self.path).encode_batch_fast(list(new), add_special_tokens=False)
-            self.ids += [np.array(e.ids, np.int32) for e in made]
-            known.update(new)
-        ids = self.ids
-        return [
-            np.concatenate([ids[known[p]] for p in own] + [np.array([END_ID], np.int32)]) for own in cut
-        ]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A token's characters stand for one byte each.
+        self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words after a space, encoded many in one text: where each ends follows from the tokens' lengths."""
+        joint = [w for w in words if not w[-1].isspace()]
+        blocks = [joint[i : i + 50] for i in range(0, len(joint), 50)]
+        texts = [" " + " ".join(own) for own in blocks]
+        for own, text, ids in zip(blocks, texts, self._encode(texts)):
+            sizes = [1 + n for n in map(len, own)] if text.isascii() else [1 + len(w.encode()) for w in own]
+            cut = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1
+            data, ends = ids.tobytes(), (4 * cut).tolist()
+            self.young.update(zip(own, [data[i:j] for i, j in zip([0, *ends], ends)]))
+        for w in words:
+            if w[-1].isspace():
+                self.young[w] = self._encode([" " + w])[0].tobytes()
+
+    def _rest(self, piece: str) -> bytes:
+        if piece not in self.other:
+            self.other[piece] = self._encode([piece])[0].tobytes()
+        return self.other[piece]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        if len(self.other) > CACHE_PIECES:
+            self.other = {}
+        whole = [pieces(t) if _WIDE.search(t) else None for t in texts]
+        words = [t.split(" ") if own is None else [] for t, own in zip(texts, whole)]
+        ids = [list(map(self.young.get, own[1:])) for own in words]
+        todo = []
+        for w in {w for own, found in zip(words, ids) if None in found for w, x in zip(own[1:], found) if x is None}:
+            if w in self.old:
+                self.young[w] = self.old[w]
+            else:
+                todo.append(w)
+        self._learn(todo)
+        out = []
+        for own, first, found in zip(whole, words, ids):
+            if own is not None:
+                out.append(b"".join(map(self._rest, own)))
+                continue
+            if None in found:
+                found = [x or self.young[w] for w, x in zip(first[1:], found)]
+            out.append((self._rest(first[0]) if first[0] else b"") + b"".join(found))
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker and vocabulary; a worker serves many tasks."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -94,13 +137,14 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from granary.llm.bytes_np import slices
 
-        encoder = Encoder(path)
+        made, end = encoder(path), np.array([END_ID], "<i4").tobytes()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                made = encoder([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum([0] + [m.size for m in made])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+                ids = [x + end for x in made([t or "" for t in part.column("text").to_pylist()])]
+                ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
