@@ -29,10 +29,11 @@ class ArchiveRun:
     details: str
     files: str
     header: str
+    days: str
 
 
 def run_paths(out: str, run_id: int) -> ArchiveRun:
-    names = ("decisions", "data", "manifest", "deletions", "details", "files", "header")
+    names = ("decisions", "data", "manifest", "deletions", "details", "files", "header", "days")
     return ArchiveRun(*[f"{out.rstrip('/')}/{name}/run_id={run_id}" for name in names])
 
 
@@ -58,14 +59,18 @@ def archive_table(
         raise ValueError(f"{source} has no column {as_of_column}")
     run = run_paths(out, run_id)
 
-    dates = retention.as_of_dates(rows, as_of_column).withColumn(CONFIG, F.lit(config_id))
+    # One pass over the column serves the dates, the decisions and the writer.
+    day = F.to_date(F.col(as_of_column)).alias("as_of_date")
+    rows.groupBy(day).agg(F.count(F.lit(1)).alias("n_rows")).where("as_of_date is not null").write.parquet(run.days)
+    days = spark.read.parquet(run.days)
+    dates = days.select("as_of_date", F.lit(config_id).alias(CONFIG))
     candidates = retention.candidate_dates(retention.date_types(dates), one, retention_policies)
     retention.archive_decisions(candidates, one, files, exemptions).write.parquet(run.decisions)
     decisions = spark.read.parquet(run.decisions)
 
     try:
         manifest, bad = _export(
-            spark, rows, as_of_column, decisions, one, lifecycle_policies, exemptions,
+            spark, rows, as_of_column, days, decisions, one, lifecycle_policies, exemptions,
             run, run_ts, rows_per_part,
         )
     except Exception as error:
@@ -104,7 +109,7 @@ def _log_header(spark, run: ArchiveRun, run_id: int, run_ts: dt.datetime, status
 
 
 def _export(
-    spark, rows, as_of_column, decisions, one, lifecycle_policies, exemptions,
+    spark, rows, as_of_column, days, decisions, one, lifecycle_policies, exemptions,
     run: ArchiveRun, run_ts, rows_per_part,
 ) -> tuple[DataFrame, dict[dt.date, str]]:
     """Write the parts of all planned dates, then the manifest read back from the files.
@@ -118,7 +123,8 @@ def _export(
         first, last = plan.agg(F.min("as_of_date"), F.max("as_of_date")).first()
         in_range = day.between(F.lit(first), F.lit(last)) if first else F.lit(False)
         due = ops.on_planned_dates(ops.with_position(rows.where(in_range)), as_of_column, plan)
-        write_parts(due, path, ops.position_slice(), rows_per_part)
+        counts = plan.join(days, "as_of_date").select(F.col("as_of_date").alias("archive_date"), "n_rows")
+        write_parts(due, path, ops.position_slice(), rows_per_part, counts=counts)
 
     bad: dict[dt.date, str] = {}
     try:
@@ -126,9 +132,9 @@ def _export(
     except Exception as error:
         remove(spark, run.data)
         # One row per date: a few thousand at most.
-        days = sorted(r[0] for r in planned.select("as_of_date").distinct().toLocalIterator())
-        _export_halves(spark, planned, days, write, run.data, bad)
-        if len(bad) == len(days):
+        due = sorted(r[0] for r in planned.select("as_of_date").distinct().toLocalIterator())
+        _export_halves(spark, planned, due, write, run.data, bad)
+        if len(bad) == len(due):
             raise error
     parts = read_part_files(spark, run.data).join(
         planned.select(CONFIG, "as_of_date", "date_type"), "as_of_date"
@@ -165,7 +171,10 @@ def _delete(
     was deleted is counted in the source afterwards, not taken from the plan.
     """
     day = F.to_date(F.col(as_of_column))
-    held = rows.groupBy(day.alias("as_of_date")).agg(F.count(F.lit(1)).alias("held"))
+    # Counted anew for the dates to drop: rows that arrived meanwhile were not exported.
+    now = spark.read.schema(rows.schema).parquet(source)
+    due = exported.select(F.col("as_of_date").alias("_due"))
+    held = now.join(due, day == F.col("_due"), "left_semi").groupBy(day.alias("as_of_date")).agg(F.count(F.lit(1)).alias("held"))
     plan = f"{run.deletions}_plan"
     exported.join(held, "as_of_date").select(
         CONFIG, "as_of_date", F.col("row_count").alias("expected_rows"), "held",
@@ -176,7 +185,7 @@ def _delete(
         # One row per date: a few thousand at most.
         delete_as_of(spark, source, as_of_column, [r[0] for r in gone.toLocalIterator()])
     elif not gone.isEmpty():
-        hit = rows.withColumn("_file", F.col("_metadata.file_path")).join(gone, day == F.col("_gone"), "left_semi")
+        hit = now.withColumn("_file", F.col("_metadata.file_path")).join(gone, day == F.col("_gone"), "left_semi")
         files = [r[0] for r in hit.select("_file").distinct().toLocalIterator()]
         kept = spark.read.schema(rows.schema).parquet(*files).join(gone, day == F.col("_gone"), "left_anti")
         rewrite_survivors(spark, source, files, kept)

@@ -24,6 +24,8 @@ FEED_ROUTES = {
 
 # Writer defaults.
 ROWS_PER_PART = 50_000
+ROW_GROUP_BYTES = 8 * 1024**2
+ROW_GROUP_ROWS = 8_192
 JDBC_BATCH_ROWS = 1_000
 
 # Import templates: name -> ordered (column, type).

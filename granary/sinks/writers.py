@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from granary.operators.archive import assign_parts
 from granary.operators.feed import BLANK, UNROUTED, Routes, routed_rows
-from granary.schemas import FEED_ROUTES, JDBC_BATCH_ROWS, ROWS_PER_PART
+from granary.schemas import (
+    FEED_ROUTES, JDBC_BATCH_ROWS, ROW_GROUP_BYTES, ROW_GROUP_ROWS, ROWS_PER_PART,
+)
 from granary.sinks.publish import (
     children, move, path_exists, publish_new, publish_swap, remove, staging,
 )
@@ -23,21 +25,22 @@ from granary.sinks.publish import (
 
 def write_parts(
     df: DataFrame, path: str, by, rows_per_part: int = ROWS_PER_PART, empty_part: bool = False,
-    hot_rows: int = 1_000_000,
+    hot_rows: int = 1_000_000, counts: DataFrame | None = None,
 ) -> str:
     """Snappy Parquet below ``archive_date=``, ceil(rows / rows_per_part) files per date.
 
     Rows carry their date as ``archive_date``. A date of up to ``hot_rows`` rows goes to one
     task, which starts a new file every ``rows_per_part`` rows: one shuffle in all. Larger
-    dates are numbered first and spread part by part over many tasks. With ``empty_part`` an
-    input without rows leaves a single schema-only file.
+    dates are numbered first and spread part by part over many tasks. ``counts``, rows per
+    ``archive_date`` as ``n_rows``, saves counting them again. Row groups end at 8 MiB or 8,192
+    rows, so that the writers a task has open stay small. With ``empty_part`` an input without rows
+    leaves a single schema-only file.
     """
     spark = df.sparkSession
     day, place = "archive_date", ["source_file", "source_row"]
-    hot = (
-        df.groupBy(day).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-        .select(day)
-    )
+    if counts is None:
+        counts = df.groupBy(day).agg(F.count(F.lit(1)).alias("n_rows"))
+    hot = counts.where(F.col("n_rows") > hot_rows).select(day)
     # At most rows/hot_rows dates, so the list always fits a broadcast.
     small = df.join(F.broadcast(hot), day, "left_anti").withColumn("part_index", F.lit(None).cast("int"))
     large = assign_parts(
@@ -47,6 +50,7 @@ def write_parts(
 
     def write(staged: str) -> None:
         writer = spread.write.option("maxRecordsPerFile", rows_per_part)
+        writer = writer.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
         writer.option("compression", "snappy").partitionBy(day).parquet(staged)
         if empty_part and not any(f"{day}=" in c for c in children(spark, staged)):
             empty = spark.createDataFrame([], df.drop(day, *place).schema).coalesce(1)

@@ -314,10 +314,10 @@ def test_one_bad_date_does_not_stop_the_others(spark, root, monkeypatch):
     fx.table(spark, SF, "orders").select("*", month).write.parquet(f"{root}/src")
     bad = D(1995, 3, 1)
 
-    def picky(df, path, *args):
+    def picky(df, path, *args, **kw):
         if df.where(F.col("archive_date") == F.lit(bad)).count():
             raise RuntimeError("bad date")
-        return writers.write_parts(df, path, *args)
+        return writers.write_parts(df, path, *args, **kw)
 
     monkeypatch.setattr("granary.plans.archive.write_parts", picky)
     run = archive_orders(spark, root, 1)
