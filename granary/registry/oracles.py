@@ -580,9 +580,8 @@ ORACLES |= {
                CASE WHEN o_orderpriority = '5-LOW' OR o_orderpriority IS NULL THEN 'null'
                     ELSE '"' || o_orderpriority || '"' END || '}' AS value FROM orders""",
     "tsv_report": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
-    "empty_part": """
-        SELECT CAST(1 AS BIGINT) AS files, (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns()
-               WHERE table_name = 'orders') AS columns, (SELECT count(*) FROM orders WHERE o_orderkey < 0) AS rows""",
+    "empty_part": f"""
+        SELECT CAST(1 AS BIGINT) AS files, '{','.join(c.split()[0] for c in COLUMNS['orders'].split(', '))}' AS columns, (SELECT count(*) FROM orders WHERE o_orderkey < 0) AS rows""",
     "archived_inputs": """
         SELECT 'FileA_20000630_000000.csv' AS name, count(*) AS n FROM orders
         UNION ALL SELECT 'FileB_20000630_000000.csv', count(*) FROM nation""",
