@@ -187,7 +187,9 @@ def _cut(length: int):
     return run
 
 
-STARTS = "row_id long, start int, count int, key binary"
+STARTS = "row_id long, start int, count int, bucket int, windows binary"
+#: A window of a dealt anchor: hash, place, and whether it is known to be repeated.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("row", "<i8"), ("start", "<i4"), ("known", "?")])
 
 
 def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,33 +214,41 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return owner[at], at - (ends[owner[at]] - sizes[owner[at]]), again[at]
 
 
-def _sort(length: int):
-    """Repeated windows of each shard as runs; of dealt shards also the other windows, by hash."""
+def _runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of the runs of consecutive numbers in ``place``."""
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1] + 1])) if place.size else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, place.size))
+
+
+def _sort(length: int, buckets: int):
+    """Repeated windows of each shard as runs; of dealt shards also all windows by hash, packed by bucket."""
 
     def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         texts = [r[3] for r in rows]
         owner, offset, again = repeated_windows(texts, length)
         row, start = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         i = np.flatnonzero(again)
-        new = np.ones(i.size, bool)
-        new[1:] = (i[1:] != i[:-1] + 1) | (owner[i[1:]] != owner[i[:-1]])
-        head = i[new]
-        count = np.diff(np.append(np.flatnonzero(new), i.size))
-        yield _starts(row[owner[head]], start[owner[head]] + offset[head], count, None)
-        if not any(r[4] for r in rows):
-            return
+        # Two texts are a gap apart, so that no run goes from one to the next.
+        first, count = _runs(i + owner[i])
+        yield _starts(row[owner[i[first]]], start[owner[i[first]]] + offset[i[first]], count)
         hot = np.array([r[4] for r in rows])
+        pick = np.flatnonzero(hot[owner])
+        if not pick.size:
+            return
         buf = np.frombuffer(b"".join(texts), np.uint8)
         base = np.cumsum([0] + [len(t) for t in texts])[:-1]
-        pick = np.flatnonzero(hot[owner])
         at = base[owner[pick]] + offset[pick]
         one, two = B.prefix_sums(buf), B.prefix_sums(255 - buf)
-        key = np.stack([B.span_hash(one, at, at + length), B.span_hash(two, at, at + length)], axis=1)
-        # A window that is repeated here is sent once, as known; it may tell another shard.
-        key, first = np.unique(np.ascontiguousarray(key).view([("a", "u8"), ("b", "u8")])[:, 0], return_index=True)
-        known = again[pick[first]]
-        o = owner[pick[first]]
-        yield _starts(row[o], start[o] + offset[pick[first]], np.where(known, 0, 1), [k.tobytes() for k in key])
+        found = np.empty(pick.size, WINDOW)
+        found["a"], found["b"] = B.span_hash(one, at, at + length), B.span_hash(two, at, at + length)
+        found["row"], found["start"], found["known"] = row[owner[pick]], start[owner[pick]] + offset[pick], again[pick]
+        # A window that is repeated here is sent once; it may tell another shard.
+        found = found[np.unique(found[["a", "b"]], return_index=True)[1]]
+        to = (B.mix(found["a"].copy()) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            yield _starts(np.zeros(1, np.int64), np.zeros(1), np.zeros(1), k, found[order[cut[k] : cut[k + 1]]].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, now = [], 0, None
@@ -257,26 +267,45 @@ def _sort(length: int):
     return run
 
 
-def _starts(row: np.ndarray, start: np.ndarray, count: np.ndarray, key: list[bytes] | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32()),
-        pa.array(key if key is not None else [None] * len(row), pa.binary()),
-    ], ["row_id", "start", "count", "key"])
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that several shards of an anchor hold, where they are held once."""
+
+    def close(parts: list[bytes]) -> pa.RecordBatch:
+        w = np.frombuffer(b"".join(parts), WINDOW)
+        _, at, n = np.unique(w[["a", "b"]], return_inverse=True, return_counts=True)
+        w = w[(n[at] > 1) & ~w["known"]]
+        return _starts(w["row"], w["start"], np.ones(w.size))
 
+    now, parts = None, []
+    for batch in batches:
+        for b, data in zip(batch.column("bucket").to_pylist(), batch.column("windows")):
+            if b != now and parts:
+                yield close(parts)
+                parts = []
+            now = b
+            parts.append(data.as_py())
+    if parts:
+        yield close(parts)
 
-RESULT = "row_id long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+def _starts(row: np.ndarray, start: np.ndarray, count: np.ndarray, bucket: int | None = None, windows: bytes | None = None) -> pa.RecordBatch:
+    n = len(row)
+    return pa.RecordBatch.from_arrays([
+        pa.array(row, pa.int64()), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(count, np.int32)),
+        pa.array([bucket] * n, pa.int32()), pa.array([windows] * n, pa.binary()),
+    ], ["row_id", "start", "count", "bucket", "windows"])
 
 
 def _remove(length: int, kept: bool):
     """Remove the bytes of the repeated windows of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row_id", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for part in B.slices(batch, "text"):
                 made = []
-                for row, text, marks in zip(part.column("row_id").to_pylist(), part.column("text"), part.column("marks")):
+                for text, marks in zip(part.column("text"), part.column("marks")):
                     data = np.frombuffer(text.as_py(), np.uint8)
                     edges = np.zeros(data.size + 1, np.int32)
                     start = marks.values.field("start").to_numpy()
@@ -285,8 +314,9 @@ def _remove(length: int, kept: bool):
                     gone = np.cumsum(edges[:-1]) > 0
                     spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                     rest = data[~gone].tobytes()
-                    made.append((row, int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if kept else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
+                    made.append((data.size, int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if kept else None))
+                columns = [pa.array(c, t) for c, t in zip(zip(*made), types)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
 
     return run
 
@@ -316,20 +346,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, kept: bool = False, shard_conte
         F.when(~met_any, F.sha2("text", 256)).alias("kept_sha256"), F.when(met_any | F.lit(kept), F.col("text")).alias("text"),
         "marks", "sorts"), "suffix-work")
     found = work.where("size(sorts) > 0").select("row_id", "text", "sorts").mapInArrow(_cut(length), CONTEXT).repartition(
-        "shard").sortWithinPartitions("shard").mapInArrow(_sort(length), STARTS)
+        "shard").sortWithinPartitions("shard").mapInArrow(_sort(length, buckets), STARTS)
     found = materialize(found, "suffix-starts")
     # A window that two shards of one anchor hold is repeated wherever it is held once.
-    dealt = found.where("key is not null")
-    again = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    across = dealt.where("count > 0").join(again, "key", "left_semi").select("row_id", "start", "count")
-    more = found.where("key is null").select("row_id", "start", "count").union(across).groupBy("row_id").agg(
-        F.collect_list(F.struct("start", "count")).alias("more"))
-    nothing = F.array().cast("array<struct<start:int,count:int>>")
-    touched = work.where("marks is not null").select("row_id", "text", "marks").join(more, "row_id", "left").select(
-        "row_id", "text", F.concat("marks", F.coalesce("more", nothing)).alias("marks"))
-    removed = touched.mapInArrow(_remove(length, kept), RESULT)
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    changed = removed.join(work.where("marks is not null").select("row_id", "doc_id", "n_bytes"), "row_id").select(*columns)
+    across = found.where("bucket is not null").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across, STARTS)
+    # These grow with the texts, so the texts are never joined by a broadcast.
+    more = found.where("bucket is null").unionByName(across).groupBy("row_id").agg(
+        F.collect_list(F.struct("start", "count")).alias("more")).hint("merge")
+    whole = work.where("size(sorts) = 0").select("doc_id", "text", "marks")
+    partly = work.where("size(sorts) > 0").join(more, "row_id", "left").select(
+        "doc_id", "text", F.concat("marks", F.coalesce("more", F.array().cast("array<struct<start:int,count:int>>"))).alias("marks"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    changed = whole.unionByName(partly).mapInArrow(
+        _remove(length, kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     same = work.where("marks is null").select(
         "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256",
         F.col("text").alias("kept"))
