@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.session import shared_dir
 
@@ -20,3 +21,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Largest side of a join that is sent to all executors.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, for the small side of a join: broadcast if its rows, counted, fit the bound,
+    and joined by a shuffle otherwise."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -1,14 +1,15 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents with equal shingle sets are one set. Sets that share a rare shingle are put into groups,
-groups are cut into blocks of bounded size, and for each pair of blocks that can hold a link
-the union of the tokens of one bounds what a set of the other can have in common with any
-of its members; only where the bound reaches the threshold are members compared.
+and groups are cut into blocks of bounded size. The matrix of shingles and blocks tells how many
+of a set's first shingles any member of a block has; that and, where it suffices, the union of all the
+block's shingles bound what the set can have in common with a member. Only where both
+bounds reach the threshold is the block opened and its members compared.
 
 Exactness: two sets with Jaccard of at least t share at least t of each, so each shares one of the
-first (1 - t) n + 1 shingles in any fixed order. That order is by frequency, estimated for
-all documents with a table of fixed size, then by hash: links are found whatever the estimate, and
-passages common to many documents come last.
+first (1 - t) n + 1 shingles in any fixed order. The order is by hash, but shingles that stand out in a
+count over all documents, kept in a table of fixed size, come last: links are found whatever the
+counts say, and passages common to many documents bring no others together.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import bytes_np as B
-from granary.llm.common import materialize
+from granary.llm.common import materialize, sent_if_small
 from granary.llm.components import components
 
 SHINGLE_WORDS = 4
 THRESHOLD = 85  # percent
-#: Counters of the frequency table, and how many travel in one row.
-COUNTERS, CHUNK = 1 << 20, 1 << 14
+#: Counters of the frequency table, and how many travel in one row. Only shingles with a hash below COUNTED are
+#: counted; the others are rarely among the first of a set.
+COUNTERS, CHUNK, COUNTED = 1 << 21, 1 << 14, np.uint64(1 << 62)
 #: Sets and shingles in one block; a single larger set is a block of its own.
 BLOCK_SETS, BLOCK_TOKENS = 128, 200_000
+#: Sets compared with one block in one task.
+QUERIES = 256
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -56,8 +60,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"))
 
 
-def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """A rank per counter, higher for more frequent shingles, from all documents.
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def frequent_slots(docs: DataFrame, k: int) -> np.ndarray:
+    """Whether a counter stands out, from all documents: by more than chance and a few copies explain.
 
     Tasks send their counters in chunks, the chunks are added up in a stream, and the driver
     gets COUNTERS numbers, whatever the input.
@@ -68,43 +76,49 @@ def frequency_ranks(docs: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for part in B.slices(batch, "text"):
                 h, _ = B.windows(B.words(*B.text_bytes(part.column("text")), lower=True), k)
-                total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(total, _slot(h[h < COUNTED]), 1)
         yield from rows({i: total[i * CHUNK : (i + 1) * CHUNK] for i in range(COUNTERS // CHUNK)})
 
     def rows(chunks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for i, c in chunks.items():
             if c.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["chunk", "counts"])
+                # All lowest bytes first, all highest last: the zeros of small counts lie together.
+                planes = np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([planes], pa.binary())], ["chunk", "counts"])
+
+    def counts(planes: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                chunks[i] = chunks.get(i, 0) + np.frombuffer(c.as_py(), np.int64)
+                chunks[i] = chunks.get(i, 0) + counts(c.as_py())
         yield from rows(chunks)
 
     kind = "chunk int, counts binary"
     added = _texts(docs).mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind)
     total = np.zeros(COUNTERS, np.int64)
     for r in added.collect():
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return (4 * np.log2(total + 1)).astype(np.uint8)
+        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = counts(r["counts"])
+    mean = total.mean()
+    return total > mean + 6 * np.sqrt(mean) + 8
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``row_id``, ``doc_id``, ``n_shingles``, ``set_key`` (null if empty), ``prefix`` of each row, written once."""
-    ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, k))
+    slots = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
+        frequent = slots.value
         for batch in batches:
             for part in B.slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 prefix = []
                 for x in sets:
                     n = x.size + (-threshold * x.size // 100) + 1 if x.size else 0
-                    order = np.argsort(rank[(x & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
-                    prefix.append(x[order[:n]])
+                    late = (x < COUNTED) & frequent[_slot(x)]
+                    prefix.append(np.concatenate([x[~late], x[late]])[:n] if late.any() else x[:n])
                 ends = np.cumsum([0] + [p.size for p in prefix])
                 yield pa.RecordBatch.from_arrays([
                     part.column("row_id"), part.column("doc_id"), pa.array([x.size for x in sets], pa.int64()),
@@ -117,107 +131,129 @@ def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHO
         rows.mapInArrow(run, "row_id long, doc_id long, n_shingles long, set_key binary, prefix array<long>"), "join-signatures")
 
 
-def _blocks(hits: DataFrame, threshold: int) -> DataFrame:
+def _blocks(hits: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """``set_id``, ``block`` and size ``class`` of each set that shares a prefix shingle."""
-    own = hits.groupBy("set_id", "n").agg(F.min("leader").alias("group"))
+    own = hits.groupBy("set_id").agg(F.min("leader").alias("group")).join(
+        sets.select("set_id", F.col("n_shingles").alias("n")), "set_id")
     own = own.withColumn("class", F.floor(F.log("n") / float(np.log(100 / threshold))).cast("int"))
     cuts = own.groupBy("group", "class").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).select(
         "group", "class", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).alias("cuts"))
     return own.join(cuts, ["group", "class"]).select(
-        "set_id", "class", F.xxhash64("group", "class", F.pmod(F.xxhash64("set_id"), F.col("cuts"))).alias("block"))
-
-
-def _pairs(hits: DataFrame, members: DataFrame) -> DataFrame:
-    """``block`` and ``pair``: the pairs of blocks to compare, once for each block in them."""
-    at = materialize(hits.join(members, "set_id").select("token", "block", "class").distinct(), "join-matrix")
-    a = at.select("token", F.col("block").alias("a"), F.col("class").alias("ca"))
-    b = at.select("token", F.col("block").alias("b"), F.col("class").alias("cb"))
-    met = a.join(b, "token").where("a < b and abs(ca - cb) <= 1").select("a", "b").distinct()
-    alone = members.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
-    both = met.union(alone).withColumn("pair", F.struct("a", "b"))
-    return both.select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-
-
-def block_links(left: list[np.ndarray], right: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Indices of linked sets; a set of ``left`` whose overlap with the union of ``right`` is too small is not compared."""
-    sizes = np.array([y.size for y in right])
-    token = np.concatenate(right)
-    owner = np.repeat(np.arange(len(right)), sizes)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    out = []
-    for i, x in enumerate(left):
-        lo, hi = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+        "set_id", "n", "class", F.xxhash64("group", "class", F.pmod(F.xxhash64("set_id"), F.col("cuts"))).alias("block"))
+
+
+def _opened(hits: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """``set_id`` and ``block`` of the blocks a set has to be compared with, from the token-group matrix.
+
+    Let k shingles be common to the first ones of two sets of n and y. Of the set whose first ones end earlier in
+    the order, all but its first ones may be common too, less than t times its size, so the overlap is
+    below k + t max(n, y). A link needs t / (1 + t) (n + y). What that asks of k is least for the smallest or the
+    largest member of a block.
+    """
+    at = materialize(hits.join(members, "set_id"), "join-matrix")
+    cells = at.groupBy("token", "block", "class").agg(F.count(F.lit(1)).alias("sets"))
+    met = at.alias("x").join(cells.alias("c"), F.expr(
+        "x.token = c.token and abs(x.class - c.class) <= 1 and (x.block < c.block or x.block = c.block and c.sets > 1)"))
+    counted = met.groupBy("x.set_id", "x.n", "c.block").agg(F.count(F.lit(1)).alias("k"))
+    sizes = members.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    t = threshold / 100
+    n, low, high = F.col("n"), F.greatest("low", F.col("n") * t), F.least("high", F.col("n") / t)
+    needs = [t / (1 + t) * (n + y) - t * F.greatest(n, y) for y in (low, high)]
+    # Rounding must not lose a pair that just reaches the bound.
+    return counted.join(sizes, "block").where((low <= high) & (F.col("k") >= F.least(*needs) - 1e-6)).select("set_id", "block")
+
+
+def _places(members: DataFrame, opened: DataFrame) -> DataFrame:
+    """``set_id`` with the ``block``, ``share`` and role of each comparison it takes part in.
+
+    A block's queries are dealt into shares of bounded size; its members go to each of them.
+    """
+    shares = opened.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("shares"))
+    queries = opened.join(shares, "block").select(
+        "set_id", "block", F.pmod(F.xxhash64("set_id"), F.col("shares")).alias("share"), F.lit(True).alias("query"))
+    held = members.join(shares, "block").select(
+        "set_id", "block", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share"), F.lit(False).alias("query"))
+    return queries.unionByName(held).groupBy("set_id").agg(F.collect_list(F.struct("block", "share", "query")).alias("places"))
+
+
+class Block:
+    """The sets of one block, by token."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.ids = ids
+        self.sizes = np.array([y.size for y in sets])
+        token = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(token, kind="stable")
+        self.token, self.owner = token[order], owner[order]
+
+    def links(self, x: np.ndarray, threshold: int) -> list[int]:
+        """Members linked with ``x``; none are compared if its overlap with the block's union is too small."""
+        lo, hi = np.searchsorted(self.token, x, "left"), np.searchsorted(self.token, x, "right")
         inside = hi > lo
         if 100 * int(inside.sum()) < threshold * x.size:
-            continue
+            return []
         lo, n = lo[inside], (hi - lo)[inside]
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(right))
-        linked = np.flatnonzero(100 * common >= threshold * (x.size + sizes - common))
-        out += [(i, int(j)) for j in linked]
-    return out
+        common = np.bincount(self.owner[at], minlength=len(self.ids))
+        linked = np.flatnonzero(100 * common >= threshold * (x.size + self.sizes - common))
+        return [self.ids[j] for j in linked.tolist()]
 
 
-def links(docs: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Links ``a``, ``b`` between set ids that span every component of equal or similar sets."""
-    tokens = sets.select("set_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links ``a``, ``b`` between set ids that span every component of similar sets."""
+    # The shingles are dealt once, for their counts and for the lookup of those that are shared.
+    tokens = signed.join(sets.select(F.col("set_id").alias("row_id")), "row_id", "left_semi").select(
+        F.col("row_id").alias("set_id"), F.explode("prefix").alias("token")).repartition("token")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("set_id").alias("leader")).where("df > 1").drop("df")
     hits = materialize(tokens.join(shared, "token"), "join-hits")
-    members = materialize(_blocks(hits, threshold), "join-blocks")
-    pairs = _pairs(hits, members)
-    wanted = members.join(pairs, "block").groupBy("set_id").agg(F.collect_list(F.struct("pair", "block")).alias("pairs"))
-    texts = wanted.join(sets.select("set_id", "set_key", "rep"), "set_id")
+    members = materialize(_blocks(hits, sets, threshold), "join-blocks")
+    opened = materialize(_opened(hits.select("token", "set_id"), members, threshold), "join-opened")
+    texts = materialize(_places(members, opened).join(sets.select("set_id", "set_key", "rep"), "set_id"), "join-places")
+    most = texts.agg(F.coalesce(F.max(F.size("places")), F.lit(0))).first()[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d").join(
-        texts.alias("t"), F.expr("d.doc_id <=> t.rep")).select("text", "set_id", "set_key", "pairs")
+        sent_if_small(texts, 100 + 40 * most).alias("t"), F.expr("d.doc_id <=> t.rep")).select("text", "set_id", "set_key", "places")
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "block", "set_id", "tokens"]
+        names, types = ["block", "share", "query", "set_id", "tokens"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
         for batch in batches:
             for part in B.slices(batch, "text", 1 << 20):
                 made: list[tuple] = []
                 found = shingle_sets(part.column("text"), k)
-                for x, s, key, own in zip(found, *(part.column(c).to_pylist() for c in ("set_id", "set_key", "pairs"))):
+                for x, s, key, own in zip(found, *(part.column(c).to_pylist() for c in ("set_id", "set_key", "places"))):
                     # Another text with the same id is another set.
                     if x.size and set_key(x) == key:
-                        made += [(p["pair"]["a"], p["pair"]["b"], p["block"], s, x.tobytes()) for p in own]
+                        made += [(p["block"], p["share"], p["query"], s, x.tobytes()) for p in own]
                 for i in range(0, len(made), 256):
-                    types = [pa.int64()] * 4 + [pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[i : i + 256]), types)], names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(pair: tuple[int, int], sides: dict[int, dict[int, np.ndarray]]) -> pa.RecordBatch:
-            left, right = sides.get(pair[0], {}), sides.get(pair[1], {})
-            root: dict[int, int] = {}
+        now, held, block, root = None, {}, None, {}
 
-            def top(x: int) -> int:
-                while root.get(x, x) != x:
-                    root[x] = x = root.get(root[x], root[x])
-                return x
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
 
+        for batch in batches:
             made = []
-            a, b = list(left), list(right)
-            if a and b:
-                for i, j in block_links(list(left.values()), list(right.values()), threshold):
-                    u, v = top(a[i]), top(b[j])
-                    if u != v:  # a link inside a component that the pair already has adds nothing
+            for place, share, query, s, data in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                if (place, share) != now:
+                    now, held, block, root = (place, share), {}, None, {}
+                x = np.frombuffer(data, np.uint64)
+                if not query:  # members come first
+                    held[s] = x
+                    continue
+                block = block or Block(list(held), list(held.values()))
+                for y in block.links(x, threshold):
+                    u, v = top(s), top(y)
+                    if u != v:  # a link inside a component already found here adds nothing
                         root[max(u, v)] = min(u, v)
-                        made.append((a[i], b[j]))
-            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        now, sides = None, {}
-        for batch in batches:
-            for a, b, block, s, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "block", "set_id", "tokens"))):
-                if (a, b) != now:
-                    if now:
-                        yield close(now, sides)
-                    now, sides = (a, b), {}
-                sides.setdefault(block, {})[s] = np.frombuffer(data, np.uint64)
-        if now:
-            yield close(now, sides)
+                        made.append((s, y))
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    held = rows.mapInArrow(content, "a long, b long, block long, set_id long, tokens binary")
-    return held.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+    dealt = rows.mapInArrow(content, "block long, share long, query boolean, set_id long, tokens binary").repartition("block", "share")
+    return dealt.sortWithinPartitions("block", "share", "query").mapInArrow(compare, "a long, b long")
 
 
 def join(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -230,12 +266,12 @@ def join(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) ->
     signed = signatures(docs, k, threshold)
     filled = signed.where("set_key is not null")
     sets = materialize(filled.groupBy("set_key").agg(
-        F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep"),
-        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_id"))).alias("low"), F.min("row_id").alias("row"),
-    ).withColumn("set_id", F.monotonically_increasing_id()), "join-sets")
-    roots = components(links(docs, sets, k, threshold))
+        F.min("row_id").alias("set_id"), F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"),
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_id"))).alias("low"),
+    ), "join-sets")
+    roots = components(links(docs, signed, sets, k, threshold))
     placed = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("low"), F.min("row").alias("row")).select(
+    lowest = placed.groupBy("root").agg(F.min("low").alias("low"), F.min("set_id").alias("row")).select(
         "root", F.col("low.doc_id").alias("component_id"), F.coalesce("low.row_id", "row").alias("first_row"))
     of_set = placed.select("set_key", "root").join(lowest, "root").drop("root")
     empty = signed.where("set_key is null").select(
@@ -247,4 +283,5 @@ def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD
     """``docs`` with one row of each component, that with the smallest doc_id, and their own columns."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "join-rows")
     found = join(rows.select("row_id", "row.doc_id", "row.text"), k, threshold)
-    return rows.join(found.where("row_id = first_row").select("row_id"), "row_id", "left_semi").select("row.*")
+    others = materialize(found.where("row_id <> first_row").select("row_id"), "join-others")
+    return rows.join(sent_if_small(others, 32), "row_id", "left_anti").select("row.*")
