@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.session import shared_dir
@@ -27,7 +27,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, a written table, for the small side of a join: broadcast if its rows, counted, fit the bound,
-    and joined by a shuffle otherwise."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def sent_if_small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df``, a written table, for the small side of a join: broadcast if the sum of ``row_bytes`` over
+    its rows fits the bound, and joined by a shuffle otherwise."""
+    total = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

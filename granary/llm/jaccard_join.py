@@ -32,7 +32,7 @@ THRESHOLD = 85  # percent
 #: counted; the others are rarely among the first of a set.
 COUNTERS, CHUNK, COUNTED = 1 << 21, 1 << 14, np.uint64(1 << 62)
 #: Sets and shingles in one block; a single larger set is a block of its own.
-BLOCK_SETS, BLOCK_TOKENS = 128, 200_000
+BLOCK_SETS, BLOCK_TOKENS = 16, 200_000
 #: Sets compared with one block in one task.
 QUERIES = 256
 
@@ -210,9 +210,8 @@ def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, k: int, threshold
     members = materialize(_blocks(hits, sets, threshold), "join-blocks")
     opened = materialize(_opened(hits.select("token", "set_id"), members, threshold), "join-opened")
     texts = materialize(_places(members, opened).join(sets.select("set_id", "set_key", "rep"), "set_id"), "join-places")
-    most = texts.agg(F.coalesce(F.max(F.size("places")), F.lit(0))).first()[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d").join(
-        sent_if_small(texts, 100 + 40 * most).alias("t"), F.expr("d.doc_id <=> t.rep")).select("text", "set_id", "set_key", "places")
+        sent_if_small(texts, 100 + 40 * F.size("places")).alias("t"), F.expr("d.doc_id <=> t.rep")).select("text", "set_id", "set_key", "places")
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["block", "share", "query", "set_id", "tokens"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
@@ -284,4 +283,4 @@ def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "join-rows")
     found = join(rows.select("row_id", "row.doc_id", "row.text"), k, threshold)
     others = materialize(found.where("row_id <> first_row").select("row_id"), "join-others")
-    return rows.join(sent_if_small(others, 32), "row_id", "left_anti").select("row.*")
+    return rows.join(sent_if_small(others, F.lit(32)), "row_id", "left_anti").select("row.*")
