@@ -1,10 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment of passage and test item.
+"""Benchmark decontamination: word-pair seeds, then local alignment of passage and test item.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z read as a-z. The n-grams of the
-test items are counted in all documents; each item keeps the rarer ones as seeds. Where a
-document holds seeds of an item, the surrounding passage and the item are aligned word by
+Words are runs of letters, digits and non-ASCII characters, A-Z read as a-z. Seeds are all pairs
+of words of an item that are neighbours or have one word between. Where a document holds enough
+seeds of an item close together, the surrounding passage and the item are aligned word by
 word (Smith-Waterman), which scores copies with changed, added or missing words.
 
+Exactness: an alignment of M matches and X edits scores 2 M - X. Let it reach the share s of the best
+score 2 n of an item of n words. Its M - 1 steps from match to match hold X edits, so at most
+X / 2 <= M - s n of them hold two or more. The other s n - 1 steps or more hold one edit or none; each starts
+at a word of its own, and its two words are a seed in the item and in the document. The passage has
+at most M + X <= (3 - 2 s) n words. So no passage that the alignment would accept is left out, however
+its edits are spread and however common its words are.
+
 The test items are a stated query set: they reach the tasks in blocks of bounded size, and a
 larger benchmark means more passes over the documents.
 """
@@ -22,15 +29,15 @@ from pyspark.sql import types as T
 
 from granary.llm import bytes_np as B
 
-SEED_WORDS = 4
-#: An item's seeds are its n-grams up to this quantile of document frequency.
-RARE = 0.5
-MIN_SEEDS = 8
+#: Items of fewer words are not looked for.
+MIN_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score of an item from which a passage counts as a copy.
 MIN_SCORE = 0.5
 #: Bytes of test items in one block.
 BLOCK_BYTES = 1 << 20
+#: Bytes of text whose seeds are looked up at a time.
+SLICE_BYTES = 1 << 20
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -43,11 +50,11 @@ _SIEVE_BITS = 20
 
 @dataclass
 class Items:
-    """A block of test items and the n-grams that lead to them."""
+    """A block of test items and the word pairs that lead to them."""
 
     ids: list[int | None]
     words: list[np.ndarray]
-    seed: np.ndarray  # sorted hashes, one entry per (n-gram, item)
+    seed: np.ndarray  # sorted hashes, one entry per (pair, item)
     item: np.ndarray
 
     def sieve(self) -> np.ndarray:
@@ -56,25 +63,35 @@ class Items:
         return out
 
 
-def index_items(rows: list[tuple[int | None, str | None]], n: int = SEED_WORDS) -> Items:
-    """All n-grams of the items. An item of fewer than ``n`` words, or none, cannot be looked for."""
+def word_pairs(w: B.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each two words of one row that are neighbours or have one word between, and the index of the first."""
+    hashes, first = [], []
+    for step in (1, 2):
+        i = np.flatnonzero(w.row[:-step] == w.row[step:])
+        with np.errstate(over="ignore"):
+            hashes.append(B.mix(B.mix(w.hash[i]) + w.hash[i + step]))
+        first.append(i)
+    return np.concatenate(hashes), np.concatenate(first)
+
+
+def index_items(rows: list[tuple[int | None, str | None]]) -> Items:
+    """All word pairs of the items. An item of fewer than ``MIN_WORDS`` words cannot be looked for."""
     column = pa.array([t for _, t in rows], pa.large_string())
     w = B.words(*B.text_bytes(column), lower=True, separator=SEPARATOR)
-    h, i = B.windows(w, n)
-    pairs = np.unique(np.stack([h, w.row[i].astype(np.uint64)]), axis=1) if h.size else np.zeros((2, 0), np.uint64)
+    h, i = word_pairs(w)
+    item = w.row[i]
+    long = np.diff(w.first)[item] >= MIN_WORDS
+    h, item = h[long], item[long]
+    pairs = np.unique(np.stack([h, item.astype(np.uint64)]), axis=1) if h.size else np.zeros((2, 0), np.uint64)
     order = np.lexsort((pairs[1], pairs[0]))
     return Items([r[0] for r in rows], [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])],
                  pairs[0][order], pairs[1][order].astype(np.int64))
 
 
-def rare_seeds(items: Items, df: np.ndarray, rare: float = RARE) -> Items:
-    """Keep, of each item's n-grams, those up to the quantile ``rare`` of document frequency ``df``."""
-    keep = np.zeros(df.size, bool)
-    for k in np.unique(items.item):
-        own = np.flatnonzero(items.item == k)
-        cut = np.sort(df[own])[min(own.size - 1, max(MIN_SEEDS - 1, int(rare * own.size)))]
-        keep[own[df[own] <= cut]] = True
-    return Items(items.ids, items.words, items.seed[keep], items.item[keep])
+def bounds(size: np.ndarray, min_score: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of items of ``size`` words: the seeds any accepted passage has, and the words it has at most."""
+    need = np.ceil(min_score * size - 1 - 1e-9).astype(np.int64)
+    return np.maximum(need, 1), np.ceil((3 - 2 * min_score) * size + 1e-9).astype(np.int64)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -105,43 +122,38 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _hits(w: B.Words, items: Items, sieve: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index into ``items.seed`` and first word of each n-gram of the column that is a seed."""
-    h, i = B.windows(w, n)
+def _hits(w: B.Words, items: Items, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Item and first word of the column's seeds, by row, item and word; each (item, word) once."""
+    h, i = word_pairs(w)
     near = np.flatnonzero(sieve[(h & np.uint64((1 << _SIEVE_BITS) - 1)).astype(np.int64)])
     h, i = h[near], i[near]
     lo, hi = np.searchsorted(items.seed, h, "left"), np.searchsorted(items.seed, h, "right")
     counts = hi - lo
     first = np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if h.size else lo
-    return first + np.arange(counts.sum()), np.repeat(i, counts)
-
-
-def frequencies(docs: DataFrame, items: Items, text: str = "text", n: int = SEED_WORDS) -> np.ndarray:
-    """Number of documents that hold each n-gram of the items, over all documents."""
-    known = docs.sparkSession.sparkContext.broadcast((items, items.sieve()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sieve = known.value
-        total = np.zeros(block.seed.size, np.int64)
-        for batch in batches:
-            for part in B.slices(batch, "text"):
-                w = B.words(*B.text_bytes(part.column("text")), lower=True, separator=SEPARATOR)
-                at, word = _hits(w, block, sieve, n)
-                if at.size:
-                    seen = np.unique(at * part.num_rows + w.row[word])
-                    total += np.bincount(seen // part.num_rows, minlength=total.size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["entry", "n"])
-
-    counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "entry long, n long")
-    found = np.zeros(items.seed.size, np.int64)
-    for r in counted.groupBy("entry").agg(F.sum("n").alias("n")).collect():
-        found[r["entry"]] = r["n"]
-    known.unpersist()
-    return found
-
-
-def leaks(docs: DataFrame, items: Items, text: str = "text", n: int = SEED_WORDS, min_score: float = MIN_SCORE) -> Column:
+    item, word = items.item[first + np.arange(counts.sum())], np.repeat(i, counts)
+    order = np.lexsort((word, item, w.row[word]))
+    item, word = item[order], word[order]
+    new = np.ones(word.size, bool)
+    new[1:] = (item[1:] != item[:-1]) | (word[1:] != word[:-1])
+    return item[new], word[new]
+
+
+def _passages(item: np.ndarray, word: np.ndarray, row: np.ndarray, need: np.ndarray, span: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Where enough seeds of an item lie close together: index of a passage's first seed, and its first and last word."""
+    last = np.arange(word.size) + need[item] - 1
+    at = np.flatnonzero(last < word.size)
+    to = last[at]
+    ok = (item[to] == item[at]) & (row[to] == row[at]) & (word[to] - word[at] <= span[item[at]])
+    at, to = at[ok], to[ok]
+    cut = np.ones(at.size, bool)
+    cut[1:] = (row[at[1:]] != row[at[:-1]]) | (item[at[1:]] != item[at[:-1]]) | (word[at[1:]] - word[to[:-1]] > 2 * span[item[at[1:]]])
+    first = np.flatnonzero(cut)
+    for a, b in zip(first, np.append(first[1:], at.size)):
+        around = span[item[at[a]]]
+        yield int(at[a]), int(word[at[a]] - around), int(word[to[b - 1]] + around + 1)
+
+
+def leaks(docs: DataFrame, items: Items, text: str = "text", min_score: float = MIN_SCORE) -> Column:
     """Column of the items found in a text of ``docs``: item_id, score 0 to 1, first and last word.
 
     Best passage per item. Null and empty texts have none. Repeated item ids are reported once per row.
@@ -150,22 +162,17 @@ def leaks(docs: DataFrame, items: Items, text: str = "text", n: int = SEED_WORDS
 
     def run(column: pa.Array) -> pa.Array:
         block, sieve = known.value
+        size = np.array([len(x) for x in block.words])
+        need, span = bounds(size, min_score)
         out: list[list] = []
-        for part in B.slices(pa.RecordBatch.from_arrays([column], ["t"]), "t"):
+        for part in B.slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", SLICE_BYTES):
             w = B.words(*B.text_bytes(part.column("t")), lower=True, separator=SEPARATOR)
             rows: list[dict] = [{} for _ in range(part.num_rows)]
-            at, word = _hits(w, block, sieve, n)
-            item, row = block.item[at], w.row[word]
-            order = np.lexsort((word, item, row))
-            item, row, word = item[order], row[order], word[order]
-            size = np.array([len(x) for x in block.words])
-            cut = np.ones(word.size, bool)
-            cut[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > size[item[1:]])
-            first = np.flatnonzero(cut)
-            for a, b in zip(first, np.append(first[1:], word.size)):
-                k, r = int(item[a]), int(row[a])
-                lo = max(int(w.first[r]), int(word[a]) - size[k])
-                hi = min(int(w.first[r + 1]), int(word[b - 1]) + n + size[k])
+            item, word = _hits(w, block, sieve)
+            row = w.row[word]
+            for at, first, last in _passages(item, word, row, need, span):
+                k, r = int(item[at]), int(row[at])
+                lo, hi = max(int(w.first[r]), first), min(int(w.first[r + 1]), last + 1)
                 score, s, e = align(block.words[k], w.hash[lo:hi])
                 share = score / (MATCH * size[k])
                 if share >= min_score and share > rows[r].get(k, (0.0,))[0]:
@@ -199,7 +206,6 @@ def add_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks", text: s
         items = index_items(rows)
         if not items.seed.size:
             continue
-        items = rare_seeds(items, frequencies(docs, items, text))
         own = leaks(docs, items, text)
         found = own if found is None else F.concat(found, own)
     return docs.withColumn(out, F.array().cast(LEAK) if found is None else found)

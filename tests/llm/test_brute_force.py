@@ -430,6 +430,66 @@ def test_alignment():
         assert score == plain(a, b) and (score == 0 or plain(a, b[first : last + 1]) == score)
 
 
+@pytest.mark.parametrize("step", [2, 3, 4, 5, 6, 7, 8])
+@pytest.mark.parametrize("exact", [0, 1])
+def test_leaks_with_dense_edits(spark, step, exact):
+    # Nothing but the alignment decides: no rarity and no length of a seed may keep an edited copy from it.
+    words = prose(50, 40).split(" ")
+    edits = {
+        "changed": lambda k, w: [w] if k % step else [f"x{k}"], "missing": lambda k, w: [w] if k % step else [],
+        "added": lambda k, w: [w] if k % (step - 1) else [w, f"x{k}"],
+    }
+    texts = [(0, " ".join(words))] * exact
+    for i, edit in enumerate(edits.values(), 1):
+        copy = " ".join(x for k, w in enumerate(words) for x in edit(k, w))
+        texts += [(10 * i + j, f"{prose(60 + j, 30)} {copy} {prose(70 + j, 30)}") for j in range(3)]
+    texts.append((99, prose(80, 200)))
+    want = {i for i, t in texts if aligned(words, t.split(" ")) >= decontaminate.MIN_SCORE * decontaminate.MATCH * len(words)}
+    assert len(want) >= 3 and 99 not in want
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, prose(51, 40))], "item_id long, text string")
+    found = decontaminate.add_leaks(df, benchmark).select("doc_id", F.explode("leaks.item_id").alias("i")).collect()
+    assert {(r.doc_id, r.i) for r in found} == {(i, 1) for i in want}
+
+
+def test_every_accepted_passage_has_its_seeds():
+    import numpy as np
+    import pyarrow as pa
+
+    from granary.llm import bytes_np
+
+    rng, accepted = random.Random(11), 0
+    for _ in range(1500):
+        item = [rng.choice("abcdefghijkl") for _ in range(rng.randint(4, 14))]
+        copy = []
+        for x in item:
+            copy += rng.choices([[x], ["z"], [], [x, "y"], [x, "y", "z"]], [6, 1, 1, 2, 1])[0]
+        text = rng.choices("abcxyz", k=5) + copy + rng.choices("abcxyz", k=5)
+        items = decontaminate.index_items([(1, " ".join(item))])
+        w = bytes_np.words(*bytes_np.text_bytes(pa.array([" ".join(text)])), separator=decontaminate.SEPARATOR)
+        at, word = decontaminate._hits(w, items, items.sieve())
+        need, span = decontaminate.bounds(np.array([len(item)]), decontaminate.MIN_SCORE)
+        best = max((decontaminate.align(items.words[0], w.hash[max(0, a) : b + 1])[0] for _, a, b in
+                    decontaminate._passages(at, word, w.row[word], need, span)), default=0)
+        score = aligned(item, text)
+        if score >= decontaminate.MIN_SCORE * decontaminate.MATCH * len(item):
+            accepted += 1
+            assert best == score
+    assert accepted > 300
+
+
+def aligned(a, b):
+    """Best local alignment score of two lists of words."""
+    best, above = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b, 1):
+            s = decontaminate.MATCH if x == y else decontaminate.MISMATCH
+            row.append(max(0, above[j - 1] + s, above[j] + decontaminate.GAP, row[-1] + decontaminate.GAP))
+        best, above = max(best, *row), row
+    return best
+
+
 # ---------------------------------------------------------------------------- token counts
 
 
