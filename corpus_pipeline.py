@@ -12,6 +12,9 @@ from granary.llm import decontaminate, jaccard_join, mixing, quality_rules, toke
 from granary.llm.common import materialize, table
 from granary.session import shared_dir
 
+#: Near-duplicates of a corpus share 80 percent of their five-word shingles; op 7's query has its own measure.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the newest policy does not reject."""
@@ -20,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal or similar ones, that with the smallest doc_id."""
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, k=NEAR_WORDS, threshold=NEAR_PERCENT)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

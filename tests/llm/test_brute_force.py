@@ -322,6 +322,37 @@ def test_jaccard_of_chains_in_small_blocks(spark, monkeypatch):
     assert got == {i: 0 for i in range(40)} | {100: 100}
 
 
+def test_pipeline_stage_merges_from_eighty_percent_of_five_words(spark):
+    import corpus_pipeline
+
+    texts, n = [], 0
+
+    def pair(a, b):
+        nonlocal n
+        texts.extend([(2 * n, a), (2 * n + 1, b)])
+        n += 1
+
+    for k in range(30, 65, 5):  # from 0.87 down to 0.75 of five words
+        base = prose(100 + k, 200)
+        pair(base, base + " " + prose(200 + k, k))
+    for step in (40, 45, 47, 49, 60):
+        words = prose(300 + step, 400).split(" ")
+        pair(" ".join(words), " ".join(w if (i + 1) % step else f"x{i}" for i, w in enumerate(words)))
+    pair("one two three four", "One two  three FOUR")
+    pair("one two three", "one two three five")
+
+    def shingles(t):
+        w = WORDS.findall(t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [shingles(t) for _, t in texts]
+    share = {i: len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in range(1, 2 * n, 2)}
+    assert sum(0.80 <= s < 0.85 for s in share.values()) >= 3 and min(share.values()) < 0.8
+    want = {i for i, _ in texts if i % 2 == 0 or share[i] < 0.8}
+    got = corpus_pipeline.one_of_similar(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 100), (7, 7), (200, 101), (101, 100)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
