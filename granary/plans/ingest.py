@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from granary.operators.deals import provider_deals, resolve_measures
 from granary.operators.feed import Routes
 from granary.operators.quality import (
-    Rules, check_header, map_columns, typed_rows, validation_counts,
+    Rules, check_header, map_columns, typed_rejects, typed_rows, validation_counts,
 )
 from granary.schemas import FEED_ROUTES, FILE_A, FILE_B
 from granary.sinks.publish import remove
@@ -77,10 +77,17 @@ def load_provider_deals(
 
 def import_staging(
     df: DataFrame, template: T.StructType, path: str, rules: Rules,
-    mapping: dict[str, str] | None = None, truncate: bool = True,
+    mapping: dict[str, str] | None = None, truncate: bool = True, rejects: str | None = None,
 ) -> tuple[int, int]:
-    """Check, type and load a table; returns its total and rejected rows."""
+    """Check, type and load a table; returns its total and rejected rows.
+
+    Without ``rejects`` a cell that does not convert fails the import. With it, rows with such cells
+    go to that table, as text and with the names of the cells; they count as total and as rejected.
+    """
     check_header(df.columns, template)
-    load_staging(map_columns(typed_rows(df, template), mapping), path, truncate)
+    if rejects:
+        load_staging(typed_rejects(df, template), rejects, truncate)
+    load_staging(map_columns(typed_rows(df, template, strict=not rejects), mapping), path, truncate)
     row = validation_counts(df.sparkSession.read.parquet(path), rules).first()
-    return row["total_rows"], row["rejected_rows"]
+    unread = df.sparkSession.read.parquet(rejects).count() if rejects else 0
+    return row["total_rows"] + unread, row["rejected_rows"] + unread

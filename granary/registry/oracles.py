@@ -567,6 +567,9 @@ ORACLES["provider_deals_job"] = ORACLES["provider_deals"]
 ORACLES["lifecycle_job"] = ORACLES["lifecycle_actions"]
 
 ORACLES |= {
+    "staging_rejects": _with("fx_template", """
+        SELECT t.*, CASE WHEN FundId LIKE 'x%' THEN 'FundId' ELSE 'Return' END AS bad_columns
+        FROM fx_template t, (VALUES (1), (2)) AS loads(n) WHERE FundId LIKE 'x%' OR Return = ''"""),
     "stream_tee": ORACLES["tee_archive"],
     "stream_batch_hook": _with("fx_feed", "SELECT CAST(count(*) AS BIGINT) AS n, true AS several FROM fx_feed"),
     "object_listing": """

@@ -297,23 +297,34 @@ def provider_deals_job(spark, sf):
     return spark.read.parquet(f"{base}/out").drop("run_id")
 
 
-@query
-def staging_job(spark, sf):
-    """A staging table loaded twice: replaced the first time, appended to the second."""
+def _staged(spark, sf) -> str:
+    """All template rows loaded three times, replaced by the second load and appended to by the third."""
     base = shared_dir(spark, "staging")
-    rows = fx.template_rows(spark, sf).where("FundId NOT LIKE 'x%' AND Return <> ''")
+    rows = fx.template_rows(spark, sf)
     names = {"FundId": "fund_id", "Month": "month", "Year": "year", "Return": "return"}
     rules = [("return_positive", "`return` > 0")]
     for truncate in (True, True, False):
         import_staging(
-            rows, schemas.template("Template1"), f"{base}/staging", rules, names, truncate
+            rows, schemas.template("Template1"), f"{base}/staging", rules, names, truncate, f"{base}/rejects"
         )
-    loaded = spark.read.parquet(f"{base}/staging")
+    return base
+
+
+@query
+def staging_job(spark, sf):
+    """A staging table loaded twice: replaced the first time, appended to the second."""
+    loaded = spark.read.parquet(f"{_staged(spark, sf)}/staging")
     return loaded.groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("n"), F.sum("fund_id").alias("fund_id_sum")
     )
 
 
+@query
+def staging_rejects(spark, sf):
+    """Rows of the same import that do not convert, with the names of their bad cells."""
+    return spark.read.parquet(f"{_staged(spark, sf)}/rejects")
+
+
 @query
 def rollback_job(spark, sf):
     """Two runs of one day, the second taken back."""

@@ -232,6 +232,26 @@ def test_staging_replaces_or_appends(spark, root):
         load(df.drop("ColumnB"), True)
 
 
+def test_staging_keeps_what_does_not_convert(spark, root):
+    df = spark.createDataFrame([("a", "1"), ("b", "-2"), ("c", "x"), ("d", ""), ("e", None)], "ColumnA string, ColumnB string")
+    load = lambda truncate: import_staging(
+        df, schemas.TEMPLATES["Template2"], f"{root}/s", [("positive", "ColumnB > 0")], None, truncate, f"{root}/r")
+    rows = lambda name: sorted(tuple(r) for r in spark.read.parquet(f"{root}/{name}").fillna(0).collect())
+    for truncate, times in ((True, 1), (False, 2), (True, 1)):
+        assert load(truncate) == (5 * times, 4 * times)
+        assert rows("s") == sorted([("a", 1), ("b", -2), ("e", 0)] * times)
+        assert rows("r") == sorted([("c", "x", "ColumnB"), ("d", "", "ColumnB")] * times)
+
+
+def test_staging_job_imports_every_row(spark, monkeypatch):
+    from granary.registry import sink_queries
+
+    seen, load = [], sink_queries.import_staging
+    monkeypatch.setattr(sink_queries, "import_staging", lambda rows, *a: (seen.append(rows.count()), load(rows, *a))[1])
+    sink_queries.staging_job(spark, SF).count()
+    assert seen == [fx.table(spark, SF, "lineitem").count()] * 3
+
+
 # ------------------------------------------------------------------------------ archive
 
 
