@@ -82,3 +82,99 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
 """
+
+# A checksum byte by byte, through the table of its 256 remainders.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1
+        THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS crc FROM (SELECT unnest(range(256)) AS n))"""
+
+
+def _crc32(text: str) -> str:
+    data = f"hex(encode({text}))"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || {data}[2 * i + 1:2 * i + 2] AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295)"
+
+
+# One row per conversation, place and state: the best way there. Moves of a row come after any rows inserted before it.
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(
+    "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN ''
+        WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+        count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+ins(was, label, cost, upto, added) AS (VALUES ('e', '', 0, 'e', []), ('s', '', 0, 's', []), ('u', '', 0, 'u', []), ('a', '', 0, 'a', []),
+        ('e', 'I', 5, 'u', ['user:']), ('s', 'I', 5, 'u', ['user:']), ('a', 'I', 5, 'u', ['user:']), ('u', 'I', 5, 'a', ['assistant:']),
+        ('e', 'II', 10, 'a', ['user:', 'assistant:']), ('s', 'II', 10, 'a', ['user:', 'assistant:'])),
+step(upto, letter, cost, initial, state) AS (VALUES ('e', 'K', 0, 's', 's'), ('e', 'K', 0, 'u', 'u'), ('s', 'K', 0, 'u', 'u'),
+        ('a', 'K', 0, 'u', 'u'), ('u', 'K', 0, 'a', 'a'), ('e', 'R', 1, NULL, 'u'), ('s', 'R', 1, NULL, 'u'), ('a', 'R', 1, NULL, 'u'),
+        ('u', 'R', 1, NULL, 'a'), ('e', 'D', 2, NULL, 'e'), ('s', 'D', 2, NULL, 's'), ('u', 'D', 2, NULL, 'u'), ('a', 'D', 2, NULL, 'a')),
+v AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 'e' AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS made, CAST(1 AS BIGINT) AS best
+        FROM c UNION ALL
+      SELECT conv_id, i, state, cost, audit, made, best FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+        SELECT v.conv_id, f.i, step.state, v.cost + ins.cost + step.cost + CASE WHEN fault = 3 AND letter <> 'D' THEN 5 ELSE 0 END AS cost,
+          v.audit || ins.label || letter AS audit, list_concat(list_concat(v.made, ins.added), CASE letter WHEN 'D' THEN []
+            WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE step.state WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] END) AS made
+        FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1 JOIN ins ON ins.was = v.state
+          JOIN step ON step.upto = ins.upto AND (step.initial IS NULL OR step.initial = f.initial) AND (fault NOT IN (1, 2) OR letter = 'D')))
+      WHERE best = 1),
+z AS (SELECT v.conv_id, v.cost + ins.cost AS cost, v.audit || ins.label AS audit, list_concat(v.made, ins.added) AS made,
+        row_number() OVER (PARTITION BY v.conv_id ORDER BY v.cost + ins.cost, v.audit || ins.label) AS best
+      FROM v JOIN c ON c.conv_id IS NOT DISTINCT FROM v.conv_id AND v.i = c.n JOIN ins ON ins.was = v.state AND ins.upto IN ('e', 'a'))
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(z.cost, 0) AS BIGINT) AS cost, coalesce(z.audit, '') AS audit,
+  sha256(coalesce(array_to_string(z.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id AND z.best = 1
+"""
+
+# Slots come from digests; the last steps give each surplus slot to the shard with the fewest bytes, one after the other.
+ORACLES["op12_sharding"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT text, CAST({_crc32("coalesce(text, '')")} AS BIGINT) AS crc FROM (SELECT DISTINCT text FROM documents), crc_table),
+r AS (SELECT doc_id, CAST(octet_length(encode(coalesce(d.text, ''))) + 8 AS BIGINT) AS size, crc,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(crc AS VARCHAR)) AS digest
+        FROM documents d JOIN t ON d.text IS NOT DISTINCT FROM t.text),
+s AS (SELECT *, CAST('0x' || left(digest, 3) AS INTEGER) AS virtual_slot FROM r),
+w AS (SELECT virtual_slot, greatest(count(*) * 200 / (SELECT count(*) FROM s), sum(size) * 200 / (SELECT sum(size) FROM s)) AS share
+        FROM s GROUP BY virtual_slot),
+p AS (SELECT s.*, CAST(CASE WHEN share > 1 THEN CAST('0x' || digest[4:11] AS BIGINT) % CAST(ceil(share) AS BIGINT) ELSE 0 END AS INTEGER) AS part
+        FROM s JOIN w USING (virtual_slot)),
+u AS (SELECT virtual_slot, part, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, (virtual_slot + part) % 24 AS shard FROM p GROUP BY ALL),
+k AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual_slot, part) > (SELECT sum(bytes) FROM u) / 24 AS released FROM u),
+i AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot, part) AS i FROM k WHERE released),
+h AS (SELECT list(coalesce(b, 0) ORDER BY x.shard) AS loads FROM (SELECT unnest(range(24)) AS shard) x
+        LEFT JOIN (SELECT shard, CAST(sum(bytes) AS BIGINT) AS b FROM k WHERE NOT released GROUP BY shard) y USING (shard)),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(loads AS BIGINT[]) AS loads, CAST(0 AS BIGINT) AS best FROM h UNION ALL
+      SELECT i, list_transform(loads, lambda v, j: CASE WHEN j = best THEN v + bytes ELSE v END), best FROM (
+        SELECT i.i, g.loads, i.bytes, list_position(g.loads, list_min(g.loads)) AS best FROM g JOIN i ON i.i = g.i + 1)),
+m AS (SELECT k.virtual_slot, k.part, k.n, CAST(CASE WHEN k.released THEN g.best - 1 ELSE k.shard END AS INTEGER) AS shard FROM k
+        LEFT JOIN i ON i.virtual_slot = k.virtual_slot AND i.part = k.part LEFT JOIN g ON g.i = i.i)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, part, digest) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, virtual_slot
+FROM p JOIN m USING (virtual_slot, part)
+"""
+
+ORACLES["op13_lexical_search"] = r"""
+WITH a AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS term FROM a),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM c GROUP BY ALL),
+t AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM a WHERE len(ts) > 0),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM p, t GROUP BY term, docs),
+q AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+        FROM q JOIN w USING (term) JOIN p USING (term), t GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, jaccard_join, language_id, mixing, pii, quality_rules, suffix_dedup, token_counts, token_files, warc
+from granary.llm import (
+    conversations, decontaminate, jaccard_join, language_id, lexical_search, mixing, pii, quality_rules, sharding, suffix_dedup,
+    token_counts, token_files, warc,
+)
 from granary.llm.common import WORD, materialize, table
 from granary.session import shared_dir
 
@@ -124,3 +127,25 @@ def op10_token_counts(spark, sf):
         rollup.commit("2", changes(ledger, token_counts.REVISE, {"words_marks": "words_marks"}, "words"))
     rollup.commit("3", changes(repeats, token_counts.DELETE, {t: t for t in TOKENIZERS}))
     return rollup.totals(["1", "2", "3"])
+
+
+@query
+def op11_conversation_repair(spark, sf):
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return conversations.summaries(conversations.damage(table(spark, sf, "conversations")))
+
+
+@query
+def op12_sharding(spark, sf):
+    """Shard of every document under the balanced map, and its place in that shard."""
+    return sharding.assign(table(spark, sf, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query
+def op13_lexical_search(spark, sf):
+    """The 50 best documents for every test item."""
+    path = shared_dir(spark, "lexical-index")
+    lexical_search.write_index(table(spark, sf, "documents"), path)
+    return lexical_search.search(spark, path, table(spark, sf, "benchmark")).select("item_id", "rank", "doc_id", "score")
