@@ -15,6 +15,7 @@ import sys
 import time
 
 import granary.registry.sink_queries  # noqa: F401  (registers its queries)
+import granary.registry.version_queries  # noqa: F401
 from granary.registry.queries import QUERIES
 from granary.session import get_session
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.dates import wall_clock
@@ -148,9 +148,10 @@ def merge_manifest(files: DataFrame, made: DataFrame) -> DataFrame:
     """The file table with the parts of a manifest merged in, numbered after its last id."""
     known = as_archival_files(files)
     last = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    # One row per written part.
-    number = F.row_number().over(Window.orderBy(CONFIG, "as_of_date", "part_index"))
-    return upsert_files(known, as_archival_files(made.withColumn("id", last + number)), "created_at_et")
+    # Numbered date by date, so that no task holds all parts of a large manifest.
+    order = [F.col("as_of_date"), F.col(CONFIG), F.col("part_index")]
+    numbered = number_rows(made.withColumn("_all", F.lit(1)), ["_all"], order, F.col("as_of_date"), "_number")
+    return upsert_files(known, as_archival_files(numbered.withColumn("id", last + F.col("_number"))), "created_at_et")
 
 
 def run_details(

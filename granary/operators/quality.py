@@ -65,6 +65,37 @@ def typed_rejects(df: DataFrame, template: T.StructType) -> DataFrame:
     return df.withColumn("bad_columns", names).where(F.col("bad_columns") != "")
 
 
+#: Columns of a one-pass import beside the mapped ones.
+RAW, BAD, ACCEPTED = "_raw", "_bad_columns", "_accepted"
+
+
+def sorted_out(df: DataFrame, template: T.StructType, mapping: dict[str, str] | None = None) -> DataFrame:
+    """All rows in one pass: typed cells under their mapped names, and for rows with bad cells their text and the bad names."""
+    names = mapping or {f.name: f.name for f in template}
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(names[f.name]) for f in template if f.name in names]
+    marked = df.withColumn(BAD, F.nullif(F.concat_ws(",", *[F.when(_bad(f), f.name) for f in template]), F.lit("")))
+    raw = F.when(F.col(BAD).isNotNull(), F.struct(*[F.col(f"`{f.name}`").cast("string").alias(f.name) for f in template]))
+    return marked.select(*typed, raw.alias(RAW), BAD, F.col(BAD).isNull().alias(ACCEPTED))
+
+
+def sorted_out_schema(template: T.StructType, mapping: dict[str, str] | None = None) -> T.StructType:
+    """Schema of :func:`sorted_out`."""
+    names = mapping or {f.name: f.name for f in template}
+    return T.StructType([
+        *[T.StructField(names[f.name], f.dataType) for f in template if f.name in names],
+        T.StructField(RAW, T.StructType([T.StructField(f.name, T.StringType()) for f in template])),
+        T.StructField(BAD, T.StringType()), T.StructField(ACCEPTED, T.BooleanType()),
+    ])
+
+
+def breaks_rules(rules: Rules) -> Column:
+    """Whether a row breaks any rule; a rule that is null counts as broken."""
+    valid = F.lit(True)
+    for _, rule in rules:
+        valid = valid & _holds(rule)
+    return ~valid
+
+
 def required_rules(numbers: tuple[str, ...] = METRIC_NUMBERS, text: str = METRIC_TEXT) -> Rules:
     """Every field must be given."""
     rules = [(f"{n}_required", f"`{n}` IS NOT NULL") for n in numbers]
@@ -77,11 +108,8 @@ def _holds(rule: str) -> Column:
 
 def validation_counts(df: DataFrame, rules: Rules) -> DataFrame:
     """Total rows and rows that break any rule, in one pass."""
-    valid = F.lit(True)
-    for _, rule in rules:
-        valid = valid & _holds(rule)
     return df.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_if(~valid).alias("rejected_rows")
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(breaks_rules(rules)).alias("rejected_rows")
     )
 
 

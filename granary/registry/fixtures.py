@@ -108,6 +108,27 @@ def exemptions(spark: SparkSession) -> DataFrame:
     return schemas.local_table(spark, rows, schemas.EXEMPTION)
 
 
+def dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their text, each with one of 300 days."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "source", "lang", "n_chars", "date_add(DATE'1996-01-01', CAST(pmod(doc_id, 300) AS INT)) AS as_of_date")
+
+
+def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cells of text; some of them do not convert."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "CAST(doc_id AS STRING) AS DocId", "CASE WHEN doc_id % 7 = 3 THEN 'n/a' ELSE CAST(n_chars AS STRING) END AS Chars",
+        "source AS Source")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per document, of three configurations and 300 days, some without a day."""
+    return dated_documents(spark, sf_dir).selectExpr(
+        "CAST(10 * (1 + doc_id % 3) AS INT) AS table_configuration_id", "CASE WHEN doc_id % 11 <> 0 THEN as_of_date END AS as_of_date",
+        "concat('/d/', doc_id) AS blob_path", "CAST(n_chars AS BIGINT) AS file_size_bytes", "'Active' AS status",
+        "TIMESTAMP_NTZ'2000-01-01 00:00:00' AS created_at_et", "doc_id")
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     slash = "date_format(o_orderdate, 'yyyy/MM/dd')"
     return table(spark, sf_dir, "orders").selectExpr(

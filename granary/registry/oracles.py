@@ -604,3 +604,61 @@ ORACLES |= {
         SELECT o_orderkey, TIMESTAMP '2024-04-06 15:00:00' + INTERVAL 1 MINUTE * CAST(o_orderkey % 30 AS INTEGER) AS utc
         FROM orders""",
 }
+
+# Archival of documents by day.
+FX["doc_days"] = "SELECT DISTINCT 10 AS cfg, CAST(DATE '1996-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS d FROM documents"
+for _name, _base in (("typed_d", "typed"), ("ranked_d", "ranked"), ("decided_d", "decided")):
+    FX[_name] = FX[_base].replace("dts", "doc_days").replace("FROM typed", "FROM typed_d").replace("FROM ranked", "FROM ranked_d")
+FX["by_day"] = "SELECT CAST(DATE '1996-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS d, count(*) AS n FROM documents GROUP BY 1"
+NEEDS |= {"typed_d": ["doc_days"], "ranked_d": ["typed_d"], "decided_d": ["ranked_d", "fx_file", "fx_exemption"]}
+FX["doc_file"] = """
+    SELECT CAST(10 * (1 + doc_id % 3) AS INTEGER) AS table_configuration_id, doc_id,
+           CASE WHEN doc_id % 11 <> 0 THEN CAST(DATE '1996-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) END AS as_of_date,
+           '/d/' || doc_id AS blob_path, CAST(n_chars AS BIGINT) AS file_size_bytes FROM documents"""
+_CELLS = "SELECT doc_id, CAST(n_chars AS INTEGER) AS n_chars, source FROM documents WHERE doc_id % 7 <> 3"
+_LIVE = """
+    SELECT * FROM (SELECT doc_id, source, lang, n_chars, CAST(DATE '1996-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS as_of_date
+                   FROM documents) WHERE day(as_of_date) > 10 AND n_chars >= 500"""
+
+ORACLES |= {
+    "archive_resume": _with("decided_d by_day", """
+        SELECT CAST(77 AS BIGINT) AS run_id, 10 AS table_configuration_id, d AS as_of_date, kind AS date_type,
+               'Export' AS phase, CASE WHEN message IS NULL THEN 'Success' ELSE 'Skipped' END AS status,
+               CASE WHEN message IS NULL THEN n ELSE 0 END AS rows_affected,
+               CASE WHEN message IS NULL AND n <= 1000 THEN '/TestDb/dbo/transactions/'
+                 || strftime(d, '%Y/%m/%d') || '.part-00001.parquet' END AS file_path,
+               message AS error_message
+        FROM decided_d JOIN by_day USING (d)
+        UNION ALL
+        SELECT 77, 10, d, kind, 'Delete', 'Success', n, NULL, NULL
+        FROM decided_d JOIN by_day USING (d) WHERE message IS NULL"""),
+    "archive_resume_rows": _with("decided_d", """
+        SELECT doc_id, n_chars, d AS as_of_date, CASE WHEN d IN (SELECT d FROM decided_d WHERE message IS NULL) THEN 'moved' ELSE 'left' END AS place
+        FROM (SELECT doc_id, n_chars, CAST(DATE '1996-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS d FROM documents)"""),
+    "file_table_merge": _with("doc_file", """
+        , first_ids AS (SELECT doc_id, row_number() OVER (ORDER BY as_of_date NULLS FIRST, table_configuration_id, blob_path) AS id
+                        FROM doc_file WHERE doc_id % 2 = 0),
+        more_ids AS (SELECT doc_id, (SELECT count(*) FROM first_ids) +
+                       row_number() OVER (ORDER BY as_of_date NULLS FIRST, table_configuration_id, blob_path) AS id
+                     FROM doc_file WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0)
+        SELECT id, table_configuration_id, as_of_date, blob_path, file_size_bytes + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS file_size_bytes,
+               'Active' AS status, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2000-01-02' ELSE TIMESTAMP '2000-01-01' END AS created_at_et
+        FROM doc_file JOIN (FROM first_ids UNION ALL FROM more_ids) USING (doc_id)"""),
+    "snapshot_rollback": f"""
+        SELECT *, 1 AS copies FROM ({_CELLS}) UNION ALL SELECT d.*, 2 FROM ({_CELLS}) d, range(2)""",
+    "snapshot_rejects": """
+        SELECT CAST(doc_id AS VARCHAR) AS DocId, 'n/a' AS Chars, source AS Source, 'Chars' AS bad_columns FROM documents WHERE doc_id % 7 = 3""",
+    "snapshot_counts": """
+        SELECT CAST(v AS INTEGER) AS version, CAST(t * (SELECT count(*) FROM documents) AS BIGINT) AS total_rows,
+               CAST(t * (SELECT count(*) FROM documents WHERE doc_id % 7 = 3 OR n_chars >= 5000) AS BIGINT) AS rejected_rows
+        FROM (VALUES (1, 1), (2, 2), (3, 1)) AS x(v, t)""",
+    "delete_by_position": _LIVE,
+    "delete_merged": _LIVE,
+    "object_refresh": """
+        SELECT row_number() OVER (ORDER BY d) AS id, 20 AS table_configuration_id, d AS as_of_date, 'EXT' AS date_type, 'Active' AS status,
+               CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) * CASE WHEN dayofweek(d) = 0 THEN 2 ELSE 1 END AS BIGINT) AS file_size_bytes
+        FROM (SELECT doc_id, CAST(DATE '1996-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS d FROM documents) GROUP BY d""",
+    "deal_rejects": """
+        SELECT 'D' || doc_id AS deal_id, CASE WHEN doc_id % 17 <> 5 AND doc_id % 19 <> 5 THEN CAST(n_chars AS VARCHAR) END AS measure_value,
+               CASE WHEN doc_id % 17 <> 5 AND doc_id % 19 <> 5 THEN 'loaded' ELSE 'aside' END AS place FROM documents""",
+}

@@ -12,7 +12,7 @@ from granary import schemas
 from granary.functions.dates import local_to_utc, stamp
 from granary.operators import archive, documents, retention
 from granary.plans.archive import archive_table
-from granary.plans.ingest import import_staging, ingest_feed, load_provider_deals
+from granary.plans.ingest import import_snapshot, ingest_feed, load_provider_deals, staged_rejects, staged_rows
 from granary.plans.lifecycle import enforce_lifecycle
 from granary.plans.profile import profile_catalog
 from granary.registry import fixtures as fx
@@ -20,6 +20,7 @@ from granary.registry.queries import query
 from granary.session import shared_dir
 from granary.sinks import writers
 from granary.sinks.publish import children, move
+from granary.sinks.snapshots import Snapshots
 from granary.sources.files import (
     scan_json_array, scan_objects, scan_record_lines, scan_untyped,
 )
@@ -297,23 +298,22 @@ def provider_deals_job(spark, sf):
     return spark.read.parquet(f"{base}/out").drop("run_id")
 
 
-def _staged(spark, sf) -> str:
+_FUNDS = {"FundId": "fund_id", "Month": "month", "Year": "year", "Return": "return"}
+
+
+def _staged(spark, sf) -> Snapshots:
     """All template rows loaded three times, replaced by the second load and appended to by the third."""
-    base = shared_dir(spark, "staging")
-    rows = fx.template_rows(spark, sf)
-    names = {"FundId": "fund_id", "Month": "month", "Year": "year", "Return": "return"}
-    rules = [("return_positive", "`return` > 0")]
+    store = Snapshots(spark, shared_dir(spark, "staging"))
+    rows, rules = fx.template_rows(spark, sf), [("return_positive", "`return` > 0")]
     for truncate in (True, True, False):
-        import_staging(
-            rows, schemas.template("Template1"), f"{base}/staging", rules, names, truncate, f"{base}/rejects"
-        )
-    return base
+        import_snapshot(rows, schemas.template("Template1"), store, rules, _FUNDS, truncate)
+    return store
 
 
 @query
 def staging_job(spark, sf):
     """A staging table loaded twice: replaced the first time, appended to the second."""
-    loaded = spark.read.parquet(f"{_staged(spark, sf)}/staging")
+    loaded = staged_rows(_staged(spark, sf), schemas.template("Template1"), _FUNDS)
     return loaded.groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("n"), F.sum("fund_id").alias("fund_id_sum")
     )
@@ -322,7 +322,7 @@ def staging_job(spark, sf):
 @query
 def staging_rejects(spark, sf):
     """Rows of the same import that do not convert, with the names of their bad cells."""
-    return spark.read.parquet(f"{_staged(spark, sf)}/rejects")
+    return staged_rejects(_staged(spark, sf), schemas.template("Template1"), _FUNDS)
 
 
 @query

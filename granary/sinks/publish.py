@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -84,3 +84,40 @@ def publish_swap(spark: SparkSession, path: str, write: Callable[[str], None]) -
             raise
     remove(spark, old)
     return path
+
+
+def publish_together(spark: SparkSession, writes: dict[str, Callable[[str], None]], truncate: bool) -> None:
+    """Write several folders, then replace or extend those at the given paths, all or none.
+
+    Nothing moves before everything is written; if a move fails, the earlier ones are undone. Readers may see the
+    moment between two moves; :class:`granary.sinks.snapshots.Snapshots` has no such moment.
+    """
+    done: list[tuple[str, str]] = []
+
+    def step(source: str, target: str) -> None:
+        move(spark, source, target)
+        done.append((source, target))
+
+    with ExitStack() as stack:
+        staged = {path: stack.enter_context(staging(spark, path)) for path in writes}
+        for path, write in writes.items():
+            write(staged[path])
+        try:
+            for path, folder in staged.items():
+                if not path_exists(spark, path):
+                    step(folder, path)
+                elif truncate:
+                    step(path, f"{folder}_old")
+                    step(folder, path)
+                else:
+                    for file in children(spark, folder):
+                        name = file.rpartition("/")[2]
+                        if name.startswith("part-"):
+                            step(file, f"{path.rstrip('/')}/{name}")
+        except BaseException:
+            for source, target in reversed(done):
+                move(spark, target, source)
+            raise
+    for folder in staged.values():
+        remove(spark, f"{folder}_old")
+        remove(spark, folder)

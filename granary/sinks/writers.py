@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Iterable
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +15,7 @@ from granary.operators.feed import BLANK, UNROUTED, Routes, routed_rows
 from granary.schemas import (
     FEED_ROUTES, JDBC_BATCH_ROWS, ROW_GROUP_BYTES, ROW_GROUP_ROWS, ROWS_PER_PART,
 )
-from granary.sinks.publish import (
-    children, move, path_exists, publish_new, publish_swap, remove, staging,
-)
+from granary.sinks.publish import children, move, path_exists, publish_new, publish_swap, remove
 
 # ------------------------------------------------------------------ archive parts
 
@@ -81,19 +78,31 @@ def read_part_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_routed(
-    lines: DataFrame, path: str, routes: Routes = FEED_ROUTES, empty_as_null: bool = False
+    lines: DataFrame, path: str, routes: Routes = FEED_ROUTES, empty_as_null: bool = False, seen: Observation | None = None
 ) -> str:
     """All routes of a feed in one pass, one ``table_name=`` partition each.
 
-    Unrouted and blank lines get partitions of their own, so totals come from the
-    written files and stay exact even if tasks were retried.
+    Unrouted and blank lines get partitions of their own. ``seen`` counts the lines of each partition as they are
+    written, see :func:`counted_lines`; Spark takes a task's counts once, also if it was retried.
     """
     rows = routed_rows(lines, routes, empty_as_null)
+    if seen is not None:
+        rows = rows.observe(seen, *[F.count_if(F.col("table_name") == t).alias(f"n{i}") for i, t in enumerate(_partitions(routes))])
     return publish_new(
         lines.sparkSession, path, lambda staged: rows.write.partitionBy("table_name").parquet(staged)
     )
 
 
+def _partitions(routes: Routes) -> list[str]:
+    return [UNROUTED, BLANK, *sorted({t for t, _ in routes.values()})]
+
+
+def counted_lines(seen: Observation, routes: Routes = FEED_ROUTES) -> dict[str, int]:
+    """Lines of each partition that :func:`write_routed` has written."""
+    counts = seen.get
+    return {t: n for i, t in enumerate(_partitions(routes)) if (n := counts.get(f"n{i}"))}
+
+
 def _routed_schema(routes: Routes) -> T.StructType:
     width = max(w for _, w in routes.values())
     names = [f"col{i + 1}" for i in range(width)] + ["value", "table_name"]
@@ -188,34 +197,6 @@ def delete_as_of(spark: SparkSession, path: str, column: str, days: Iterable[dt.
     return gone
 
 
-def rewrite_survivors(spark: SparkSession, path: str, files: list[str], kept: DataFrame) -> None:
-    """Put the rows of ``kept``, what is to stay of ``files``, in the place of those files.
-
-    All other files of the table, also those that arrive meanwhile, are left alone. The old files
-    are set aside in a folder that readers skip until the new ones are in place, and come back
-    if that fails.
-    """
-    with staging(spark, path) as staged:
-        kept.write.parquet(staged)
-        aside = f"{path.rstrip('/')}/_gone_{uuid.uuid4().hex}"
-        moves = [(f, f"{aside}/{i}") for i, f in enumerate(files)]
-        moves += [
-            (f, f"{path.rstrip('/')}/{f.rpartition('/')[2]}")
-            for f in children(spark, staged) if f.rpartition("/")[2].startswith("part-")
-        ]
-        done: list[tuple[str, str]] = []
-        try:
-            for source, target in moves:
-                move(spark, source, target)
-                done.append((source, target))
-        except BaseException:
-            for source, target in reversed(done):
-                move(spark, target, source)
-            raise
-    remove(spark, aside)
-    remove(spark, staged)
-
-
 # ------------------------------------------------------------------ files and reports
 
 

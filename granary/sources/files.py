@@ -30,7 +30,7 @@ def scan_typed_csv(
     """Header CSV with an explicit schema.
 
     FAILFAST aborts on a bad field; PERMISSIVE keeps such rows with their text in
-    ``_corrupt_record``.
+    ``_corrupt_record``. Only fields that the query reads can be found bad.
     """
     if mode == "PERMISSIVE":
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])

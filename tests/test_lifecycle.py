@@ -16,8 +16,8 @@ NOW = dt.datetime(2020, 6, 30)
 def files(spark, *rows):
     names = ["id", CONFIG, "as_of_date", "date_type", "status", "created_at_et", "last_tier_check_at_et",
              "override_file_lifecycle_policy_id"]
-    types = {f.name: f.dataType.simpleString() for f in schemas.ARCHIVAL_FILE}
-    return spark.createDataFrame(rows, ", ".join(f"{n} {types[n]}" for n in names))
+    whole = [tuple(dict(zip(names, row)).get(f.name) for f in schemas.ARCHIVAL_FILE) for row in rows]
+    return spark.createDataFrame(whole, schemas.ARCHIVAL_FILE)
 
 
 def tier(spark, config, day, kind, override=None, policies=None, created=NOW):

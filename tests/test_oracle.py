@@ -5,6 +5,7 @@ import os
 import pytest
 
 import granary.registry.sink_queries  # noqa: F401
+import granary.registry.version_queries  # noqa: F401
 from granary.registry.compare import connect, differences, run_oracle
 from granary.registry.oracles import ORACLES
 from granary.registry.queries import QUERIES

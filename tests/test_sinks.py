@@ -98,33 +98,6 @@ def test_failed_writes_leave_nothing(spark, root):
         publish_new(spark, f"{root}/old", lambda s: None)
 
 
-def test_rewrite_touches_the_named_files_only(spark, root):
-    spark.range(5).coalesce(1).write.parquet(f"{root}/t")
-    first = data_files(f"{root}/t")
-    kept = spark.read.parquet(*first).where("id > 2")
-    spark.range(100, 103).coalesce(1).write.mode("append").parquet(f"{root}/t")  # arrives meanwhile
-    later = set(data_files(f"{root}/t")) - set(first)
-    writers.rewrite_survivors(spark, f"{root}/t", first, kept)
-    assert sorted(r[0] for r in spark.read.parquet(f"{root}/t").collect()) == [3, 4, 100, 101, 102]
-    assert later < set(data_files(f"{root}/t")) and os.listdir(root) == ["t"]
-
-
-def test_failed_rewrite_changes_nothing(spark, root, monkeypatch):
-    spark.range(5).coalesce(1).write.parquet(f"{root}/t")
-    files, calls = data_files(f"{root}/t"), []
-
-    def once(*args):
-        calls.append(args)
-        if len(calls) == 2:
-            raise OSError("no")
-        return move(*args)
-
-    monkeypatch.setattr("granary.sinks.writers.move", once)
-    with pytest.raises(OSError):
-        writers.rewrite_survivors(spark, f"{root}/t", files, spark.read.parquet(*files).where("id > 2"))
-    assert spark.read.parquet(f"{root}/t").count() == 5 and os.listdir(root) == ["t"]
-
-
 # ------------------------------------------------------------------------------ feeds
 
 
@@ -246,8 +219,8 @@ def test_staging_keeps_what_does_not_convert(spark, root):
 def test_staging_job_imports_every_row(spark, monkeypatch):
     from granary.registry import sink_queries
 
-    seen, load = [], sink_queries.import_staging
-    monkeypatch.setattr(sink_queries, "import_staging", lambda rows, *a: (seen.append(rows.count()), load(rows, *a))[1])
+    seen, load = [], sink_queries.import_snapshot
+    monkeypatch.setattr(sink_queries, "import_snapshot", lambda rows, *a: (seen.append(rows.count()), load(rows, *a))[1])
     sink_queries.staging_job(spark, SF).count()
     assert seen == [fx.table(spark, SF, "lineitem").count()] * 3
 
@@ -376,7 +349,7 @@ def test_failed_export_is_logged_and_cleaned(spark, root, monkeypatch):
 
 def test_failed_deletion_keeps_the_export(spark, root, monkeypatch):
     fx.table(spark, SF, "orders").select("*", F.to_date(F.trunc("o_orderdate", "month")).alias("as_of_date")).write.parquet(f"{root}/src")
-    monkeypatch.setattr("granary.plans.archive.rewrite_survivors", boom)
+    monkeypatch.setattr("granary.plans.archive.merge_deletes", boom)
     run = archive_orders(spark, root, 1)
     got = set(as_rows(spark.read.parquet(run.details).select("phase", "status").distinct()))
     assert {("Export", "Success"), ("Delete", "Failed")} <= got and ("Delete", "Success") not in got
