@@ -206,7 +206,6 @@ def test_tokens(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(token_files.vocabulary_path())
-    plain.encode_special_tokens = True
     want = collections.Counter()
     for r in rows():
         ids = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -224,6 +223,22 @@ def test_tokens(spark, docs, empty, tmp_path):
     assert token_files.token_starts(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pieces_encode_as_whole_texts():
+    """The added token's text among neighbours of every kind, and all places where white space meets."""
+
+    from tokenizers import Tokenizer
+
+    plain, made = Tokenizer.from_file(token_files.vocabulary_path()), token_files.encoder(token_files.vocabulary_path())
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "x", "Wort", "é", " ", " ", "  ", "\n", "\t", "\x1c", "\u2003", "\xa0", "\x85", "'s", "12", "😀", ".", "<|", "\u3000"]
+    texts = ["", " ", "<|endoftext|>", "x <|endoftext|> y", "x<|endoftext|>y z", "a  <|endoftext|>", "<|endoftext|> b c", "w " * 5000 + "e"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    for lo in range(0, len(texts), 700):
+        some = texts[lo : lo + 700]
+        for t, ids in zip(some, made(some)):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_file_format(docs, tmp_path):
     import pyarrow.parquet as pq
 
