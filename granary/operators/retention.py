@@ -5,7 +5,7 @@ Everything after ``as_of_dates`` works on distinct dates, a few thousand per tab
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.schemas import DATE_TYPES
@@ -24,6 +24,14 @@ def as_of_dates(source: DataFrame, column: str) -> DataFrame:
     return source.select(day).where(F.col("as_of_date").isNotNull()).distinct()
 
 
+def as_of_dates_of_folders(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """Distinct as-of dates of a table laid out by ``column``, from its folders alone.
+
+    The folders' names give the values; no data column is read, and folders without rows do not count.
+    """
+    return as_of_dates(spark.read.parquet(path), column)
+
+
 def date_types(dates: DataFrame) -> DataFrame:
     """Label each (configuration, date) EOD, EOM, EOQ or EOY, the strongest label winning.
 

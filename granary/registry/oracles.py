@@ -661,4 +661,7 @@ ORACLES |= {
     "deal_rejects": """
         SELECT 'D' || doc_id AS deal_id, CASE WHEN doc_id % 17 <> 5 AND doc_id % 19 <> 5 THEN CAST(n_chars AS VARCHAR) END AS measure_value,
                CASE WHEN doc_id % 17 <> 5 AND doc_id % 19 <> 5 THEN 'loaded' ELSE 'aside' END AS place FROM documents""",
+    "json_array_lines": "SELECT source, doc_id, lang, n_chars FROM documents",
+    "distinct_as_of_folders": "SELECT DISTINCT CAST(DATE '1996-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS as_of_date FROM documents",
+    "tsv_documents": "SELECT doc_id, source, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents",
 }

@@ -182,11 +182,10 @@ def scan_catalog(spark, sf):
 
 @query
 def json_array_files(spark, sf):
-    """Parts of a brand as one file with a JSON array each, read back."""
-    base = shared_dir(spark, "json")
-    part = F.struct("p_partkey", "p_name", "p_size")
-    arrays = fx.table(spark, sf, "part").groupBy("p_brand").agg(F.to_json(F.collect_list(part)).alias("value"))
-    arrays.select("value").write.option("maxRecordsPerFile", 1).text(base)
+    """Parts of a brand as JSON arrays of at most 100 objects, one to a file, read back."""
+    base = f"{shared_dir(spark, 'json')}/arrays"
+    part = fx.table(spark, sf, "part").select("p_brand", "p_partkey", "p_name", "p_size")
+    writers.write_json_arrays(part, base, ["p_brand"], "p_partkey", 100)
     schema = T.StructType([
         T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_size", T.IntegerType()),
     ])

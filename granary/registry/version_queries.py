@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary import schemas
-from granary.operators import archive
+from granary.operators import retention
 from granary.operators.retention import CONFIG
 from granary.plans import archive as archive_plan
 from granary.plans.ingest import import_snapshot, load_provider_deals, staged_rejects, staged_rows
 from granary.registry import fixtures as fx
 from granary.registry.queries import query
 from granary.session import shared_dir
-from granary.sinks import positions
+from granary.sinks import positions, writers
 from granary.sinks.file_table import FileTable
 from granary.sinks.publish import children, move, path_exists, remove
 from granary.sinks.snapshots import Snapshots
+from granary.sources.files import scan_json_lines_array
 from granary.streaming.discovery import refresh_files
 
 
@@ -191,3 +192,29 @@ def deal_rejects(spark, sf):
     aside = spark.read.parquet(f"{base}/rejects").select(
         F.substring_index("record", ",", 1).alias("deal_id"), F.lit(None).cast("string").alias("measure_value"), F.lit("aside").alias("place"))
     return loaded.unionByName(aside)
+
+
+@query
+def json_array_lines(spark, sf):
+    """Documents of a source as JSON arrays of bounded size, read back line by line."""
+    path = f"{shared_dir(spark, 'json')}/arrays"
+    docs = fx.table(spark, sf, "documents").select("source", "doc_id", "lang", "n_chars")
+    writers.write_json_arrays(docs, path, ["source"], "doc_id", 5000)
+    return scan_json_lines_array(spark, path, docs.schema)
+
+
+@query
+def distinct_as_of_folders(spark, sf):
+    """The dates of a table laid out by day, from its folders."""
+    path = shared_dir(spark, "daily")
+    fx.dated_documents(spark, sf).repartition("as_of_date").write.partitionBy("as_of_date").parquet(path)
+    return retention.as_of_dates_of_folders(spark, path, "as_of_date")
+
+
+@query
+def tsv_documents(spark, sf):
+    """A report with a row per document as tab-separated text, read back."""
+    path = shared_dir(spark, "report")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    writers.write_report_tsv(docs, path)
+    return spark.read.schema(docs.schema).option("sep", "\t").option("header", True).csv(path)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from granary.operators.archive import assign_parts
 from granary.operators.feed import BLANK, UNROUTED, Routes, routed_rows
+from granary.operators.numbering import chunk_rows
 from granary.schemas import (
     FEED_ROUTES, JDBC_BATCH_ROWS, ROW_GROUP_BYTES, ROW_GROUP_ROWS, ROWS_PER_PART,
 )
@@ -225,6 +226,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_json_arrays(
+    df: DataFrame, path: str, group: list[str], seq: str, objects_per_array: int = 10_000, rows_per_slice: int = 1_000_000
+) -> str:
+    """Text files that each hold a JSON array of at most ``objects_per_array`` objects of one group, in the order of ``seq``.
+
+    One object to a line. However large a group is, no row and no file holds more; its arrays are in files of their own.
+    """
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    rows = chunk_rows(df.select(*group, seq, body.alias("_body")), group, seq, objects_per_array, rows_per_slice)
+    lists = rows.groupBy(*group, "chunk").agg(F.array_sort(F.collect_list(F.struct("row_no", "_body"))).alias("_items"))
+    value = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda x: x["_body"]), ",\n"), F.lit("]"))
+    arrays = lists.select(value.alias("value"))
+    return publish_new(df.sparkSession, path, lambda staged: arrays.write.option("maxRecordsPerFile", 1).text(staged))
+
+
 def write_report_tsv(df: DataFrame, path: str) -> bool:
     """Tab-separated report with a header, only if there are rows."""
     if df.isEmpty():

@@ -72,6 +72,17 @@ def scan_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def scan_json_lines_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Files that each hold a JSON array written with one object to a line.
+
+    Lines are objects, so large files are split between them as text is; brackets and separating commas are taken off. A line that
+    does not fit the schema fails the read.
+    """
+    text = F.regexp_replace(F.trim("value"), r"^\[|[,\]]$", "")
+    lines = spark.read.text(path).select(F.trim(text).alias("value")).where("value <> ''")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
+
+
 def describe_objects(listing: DataFrame) -> DataFrame:
     """Path, size and times of listed objects, with the date found in their path.
 

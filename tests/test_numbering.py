@@ -44,3 +44,22 @@ def test_far_apart_keys_make_few_slices(spark):
     low, high = rows[0].k, rows[-1].k
     slices = {int((r.k - low) // ((high - low + 1) / 80)) for r in rows}
     assert len(slices) <= 81
+
+
+def test_outliers_and_clusters_fill_no_slice(spark):
+    from granary.operators.numbering import quantile_slices
+
+    # Keys in two far clusters and one outlier, and a group without a name.
+    df = spark.range(20_000).selectExpr(
+        "if(id % 2 = 0, 'g', null) AS g", "CASE WHEN id < 2 THEN 9000000000000000000 WHEN id % 3 = 0 THEN id ELSE 1000000000000 + id END AS k")
+    df = df.unionByName(spark.range(50).selectExpr("'small' AS g", "id AS k"))
+    got = quantile_slices(df, ["g"], "k", 1000, "s").groupBy("g", "s").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("z"))
+    rows = sorted(got.collect(), key=lambda r: (str(r.g), r.s or 0))
+    assert [(r.s, r.n) for r in rows if r.g == "small"] == [(None, 50)]
+    for g in ("g", None):
+        own = [r for r in rows if r.g == g]
+        assert sum(r.n for r in own) == 10_000 and len(own) >= 15
+        assert max(r.n for r in own) <= 2 * 500  # twice the target at most
+        assert all(x.z < y.a for x, y in zip(own, own[1:]))
+    chunks = chunk_rows(df, ["g"], "k", 7, rows_per_slice=1000).where("g = 'g'").orderBy("k").collect()
+    assert [r.row_no for r in chunks] == list(range(1, 10_001)) and [r.chunk for r in chunks] == [i // 7 for i in range(10_000)]

@@ -405,3 +405,31 @@ def test_stream_merges_a_batch_once(spark, root):
         os.remove(name)
     go("ck")
     assert sizes(table) == first and table.store.version().number == number
+
+
+# ---------------------------------------------------- arrays and dates of folders
+
+
+def test_arrays_are_bounded_and_split_at_objects(spark, root):
+    from granary.sinks.writers import write_json_arrays
+    from granary.sources.files import scan_json_array, scan_json_lines_array
+
+    rows = [("hot" if i % 4 else "b", i, text) for i, text in enumerate(["x", "a],[", "},{", "line\nbreak", "ends ]", " [", ",", None, "é\t"] * 30)]
+    df = spark.createDataFrame(rows, "g string, k long, v string")
+    write_json_arrays(df, f"{root}/a", ["g"], "k", 7, rows_per_slice=50)
+    arrays = spark.read.text(f"{root}/a", wholetext=True).collect()
+    import json
+    sizes = [len(json.loads(r.value)) for r in arrays]
+    assert sum(sizes) == len(rows) and max(sizes) == 7
+    assert all(len({x["g"] for x in json.loads(r.value)}) == 1 for r in arrays)
+    for scan in (scan_json_array, scan_json_lines_array):
+        assert sorted(map(tuple, scan(spark, f"{root}/a", df.schema).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_dates_of_folders_read_no_column(spark, root):
+    from granary.operators.retention import as_of_dates_of_folders
+
+    spark.range(30).selectExpr("id", "date_add(DATE'2024-01-01', cast(id % 3 as int)) AS d").write.partitionBy("d").parquet(f"{root}/t")
+    got = as_of_dates_of_folders(spark, f"{root}/t", "d")
+    assert sorted(r[0].day for r in got.collect()) == [1, 2, 3]
+    assert "ReadSchema: struct<>" in got._jdf.queryExecution().toString()
