@@ -1,16 +1,18 @@
 """Benchmark decontamination: word-pair seeds, then local alignment of passage and test item.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z read as a-z. Seeds are all pairs
-of words of an item that are neighbours or have one word between. Where a document holds enough
-seeds of an item close together, the surrounding passage and the item are aligned word by
-word (Smith-Waterman), which scores copies with changed, added or missing words.
+Words are runs of letters, digits and non-ASCII characters, A-Z read as a-z. Seeds are pairs
+of words of an item that are neighbours or have one word between. Rare seeds tell which documents can hold which item;
+where such a document holds enough seeds of the item, rare or not, close together, the surrounding passage and
+the item are aligned word by word (Smith-Waterman), which scores copies with changed, added or missing words.
 
 Exactness: an alignment of M matches and X edits scores 2 M - X. Let it reach the share s of the best
 score 2 n of an item of n words. Its M - 1 steps from match to match hold X edits, so at most
 X / 2 <= M - s n of them hold two or more. The other s n - 1 steps or more hold one edit or none; each starts
 at a word of its own, and its two words are a seed in the item and in the document. The passage has
 at most M + X <= (3 - 2 s) n words. So no passage that the alignment would accept is left out, however
-its edits are spread and however common its words are.
+its edits are spread and however common its words are. As it holds seeds from at least s n - 1 words of the item, it holds one
+from the words that stay when any s n - 2 of them are left out; those left out are the ones with the most common seeds. How common a
+seed is, is judged by the words of the test items, and decides on the work to do, not on what is found.
 
 The test items are a stated query set: they reach the tasks in blocks of bounded size, and a
 larger benchmark means more passes over the documents.
@@ -18,16 +20,20 @@ larger benchmark means more passes over the documents.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import bytes_np as B
+from granary.llm.common import materialize
 
 #: Items of fewer words are not looked for.
 MIN_WORDS = 4
@@ -56,11 +62,15 @@ class Items:
     words: list[np.ndarray]
     seed: np.ndarray  # sorted hashes, one entry per (pair, item)
     item: np.ndarray
+    rare: np.ndarray  # the same for the rare seeds
+    rare_item: np.ndarray
 
-    def sieve(self) -> np.ndarray:
-        out = np.zeros(1 << _SIEVE_BITS, bool)
-        out[(self.seed & np.uint64((1 << _SIEVE_BITS) - 1)).astype(np.int64)] = True
-        return out
+    def sieves(self) -> tuple[np.ndarray, np.ndarray]:
+        """For all seeds and for the rare ones: which low bits of a hash occur."""
+        out = np.zeros((2, 1 << _SIEVE_BITS), bool)
+        for own, seeds in zip(out, (self.seed, self.rare)):
+            own[(seeds & np.uint64((1 << _SIEVE_BITS) - 1)).astype(np.int64)] = True
+        return out[0], out[1]
 
 
 def word_pairs(w: B.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -74,18 +84,43 @@ def word_pairs(w: B.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(first)
 
 
-def index_items(rows: list[tuple[int | None, str | None]]) -> Items:
+def _sorted_pairs(h: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, item), by hash."""
+    if not h.size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    order = np.lexsort((item, h))
+    h, item = h[order], item[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (item[1:] != item[:-1]))
+    return h[new], item[new]
+
+
+def _rare_starts(w: B.Words, min_score: float) -> np.ndarray:
+    """Which words' seeds are rare seeds: all but the ``need - 1`` words of each item whose seeds are made of the most common words."""
+    _, known, counts = np.unique(w.hash, return_inverse=True, return_counts=True)
+    common = np.log(counts[known])
+    weight = np.full(w.hash.size, -np.inf)
+    for step in (1, 2):
+        i = np.flatnonzero(w.row[:-step] == w.row[step:])
+        weight[i] = np.maximum(weight[i], common[i] + common[i + step])
+    # Words without a seed, the last ones, are not among those that the bound speaks of.
+    need, _ = bounds(np.diff(w.first), min_score)
+    order = np.lexsort((np.arange(w.hash.size), -weight, w.row))
+    rank = np.arange(w.hash.size) - w.first[w.row[order]]
+    rare = np.ones(w.hash.size, bool)
+    rare[order[rank < need[w.row[order]] - 1]] = False
+    return rare
+
+
+def index_items(rows: list[tuple[int | None, str | None]], min_score: float = MIN_SCORE) -> Items:
     """All word pairs of the items. An item of fewer than ``MIN_WORDS`` words cannot be looked for."""
     column = pa.array([t for _, t in rows], pa.large_string())
     w = B.words(*B.text_bytes(column), lower=True, separator=SEPARATOR)
     h, i = word_pairs(w)
     item = w.row[i]
     long = np.diff(w.first)[item] >= MIN_WORDS
-    h, item = h[long], item[long]
-    pairs = np.unique(np.stack([h, item.astype(np.uint64)]), axis=1) if h.size else np.zeros((2, 0), np.uint64)
-    order = np.lexsort((pairs[1], pairs[0]))
+    rare = long & _rare_starts(w, min_score)[i]
     return Items([r[0] for r in rows], [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])],
-                 pairs[0][order], pairs[1][order].astype(np.int64))
+                 *_sorted_pairs(h[long], item[long]), *_sorted_pairs(h[rare], item[rare]))
 
 
 def bounds(size: np.ndarray, min_score: float) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +157,33 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _hits(w: B.Words, items: Items, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Item and first word of the column's seeds, by row, item and word; each (item, word) once."""
-    h, i = word_pairs(w)
+def _found(h: np.ndarray, i: np.ndarray, sieve: np.ndarray, seed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items and first words of the pairs that are among ``seed``."""
     near = np.flatnonzero(sieve[(h & np.uint64((1 << _SIEVE_BITS) - 1)).astype(np.int64)])
     h, i = h[near], i[near]
-    lo, hi = np.searchsorted(items.seed, h, "left"), np.searchsorted(items.seed, h, "right")
+    lo, hi = np.searchsorted(seed, h, "left"), np.searchsorted(seed, h, "right")
     counts = hi - lo
     first = np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if h.size else lo
-    item, word = items.item[first + np.arange(counts.sum())], np.repeat(i, counts)
+    return owner[first + np.arange(counts.sum())], np.repeat(i, counts)
+
+
+def _hits(w: B.Words, items: Items, sieves: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Item and first word of the column's seeds, by row, item and word; each (item, word) once.
+
+    Only of rows and items that have a rare seed in common.
+    """
+    h, i = word_pairs(w)
+    n = len(items.ids)
+    item, word = _found(h, i, sieves[1], items.rare, items.rare_item)
+    candidates = np.unique(w.row[word] * n + item)
+    held = np.zeros(w.first.size, bool)
+    held[candidates // n] = True
+    inside = np.flatnonzero(held[w.row[i]])
+    item, word = _found(h[inside], i[inside], sieves[0], items.seed, items.item)
+    pair = w.row[word] * n + item
+    at = np.minimum(np.searchsorted(candidates, pair), max(candidates.size - 1, 0))
+    wanted = candidates[at] == pair if candidates.size else np.zeros(pair.size, bool)
+    item, word = item[wanted], word[wanted]
     order = np.lexsort((word, item, w.row[word]))
     item, word = item[order], word[order]
     new = np.ones(word.size, bool)
@@ -153,22 +206,22 @@ def _passages(item: np.ndarray, word: np.ndarray, row: np.ndarray, need: np.ndar
         yield int(at[a]), int(word[at[a]] - around), int(word[to[b - 1]] + around + 1)
 
 
-def leaks(docs: DataFrame, items: Items, text: str = "text", min_score: float = MIN_SCORE) -> Column:
-    """Column of the items found in a text of ``docs``: item_id, score 0 to 1, first and last word.
+def leaks(docs: DataFrame, items: Items, text: str = "text", min_score: float = MIN_SCORE) -> tuple[Column, Broadcast]:
+    """Column of the items found in a text of ``docs``: item_id, score 0 to 1, first and last word; and the index the tasks get.
 
     Best passage per item. Null and empty texts have none. Repeated item ids are reported once per row.
     """
-    known = docs.sparkSession.sparkContext.broadcast((items, items.sieve()))
+    known = docs.sparkSession.sparkContext.broadcast((items, items.sieves()))
 
     def run(column: pa.Array) -> pa.Array:
-        block, sieve = known.value
+        block, sieves = known.value
         size = np.array([len(x) for x in block.words])
         need, span = bounds(size, min_score)
         out: list[list] = []
         for part in B.slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", SLICE_BYTES):
             w = B.words(*B.text_bytes(part.column("t")), lower=True, separator=SEPARATOR)
             rows: list[dict] = [{} for _ in range(part.num_rows)]
-            item, word = _hits(w, block, sieve)
+            item, word = _hits(w, block, sieves)
             row = w.row[word]
             for at, first, last in _passages(item, word, row, need, span):
                 k, r = int(item[at]), int(row[at])
@@ -184,7 +237,7 @@ def leaks(docs: DataFrame, items: Items, text: str = "text", min_score: float =
         kind = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
         return pa.array(out, pa.list_(kind))
 
-    return F.arrow_udf(run, LEAK)(F.col(f"`{text}`").cast("string"))
+    return F.arrow_udf(run, LEAK)(F.col(f"`{text}`").cast("string")), known
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -196,19 +249,31 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
-def add_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks", text: str = "text") -> DataFrame:
+def add_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the items found in each text; other columns stay, ``out`` must not be one of them.
 
-    An empty benchmark or one without usable items finds nothing.
+    An empty benchmark or one without usable items finds nothing. A benchmark of one block is looked up as the rows go by. With more
+    blocks the rows are numbered and written first, each block makes a pass of its own that writes what it finds,
+    and its index is dropped before the next one is made.
     """
-    found = None
-    for rows in blocks(benchmark):
-        items = index_items(rows)
-        if not items.seed.size:
-            continue
-        own = leaks(docs, items, text)
-        found = own if found is None else F.concat(found, own)
-    return docs.withColumn(out, F.array().cast(LEAK) if found is None else found)
+    made = blocks(benchmark, block_bytes)
+    items, more = index_items(next(made)), next(made, None)
+    if more is None:
+        found = leaks(docs, items, text)[0] if items.seed.size else F.array().cast(LEAK)
+        return docs.withColumn(out, found)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("row")), "leak-rows")
+    texts, parts = rows.select("row_id", F.col(f"row.`{text}`").alias("text")), []
+    for block in itertools.chain([items, index_items(more)], map(index_items, made)):
+        if block.seed.size:
+            found, known = leaks(texts, block)
+            parts.append(materialize(texts.select("row_id", F.explode(found).alias("leak")), "leak-block"))
+            known.destroy()
+    if not parts:
+        return rows.select("row.*", F.array().cast(LEAK).alias(out))
+    all_found = functools.reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(F.sort_array(F.collect_list("leak")).alias("leaks"))
+    joined = rows.join(all_found, "row_id", "left")
+    return joined.select("row.*", F.coalesce("leaks", F.array().cast(LEAK)).alias(out))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
