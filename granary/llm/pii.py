@@ -1,7 +1,7 @@
 """Personal data: fixed patterns for four kinds, and contexts learned from what those find.
 
 Base spans of emails, IP addresses, card and phone numbers seed a graph. Its nodes are
-identifier-like words (instances) and the words around them (patterns). A pattern is as
+these spans, each as a whole, and other identifier-like words (instances), and the words around them (patterns). A pattern is as
 trustworthy as the share of its instances that are known to be personal, an instance as the
 patterns that hold it; both are scored in turns over the whole corpus. Words that stand in a
 pattern of high confidence are further spans. DataFrame operations only.
@@ -82,23 +82,27 @@ def _cut(docs: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
     return out.withColumns({k: spans(k) for k in patterns}).drop(*[f"{k}_{x}" for k in patterns for x in ("words", "gaps", "ends")])
 
 
+def _right(kind: int, found: str) -> Column:
+    return F.filter(found, lambda s: _RIGHT[kind](s.word))
+
+
 def _base(kind: int, found: str) -> Column:
     """Matches of a kind that are right, as ``(kind, start, end)``."""
     return F.transform(
-        F.filter(found, lambda s: _RIGHT[kind](s.word)),
+        _right(kind, found),
         lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end")))
 
 
-def _around(found: str) -> Column:
-    """Identifier-like words with their place and their patterns: two words before, or one on each side."""
+def _around(found: Column, trim: bool) -> Column:
+    """Matches with their place and their patterns: two words before, or one on each side. ``trim`` takes marks off their ends."""
 
     def words(x: Column) -> Column:
         plain = F.regexp_replace(F.lower(x), "[0-9]", "0")
         return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda y: y != "")
 
     def one(s: Column) -> Column:
-        lead = F.length(s.word) - F.length(F.ltrim(s.word, F.lit(OPENING)))
-        core = F.rtrim(F.ltrim(s.word, F.lit(OPENING)), F.lit(CLOSING))
+        lead = F.length(s.word) - F.length(F.ltrim(s.word, F.lit(OPENING))) if trim else F.lit(0)
+        core = F.rtrim(F.ltrim(s.word, F.lit(OPENING)), F.lit(CLOSING)) if trim else s.word
         left = words(F.substring(s.before, -CONTEXT_CHARS, CONTEXT_CHARS))
         right = words(F.substring(s.after, 1, CONTEXT_CHARS))
         w1, w2, r1 = (F.coalesce(F.try_element_at(a, F.lit(i)), F.lit("")) for a, i in ((left, -1), (left, -2), (right, 1)))
@@ -117,12 +121,18 @@ def scan(docs: DataFrame) -> DataFrame:
     patterns = dict(zip(KINDS, zip((EMAIL, IP, CARD, PHONE), near))) | {"words": (IDENTIFIER, text.rlike("[0-9@]"))}
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    found = _cut(rows, patterns).select(
-        "row_id", "doc_id", F.concat(*[_base(i, k) for i, k in enumerate(KINDS)]).alias("base"), _around("words").alias("words"))
-    known = F.transform("words", lambda w: F.struct(
+    cut = _cut(rows, patterns)
+    # A base span is one instance, whatever spaces it has; identifier-like words are instances where no base span is.
+    seeds = [_around(_right(i, k), False) for i, k in enumerate(KINDS)]
+    found = cut.select(
+        "row_id", "doc_id", F.concat(*[_base(i, k) for i, k in enumerate(KINDS)]).alias("base"), F.concat(*seeds).alias("spans"),
+        _around(F.col("words"), True).alias("words"))
+    overlap = lambda b, w: (b.start < w.end) & (b.end > w.start)
+    apart = F.filter("words", lambda w: ~F.exists("base", lambda b: overlap(b, w)))
+    known = F.transform(F.concat("spans", apart), lambda w: F.struct(
         w.start.alias("start"), w.end.alias("end"), w.word.alias("word"), w.patterns.alias("patterns"),
-        F.filter("base", lambda b: (b.start < w.end) & (b.end > w.start)).alias("seeds")))
-    return materialize(found.withColumn("words", known), "pii-scan")
+        F.filter("base", lambda b: overlap(b, w)).alias("seeds")))
+    return materialize(found.withColumn("words", known).drop("spans"), "pii-scan")
 
 
 def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
