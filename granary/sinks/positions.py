@@ -8,6 +8,7 @@ cut off anywhere is finished by the next call, and marks of files that are gone
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from urllib.parse import unquote
 
@@ -74,16 +75,15 @@ def merge_deletes(spark: SparkSession, path: str, files_per_pass: int = FILES_PE
     finish_passes(spark, path)
     marks, replaced = deleted_places(spark, path), 0
     schema = spark.read.parquet(path).schema if not marks.isEmpty() else None
-    while schema is not None:
-        # Marks of files that an earlier pass has replaced join nothing.
-        hit = with_place(spark.read.schema(T.StructType()).parquet(path)).select("_file").distinct().join(
-            marks.select(F.col("file").alias("_file")).distinct(), "_file", "left_semi")
-        files = [unquote(r[0]) for r in hit.orderBy("_file").limit(files_per_pass).collect()]
-        if not files:
-            break
-        kept = _unmarked(spark.read.schema(schema).option("basePath", path).parquet(*files), marks)
-        _replace(spark, path, files, kept, schema)
-        replaced += len(files)
+    if schema is not None:
+        names = marks.select("file").distinct().orderBy("file").toLocalIterator()
+        while some := [unquote(r[0]) for r in itertools.islice(names, files_per_pass)]:
+            # Files that an earlier pass has replaced are gone, and their marks join nothing.
+            files = [f for f in some if path_exists(spark, f)]
+            if files:
+                kept = _unmarked(spark.read.schema(schema).option("basePath", path).parquet(*files), marks)
+                _replace(spark, path, files, kept, schema)
+                replaced += len(files)
     remove(spark, f"{path}/_deletes")
     return replaced
 
