@@ -1,15 +1,21 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets are one set. Sets that share a rare shingle are put into groups,
-and groups are cut into blocks of bounded size. The matrix of shingles and blocks tells how many
-of a set's first shingles any member of a block has; that and, where it suffices, the union of all the
-block's shingles bound what the set can have in common with a member. Only where both
-bounds reach the threshold is the block opened and its members compared.
+Documents with equal shingle sets are one set. A set is first compared with its representative, the set it shares
+most rare shingles with among the first ones of its shingles. Sets linked with one representative are a group; the others are
+grouped by the first set they meet. Groups are cut into blocks of bounded size, and each block's union of first
+shingles is stored as rows of a matrix. It tells how many of a set's first shingles any member of a block has, which
+bounds what the set can have in common with a member; where that reaches the threshold, a second bound is taken from
+parity sketches, a few bits per shingle: sketches differ in at most as many bits as their sets in shingles. Only where
+both bounds allow a link is the block opened and are whole sets shipped, and only of members that may be linked. Sets
+and blocks of one linked group are never compared, so a large group of copies costs a row per set and not per pair.
 
 Exactness: two sets with Jaccard of at least t share at least t of each, so each shares one of the
-first (1 - t) n + 1 shingles in any fixed order. The order is by hash, but shingles that stand out in a
-count over all documents, kept in a table of fixed size, come last: links are found whatever the
-counts say, and passages common to many documents bring no others together.
+first (1 - t) n + 1 shingles in any order common to both. Two orders are used. The first is by hash, but shingles that
+stand out in a count over all documents, kept in a table of fixed size, come last: links are found whatever the
+counts say. Sets that have a crowded shingle among these first ones, one of more than ``CROWD`` sets, are ordered anew by
+frequency among such sets: near copies with edits of their own then start with these and do not
+meet. A pair of which one set has no crowded shingle shares none, and is found in the first order; a pair of which
+both have is found in the second.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import bytes_np as B
@@ -28,9 +34,10 @@ from granary.llm.components import components
 
 SHINGLE_WORDS = 4
 THRESHOLD = 85  # percent
-#: Counters of the frequency table, and how many travel in one row. Only shingles with a hash below COUNTED are
-#: counted; the others are rarely among the first of a set.
-COUNTERS, CHUNK, COUNTED = 1 << 21, 1 << 14, np.uint64(1 << 62)
+#: Counters of the frequency table, and how many travel in one row.
+COUNTERS, CHUNK = 1 << 21, 1 << 14
+#: Sets that share a first shingle, beyond which they are ordered by exact frequency.
+CROWD = 256
 #: Sets and shingles in one block; a single larger set is a block of its own.
 BLOCK_SETS, BLOCK_TOKENS = 16, 200_000
 #: Sets compared with one block in one task.
@@ -52,6 +59,29 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def first_ones(n: int, threshold: int) -> int:
+    """How many shingles in order hold one of any linked set's; none of an empty set."""
+    return n + (-threshold * n // 100) + 1 if n else 0
+
+
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """For each of 2 n bits or more, a power of two, whether an odd number of the ``n`` shingles hash to it."""
+    bits = max(64, 1 << int(2 * tokens.size - 1).bit_length())
+    # The hash's middle bits: its low ones choose counters, its high ones are alike in the first shingles by hash.
+    at = ((tokens >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ, the larger one folded to the size of the smaller: at most the number of
+    shingles that one set has and the other has not."""
+    while x.size > y.size:
+        x = x[: x.size // 2] ^ x[x.size // 2 :]
+    while y.size > x.size:
+        y = y[: y.size // 2] ^ y[y.size // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -76,7 +106,7 @@ def frequent_slots(docs: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for part in B.slices(batch, "text"):
                 h, _ = B.windows(B.words(*B.text_bytes(part.column("text")), lower=True), k)
-                np.add.at(total, _slot(h[h < COUNTED]), 1)
+                np.add.at(total, _slot(h), 1)
         yield from rows({i: total[i * CHUNK : (i + 1) * CHUNK] for i in range(COUNTERS // CHUNK)})
 
     def rows(chunks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +136,7 @@ def frequent_slots(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """``row_id``, ``doc_id``, ``n_shingles``, ``set_key`` (null if empty), ``prefix`` of each row, written once."""
+    """``row_id``, ``doc_id``, ``n_shingles``, ``set_key`` and ``sketch`` (null if empty), ``prefix`` of each row, written once."""
     slots = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,51 +146,134 @@ def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHO
                 sets = shingle_sets(part.column("text"), k)
                 prefix = []
                 for x in sets:
-                    n = x.size + (-threshold * x.size // 100) + 1 if x.size else 0
-                    late = (x < COUNTED) & frequent[_slot(x)]
+                    n = first_ones(x.size, threshold)
+                    late = frequent[_slot(x)]
                     prefix.append(np.concatenate([x[~late], x[late]])[:n] if late.any() else x[:n])
                 ends = np.cumsum([0] + [p.size for p in prefix])
                 yield pa.RecordBatch.from_arrays([
                     part.column("row_id"), part.column("doc_id"), pa.array([x.size for x in sets], pa.int64()),
                     pa.array([set_key(x) if x.size else None for x in sets], pa.binary()),
+                    pa.array([parity_sketch(x) if x.size else None for x in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix).view(np.int64))),
-                ], ["row_id", "doc_id", "n_shingles", "set_key", "prefix"])
+                ], ["row_id", "doc_id", "n_shingles", "set_key", "sketch", "prefix"])
 
     rows = docs.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialize(
-        rows.mapInArrow(run, "row_id long, doc_id long, n_shingles long, set_key binary, prefix array<long>"), "join-signatures")
+        rows.mapInArrow(run, "row_id long, doc_id long, n_shingles long, set_key binary, sketch binary, prefix array<long>"),
+        "join-signatures")
+
+
+def _set_texts(docs: DataFrame, sets: DataFrame, more: list[str], row_bytes: Column) -> DataFrame:
+    """``text``, ``set_id``, ``set_key`` and ``more`` of the documents that stand for ``sets``, a written table.
+
+    Another text with the same id is another set, told by its key where the text is read.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d")
+    return rows.join(sent_if_small(sets, row_bytes).alias("t"), F.expr("d.doc_id <=> t.rep")).select("text", "set_id", "set_key", *more)
 
 
-def _blocks(hits: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """``set_id``, ``block`` and size ``class`` of each set that shares a prefix shingle."""
-    own = hits.groupBy("set_id").agg(F.min("leader").alias("group")).join(
-        sets.select("set_id", F.col("n_shingles").alias("n")), "set_id")
-    own = own.withColumn("class", F.floor(F.log("n") / float(np.log(100 / threshold))).cast("int"))
-    cuts = own.groupBy("group", "class").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).select(
-        "group", "class", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).alias("cuts"))
-    return own.join(cuts, ["group", "class"]).select(
-        "set_id", "n", "class", F.xxhash64("group", "class", F.pmod(F.xxhash64("set_id"), F.col("cuts"))).alias("block"))
+def _by_frequency(docs: DataFrame, crowded: DataFrame, k: int, threshold: int) -> DataFrame:
+    """``token`` and ``set_id`` of the first shingles of crowded sets, ordered by how many of these sets have them."""
+    texts = _set_texts(docs, crowded, [], F.lit(60))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in B.slices(batch, "text", 1 << 20):
+                found = shingle_sets(part.column("text"), k)
+                own = [(s, x) for s, key, x in zip(part.column("set_id").to_pylist(), part.column("set_key").to_pylist(), found)
+                       if x.size and set_key(x) == key]
+                if own:
+                    ends = np.cumsum([0] + [x.size for _, x in own])
+                    tokens = pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()), pa.array(np.concatenate([x for _, x in own]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int64()), tokens], ["set_id", "tokens"])
+
+    held = materialize(texts.mapInArrow(run, "set_id long, tokens array<long>"), "join-crowded")
+    each = held.select("set_id", F.explode("tokens").alias("token"))
+    # Rows that repeat a set are counted too, for all sets alike: the order stays one order.
+    often = materialize(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join-frequencies")
+    ranked = each.join(sent_if_small(often, F.lit(40)), "token", "left").groupBy("set_id").agg(
+        F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("order"))
+    n = F.size("order").cast("long")
+    first = F.slice("order", F.lit(1), (n - F.ceil(n * threshold / 100) + 1).cast("int"))
+    # A shingle that one set alone has meets nothing.
+    return ranked.select("set_id", F.explode(first).alias("f")).where("f.df > 1").select("f.token", "set_id")
+
+
+def _led(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with ``sets``, how many share the token, and ``leader``, the smallest of them, where there are two at least."""
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.min("set_id").alias("leader")).where("sets > 1")
+    return tokens.join(shared, "token")
+
+
+def _needed(n: Column, y: Column, threshold: int) -> Column:
+    """What a link between sets of ``n`` and ``y`` asks of the number of first shingles they share.
+
+    Let k be common to the first ones. Of the set whose first ones end earlier in the order, all but its first ones may
+    be common too, less than t times its size, so the overlap is below k + t max(n, y). A link needs t / (1 + t) (n + y).
+    Rounding must not lose a pair that just reaches the bound.
+    """
+    t = threshold / 100
+    return t / (1 + t) * (n + y) - t * F.greatest(n, y) - 1e-6
+
+
+def _representatives(hits: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``set_id`` and ``leader``: of each set's leaders that it may be linked with, the one it shares most with."""
+    met = hits.where("set_id <> leader").groupBy("set_id", "leader", "exact").agg(F.count(F.lit(1)).alias("k"))
+    size = sets.select("set_id", F.col("n_shingles").alias("n"))
+    met = met.join(size, "set_id").join(size.select(F.col("set_id").alias("leader"), F.col("n").alias("y")), "leader")
+    n, y = F.col("n"), F.col("y")
+    return met.where((100 * F.least(n, y) >= threshold * F.greatest(n, y)) & (F.col("k") >= _needed(n, y, threshold))).groupBy(
+        "set_id").agg(F.max(F.struct("k", (-F.col("leader")).alias("l"))).alias("best")).select("set_id", (-F.col("best.l")).alias("leader"))
+
+
+def _groups(stars: DataFrame) -> DataFrame:
+    """``set_id`` and ``group`` of the sets linked with a representative (``a`` with ``b``), and of the representatives.
+
+    A representative comes before its sets, and one that has its own takes its group from there; longer chains stay apart.
+    """
+    above = stars.select(F.col("a").alias("set_id"), F.col("b").alias("up"))
+    top = above.select(F.col("set_id").alias("up"), F.col("up").alias("top"))
+    own = above.join(top, "up", "left").select("set_id", F.coalesce("top", "up").alias("group"))
+    heads = above.select(F.col("up").alias("set_id")).distinct().join(above, "set_id", "left_anti")
+    return own.unionByName(heads.select("set_id", F.col("set_id").alias("group")))
+
+
+def _blocks(hits: DataFrame, sets: DataFrame, crowded: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """``set_id``, ``n``, size ``class``, ``crowded``, ``linked`` group (or null) and ``block`` of each set that shares a first shingle."""
+    own = hits.groupBy("set_id").agg(F.min("leader").alias("leader")).join(
+        sets.select("set_id", F.col("n_shingles").alias("n")), "set_id").join(
+        crowded.select("set_id", F.lit(True).alias("crowded")), "set_id", "left").fillna(False, ["crowded"]).join(
+        groups.select("set_id", F.col("group").alias("linked")), "set_id", "left")
+    own = own.withColumn("class", F.floor(F.log("n") / float(np.log(100 / threshold))).cast("int")).withColumn(
+        "key", F.xxhash64(F.coalesce("linked", "leader"), F.col("linked").isNotNull(), "class", "crowded"))
+    cuts = own.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).select(
+        "key", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).alias("cuts"))
+    return own.join(cuts, "key").select("set_id", "n", "class", "crowded", "linked", F.xxhash64(
+        "key", F.pmod(F.xxhash64("set_id"), F.col("cuts"))).alias("block"))
 
 
 def _opened(hits: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """``set_id`` and ``block`` of the blocks a set has to be compared with, from the token-group matrix.
 
-    Let k shingles be common to the first ones of two sets of n and y. Of the set whose first ones end earlier in
-    the order, all but its first ones may be common too, less than t times its size, so the overlap is
-    below k + t max(n, y). A link needs t / (1 + t) (n + y). What that asks of k is least for the smallest or the
-    largest member of a block.
+    What a link asks of the shared first shingles is least for the smallest or the largest member of a block.
     """
-    at = materialize(hits.join(members, "set_id"), "join-matrix")
-    cells = at.groupBy("token", "block", "class").agg(F.count(F.lit(1)).alias("sets"))
-    met = at.alias("x").join(cells.alias("c"), F.expr(
-        "x.token = c.token and abs(x.class - c.class) <= 1 and (x.block < c.block or x.block = c.block and c.sets > 1)"))
-    counted = met.groupBy("x.set_id", "x.n", "c.block").agg(F.count(F.lit(1)).alias("k"))
+    at = hits.select("exact", "token", "set_id").join(members, "set_id")
+    # A shingle within one linked group tells nothing new.
+    apart = at.groupBy("exact", "token").agg(
+        F.min(F.coalesce("linked", "set_id")).alias("low"), F.max(F.coalesce("linked", "set_id")).alias("high")).where("low < high")
+    at = materialize(at.join(apart.select("exact", "token"), ["exact", "token"]), "join-matrix")
+    union = materialize(at.groupBy("exact", "token", "block", "class", "crowded", "linked").agg(F.count(F.lit(1)).alias("sets")), "join-unions")
+    met = at.alias("x").join(union.alias("c"), F.expr("""
+        x.exact = c.exact and x.token = c.token and abs(x.class - c.class) <= 1
+        and (x.exact or not (x.crowded and c.crowded)) and not coalesce(x.linked = c.linked, false)
+        and (x.block < c.block or x.block = c.block and c.sets > 1)"""))
+    counted = met.groupBy("x.set_id", "x.n", "c.block", "x.exact").agg(F.count(F.lit(1)).alias("k"))
     sizes = members.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     t = threshold / 100
     n, low, high = F.col("n"), F.greatest("low", F.col("n") * t), F.least("high", F.col("n") / t)
-    needs = [t / (1 + t) * (n + y) - t * F.greatest(n, y) for y in (low, high)]
-    # Rounding must not lose a pair that just reaches the bound.
-    return counted.join(sizes, "block").where((low <= high) & (F.col("k") >= F.least(*needs) - 1e-6)).select("set_id", "block")
+    needs = [_needed(n, y, threshold) for y in (low, high)]
+    return counted.join(sizes, "block").where((low <= high + 1e-6) & (F.col("k") >= F.least(*needs))).select("set_id", "block").distinct()
 
 
 def _places(members: DataFrame, opened: DataFrame) -> DataFrame:
@@ -173,7 +286,38 @@ def _places(members: DataFrame, opened: DataFrame) -> DataFrame:
         "set_id", "block", F.pmod(F.xxhash64("set_id"), F.col("shares")).alias("share"), F.lit(True).alias("query"))
     held = members.join(shares, "block").select(
         "set_id", "block", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share"), F.lit(False).alias("query"))
-    return queries.unionByName(held).groupBy("set_id").agg(F.collect_list(F.struct("block", "share", "query")).alias("places"))
+    return queries.unionByName(held)
+
+
+def _near(signed: DataFrame, members: DataFrame, opened: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` and ``opened`` without the sets that no sketch allows a link with: columns ``set_id``, ``block``."""
+    sketches = signed.select(F.col("row_id").alias("set_id"), F.col("n_shingles").alias("n"), "sketch")
+    dealt = _places(members, opened).join(sketches, "set_id").repartition("block", "share")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            made: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("block", "share", "query", "set_id", "n", "sketch"))
+            for block, share, query, s, n, data in zip(*columns):
+                if (block, share) != now:
+                    now, held = (block, share), []
+                x = np.frombuffer(data, np.uint8)
+                if not query:  # members come first
+                    held.append((s, n, x))
+                    continue
+                near = [y for y, m, other in held if y != s and 100 * min(n, m) >= threshold * max(n, m)
+                        and (100 + threshold) * sketch_distance(x, other) <= (100 - threshold) * (n + m)]
+                if near:
+                    made.append((s, block, True))
+                    made += [(y, block, False) for y in near]
+            names, types = ["set_id", "block", "query"], [pa.int64(), pa.int64(), pa.bool_()]
+            made = list(set(made))
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], names)
+
+    kept = materialize(dealt.sortWithinPartitions("block", "share", "query").mapInArrow(
+        run, "set_id long, block long, query boolean").distinct(), "join-near")
+    return kept.where("not query").drop("query"), kept.where("query").drop("query")
 
 
 class Block:
@@ -205,13 +349,30 @@ def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, k: int, threshold
     # The shingles are dealt once, for their counts and for the lookup of those that are shared.
     tokens = signed.join(sets.select(F.col("set_id").alias("row_id")), "row_id", "left_semi").select(
         F.col("row_id").alias("set_id"), F.explode("prefix").alias("token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("set_id").alias("leader")).where("df > 1").drop("df")
-    hits = materialize(tokens.join(shared, "token"), "join-hits")
-    members = materialize(_blocks(hits, sets, threshold), "join-blocks")
-    opened = materialize(_opened(hits.select("token", "set_id"), members, threshold), "join-opened")
-    texts = materialize(_places(members, opened).join(sets.select("set_id", "set_key", "rep"), "set_id"), "join-places")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d").join(
-        sent_if_small(texts, 100 + 40 * F.size("places")).alias("t"), F.expr("d.doc_id <=> t.rep")).select("text", "set_id", "set_key", "places")
+    met = materialize(_led(tokens), "join-hits")
+    crowded = materialize(met.where(F.col("sets") > CROWD).select("set_id").distinct().join(
+        sets.select("set_id", "set_key", "rep"), "set_id"), "join-crowd")
+    ranked = materialize(_by_frequency(docs, crowded, k, threshold), "join-ranked")
+    hits = met.where(F.col("sets") <= CROWD).withColumn("exact", F.lit(False)).unionByName(
+        _led(ranked).withColumn("exact", F.lit(True))).drop("sets")
+    hits = materialize(hits, "join-firsts")
+
+    best = materialize(_representatives(hits, sets, threshold), "join-representatives")
+    heads = best.select(F.col("leader").alias("set_id"), F.col("leader").alias("block")).distinct()
+    asked = best.select("set_id", F.col("leader").alias("block"))
+    stars = materialize(_compared(docs, sets, *_near(signed, heads, asked, threshold), k, threshold), "join-stars")
+
+    members = materialize(_blocks(hits, sets, crowded, _groups(stars), threshold), "join-blocks")
+    opened = materialize(_opened(hits, members, threshold), "join-opened")
+    near = _near(signed, members.select("set_id", "block"), opened, threshold)
+    return stars.unionByName(_compared(docs, sets, *near, k, threshold))
+
+
+def _compared(docs: DataFrame, sets: DataFrame, members: DataFrame, opened: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links ``a``, ``b`` of the sets in ``opened`` with the members of their block, as many as connect what is linked there."""
+    places = _places(members, opened).groupBy("set_id").agg(F.collect_list(F.struct("block", "share", "query")).alias("places"))
+    texts = materialize(places.join(sets.select("set_id", "set_key", "rep"), "set_id"), "join-places")
+    rows = _set_texts(docs, texts, ["places"], 100 + 40 * F.size("places"))
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["block", "share", "query", "set_id", "tokens"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
@@ -220,7 +381,6 @@ def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, k: int, threshold
                 made: list[tuple] = []
                 found = shingle_sets(part.column("text"), k)
                 for x, s, key, own in zip(found, *(part.column(c).to_pylist() for c in ("set_id", "set_key", "places"))):
-                    # Another text with the same id is another set.
                     if x.size and set_key(x) == key:
                         made += [(p["block"], p["share"], p["query"], s, x.tobytes()) for p in own]
                 for i in range(0, len(made), 256):

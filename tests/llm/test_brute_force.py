@@ -3,6 +3,7 @@ repeated rows, clashing extra columns, and tables without rows."""
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -358,6 +359,64 @@ def test_jaccard_of_chains_in_small_blocks(spark, monkeypatch):
     assert got == {i: 0 for i in range(40)} | {100: 100}
 
 
+def linked_by_brute_force(texts, k, percent):
+    """Smallest id of each component, all pairs compared."""
+    sets = {}
+    for i, t in texts:
+        w = t.split(" ")
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            u, v = sorted((top(a), top(b)))
+            root[v] = u
+    return {i: top(i) for i in sets}
+
+
+def edited(base, edits, seed):
+    """``base`` with ``edits`` words replaced by new ones, in places of their own."""
+    rng, out = random.Random(seed), base.split(" ")
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"e{seed}x{i}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 1000])
+def test_jaccard_of_crowds(spark, monkeypatch, crowd):
+    # Copies with few and with many edits of their own, and bystanders that share a passage with them.
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    base, texts = prose(31, 150), []
+    for edits in (0, 1, 2, 3, 4, 5, 6, 9):
+        texts += [edited(base, edits, 100 * edits + j) for j in range(5)]
+    half = " ".join(base.split(" ")[:75])
+    texts += [half + " " + prose(400 + j, 75) for j in range(6)]
+    texts = list(enumerate(texts))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row_id", F.col("doc_id"))
+    want = linked_by_brute_force(texts, 4, 85)
+    assert 1 < len(set(want.values())) < len(texts)
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == want
+
+
+@pytest.mark.parametrize("edits", [1, 12])
+def test_large_groups_open_no_blocks(spark, monkeypatch, edits):
+    # Copies linked with a representative, and copies too far apart: neither are compared pair by pair.
+    opened, whole = [], jaccard_join._opened
+    monkeypatch.setattr(jaccard_join, "_opened", lambda *a: (opened.append(whole(*a)), opened[-1])[1])
+    base = prose(77, 200)
+    texts = [(j, edited(base, edits, j)) for j in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row_id", F.col("doc_id"))
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()}
+    assert got == {j: 0 if edits == 1 else j for j in range(150)}
+    assert opened[0].count() <= 5
+
+
 def test_pipeline_stage_merges_from_eighty_percent_of_five_words(spark):
     import corpus_pipeline
 

@@ -275,3 +275,18 @@ def test_search_with_no_documents_and_no_queries(spark, tmp_path):
     assert L.search(spark, str(tmp_path / "none"), some).count() == 0
     L.write_index(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path / "one"))
     assert L.search(spark, str(tmp_path / "one"), some.limit(0)).count() == 0
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
+    import numpy as np
+
+    from granary.llm import jaccard_join
+
+    rng = np.random.default_rng(5)
+    for n, gone, new in ((1, 0, 0), (1, 0, 40), (50, 3, 2), (400, 10, 900), (5000, 800, 0), (5000, 60, 60)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+        a, b = (np.frombuffer(jaccard_join.parity_sketch(v), np.uint8) for v in (x, y))
+        bits = jaccard_join.sketch_distance(a, b)
+        assert bits == jaccard_join.sketch_distance(b, a) <= np.setxor1d(x, y).size
+        assert (bits == 0) == (gone + new == 0)
