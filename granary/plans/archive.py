@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.operators import archive as ops
 from granary.operators import retention
@@ -48,6 +49,11 @@ def run_paths(out: str, run_id: int) -> ArchiveRun:
     return ArchiveRun(*[f"{out.rstrip('/')}/{name}/run_id={run_id}" for name in names])
 
 
+def read_archived(spark: SparkSession, run: ArchiveRun, schema: T.StructType) -> DataFrame:
+    """Exported rows of a source with ``schema``, with their ``archive_date``; none if no date was due or all had been archived."""
+    return spark.read.schema(T.StructType([*schema, T.StructField("archive_date", T.DateType())])).parquet(run.data)
+
+
 class Journal:
     """Dates that a phase of a run has finished, in entries that appear whole or not at all."""
 

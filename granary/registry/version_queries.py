@@ -65,8 +65,10 @@ def archive_resume(spark, sf):
 def archive_resume_rows(spark, sf):
     """Where the documents are after the same run: moved once, or left."""
     base, run = _resumed(spark, sf)
-    moved = spark.read.parquet(run.data).select("doc_id", "n_chars", F.col("archive_date").alias("as_of_date"), F.lit("moved").alias("place"))
-    left = spark.read.parquet(f"{base}/source").select("doc_id", "n_chars", "as_of_date", F.lit("left").alias("place"))
+    source = spark.read.parquet(f"{base}/source")
+    moved = archive_plan.read_archived(spark, run, source.schema).select(
+        "doc_id", "n_chars", F.col("archive_date").alias("as_of_date"), F.lit("moved").alias("place"))
+    left = source.select("doc_id", "n_chars", "as_of_date", F.lit("left").alias("place"))
     return moved.unionByName(left)
 
 

@@ -14,6 +14,7 @@ from granary.operators.retention import CONFIG
 from granary.plans import archive as plan
 from granary.plans.ingest import import_snapshot, ingest_feed, staged_rejects, staged_rows
 from granary.registry import fixtures as fx
+from granary.registry import version_queries
 from granary.sinks import positions
 from granary.sinks.file_table import FileTable
 from granary.sinks.snapshots import CommitConflict, Snapshots
@@ -21,6 +22,7 @@ from granary.streaming.discovery import refresh_files, stream_upsert
 
 D = dt.date
 TS = dt.datetime(2024, 1, 5, 6, 7, 8)
+SF = "/root/testdata/sf0.001"
 
 
 class Killed(BaseException):
@@ -339,6 +341,14 @@ def test_a_run_goes_on_where_it_was_broken_off(spark, root, monkeypatch, unbroke
     assert not [f for f in glob.glob(f"{root}/b/**/_staged*", recursive=True)]
 
 
+def test_a_run_without_due_dates_moves_nothing(spark, monkeypatch):
+    """A file table or an exemption that covers every date leaves no part to read back."""
+    held = schemas.local_table(spark, [(1, 10, None, "Table", "hold")], schemas.EXEMPTION)
+    monkeypatch.setattr(fx, "exemptions", lambda _: held)
+    found = as_rows(version_queries.archive_resume_rows(spark, SF).select("doc_id", "place"), "doc_id")
+    assert found == [(i, "left") for (i,) in as_rows(fx.table(spark, SF, "documents").select("doc_id"), "doc_id")]
+
+
 def test_a_failed_run_takes_up_its_dates_again(spark, root, monkeypatch, unbroken):
     orders(spark, root, "b", False)
     real, bad = plan.write_parts, D(2023, 1, 20)
