@@ -197,16 +197,18 @@ def _as_run_details(rows: DataFrame, run_id: int) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RUN_DETAIL])
 
 
-def upsert_files(existing: DataFrame, incoming: DataFrame, updated: str) -> DataFrame:
+def upsert_files(existing: DataFrame, incoming: DataFrame, updated: str, kept: tuple[str, ...] = ()) -> DataFrame:
     """Newest row per (configuration, date, path); rows merge on the map side, so many
     versions of one file do not pile up in a task. Both inputs share their columns and
-    ``updated`` orders the versions; among equal ones an incoming row wins."""
+    ``updated`` orders the versions; among equal ones an incoming row wins. Columns in ``kept``
+    are those of the existing row whichever wins, and null for a file that has none."""
     key = [CONFIG, "as_of_date", "blob_path"]
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    rest = [c for c in existing.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), F.struct(updated, "_new", *[c for c in rest if c != updated]))
-    merged = both.groupBy(*key).agg(newest.alias("_row"))
-    return merged.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in existing.columns])
+    rest = [c for c in existing.columns if c not in key and c not in kept]
+    newest = F.max(F.struct(updated, "_new", *[c for c in rest if c != updated]))
+    old = [F.max(F.when(F.col("_new") == 0, F.col(c))).alias(c) for c in kept]
+    merged = both.groupBy(*key).agg(newest.alias("_row"), *old)
+    return merged.select(*[F.col(c) if c in key or c in kept else F.col(f"_row.{c}").alias(c) for c in existing.columns])
 
 
 def survivors(df: DataFrame, column: str, day: dt.date) -> DataFrame:

@@ -224,6 +224,26 @@ def test_merging_again_changes_nothing(spark, root):
     assert listed(table) == first
 
 
+def test_no_task_numbers_all_files_without_a_date(spark, root):
+    """Files of one date, or of none, are dealt over tasks; their numbers still follow date, configuration and path."""
+    off = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(off, "false")
+    try:
+        table = FileTable(spark, f"{root}/t")
+        rows = file_rows(spark, *[(10, D(2020, 1, 1) if i % 8 == 0 else None, f"/f{i:04}", i, TS) for i in range(800)])
+        table.merge(rows.where("file_size_bytes % 2 = 0"))
+        table.merge(rows)
+    finally:
+        spark.conf.set(off, "true")
+    by_place = ["as_of_date", CONFIG, "blob_path"]
+    known, fresh = ([p for _, p in as_rows(table.read().where(f"file_size_bytes % 2 = {odd}").orderBy("id").select("id", "blob_path"))] for odd in (0, 1))
+    assert known == [p for (p,) in as_rows(rows.where("file_size_bytes % 2 = 0").orderBy(*by_place).select("blob_path"))]
+    assert fresh == [p for (p,) in as_rows(rows.where("file_size_bytes % 2 = 1").orderBy(*by_place).select("blob_path"))]
+    assert numbers(table.read().select("id")) == list(range(1, 801)) and table.store.version().values["last_id"] == 800
+    steps = [spark.read.parquet(f).count() for f in data_files(f"{root}/t/steps")]
+    assert max(steps) < 400 // 2
+
+
 def test_a_merge_that_breaks_changes_nothing(spark, root, monkeypatch):
     table = FileTable(spark, f"{root}/t")
     table.merge(file_rows(spark, (10, D(2020, 1, 1), "/a", 1, TS)))
