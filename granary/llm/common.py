@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.session import shared_dir
+from granary.sinks.publish import remove
 
 #: Words: runs without space and 0x09-0x0D. Fixed value; Java, RE2 and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,10 +24,50 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and what later
     steps read is the same rows however often a task runs."""
     path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    for made in _open:
+        made.append(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Lists of the folders written within each open :func:`scratch`.
+_open: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """A write within removes its shuffle files when it ends, not when the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the folders that :func:`materialize` writes within, for :func:`drop` once their last reader has been written."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [m for m in _open if m is not made]
+
+
+def drop(spark: SparkSession, *made: str | DataFrame) -> None:
+    """Remove folders of materialized tables, given by path or as the table; nothing may read them any more."""
+    for one in made:
+        for folder in [one] if isinstance(one, str) else {unquote(f.rpartition("/")[0]) for f in one.inputFiles()}:
+            remove(spark, folder)
+
+
 #: Largest side of a join that is sent to all executors.
 BROADCAST_BYTES = 32 << 20
 

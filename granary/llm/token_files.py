@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.common import shuffles_dropped
+
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 ROW_GROUP_BYTES = 8 << 20
@@ -157,11 +159,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     """
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("k")).repartitionByRange(
         "doc_id", "k").sortWithinPartitions("doc_id", "k")
-    encode(ordered, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**{
-        "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": ROW_GROUP_BYTES,
-        "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true",
-        "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false",
-    }).parquet(path)
+    rows = encode(ordered, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    with shuffles_dropped(docs.sparkSession):
+        rows.write.options(**{
+            "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": ROW_GROUP_BYTES,
+            "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true",
+            "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false",
+        }).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: tuple[int, int] | None = None) -> DataFrame:

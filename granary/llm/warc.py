@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.common import shuffles_dropped
+
 MIN_REVISIT_BYTES = 1000
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -121,10 +123,10 @@ def write_warc(planned: DataFrame, path: str, segment: int = SEGMENT_BYTES, chun
                     made = []
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
-    planned.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(
-        run, "record binary"
-    ).select(F.col("record").cast("string")).write.options(
-        lineSep=END.decode(), compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
+    made = planned.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(run, "record binary")
+    with shuffles_dropped(planned.sparkSession):
+        made.select(F.col("record").cast("string")).write.options(
+            lineSep=END.decode(), compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
