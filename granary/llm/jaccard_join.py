@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import bytes_np as B
-from granary.llm.common import materialize, sent_if_small
+from granary.llm.common import drop, materialize, scratch, sent_if_small
 from granary.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -346,24 +346,33 @@ class Block:
 
 def links(docs: DataFrame, signed: DataFrame, sets: DataFrame, k: int, threshold: int) -> DataFrame:
     """Links ``a``, ``b`` between set ids that span every component of similar sets."""
+    spark = docs.sparkSession
     # The shingles are dealt once, for their counts and for the lookup of those that are shared.
     tokens = signed.join(sets.select(F.col("set_id").alias("row_id")), "row_id", "left_semi").select(
         F.col("row_id").alias("set_id"), F.explode("prefix").alias("token")).repartition("token")
     met = materialize(_led(tokens), "join-hits")
     crowded = materialize(met.where(F.col("sets") > CROWD).select("set_id").distinct().join(
         sets.select("set_id", "set_key", "rep"), "set_id"), "join-crowd")
-    ranked = materialize(_by_frequency(docs, crowded, k, threshold), "join-ranked")
+    with scratch() as made:
+        ranked = materialize(_by_frequency(docs, crowded, k, threshold), "join-ranked")
     hits = met.where(F.col("sets") <= CROWD).withColumn("exact", F.lit(False)).unionByName(
         _led(ranked).withColumn("exact", F.lit(True))).drop("sets")
     hits = materialize(hits, "join-firsts")
+    drop(spark, met, *made)
 
-    best = materialize(_representatives(hits, sets, threshold), "join-representatives")
-    heads = best.select(F.col("leader").alias("set_id"), F.col("leader").alias("block")).distinct()
-    asked = best.select("set_id", F.col("leader").alias("block"))
-    stars = materialize(_compared(docs, sets, *_near(signed, heads, asked, threshold), k, threshold), "join-stars")
+    with scratch() as made:
+        best = materialize(_representatives(hits, sets, threshold), "join-representatives")
+        heads = best.select(F.col("leader").alias("set_id"), F.col("leader").alias("block")).distinct()
+        asked = best.select("set_id", F.col("leader").alias("block"))
+        found = _compared(docs, sets, *_near(signed, heads, asked, threshold), k, threshold)
+    stars = materialize(found, "join-stars")
+    drop(spark, *made)
 
     members = materialize(_blocks(hits, sets, crowded, _groups(stars), threshold), "join-blocks")
-    opened = materialize(_opened(hits, members, threshold), "join-opened")
+    with scratch() as made:
+        found = _opened(hits, members, threshold)
+    opened = materialize(found, "join-opened")
+    drop(spark, hits, crowded, *made)
     near = _near(signed, members.select("set_id", "block"), opened, threshold)
     return stars.unionByName(_compared(docs, sets, *near, k, threshold))
 
@@ -428,7 +437,9 @@ def join(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) ->
         F.min("row_id").alias("set_id"), F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_id"))).alias("low"),
     ), "join-sets")
-    roots = components(links(docs, signed, sets, k, threshold))
+    with scratch() as made:
+        roots = components(links(docs, signed, sets, k, threshold))
+    drop(docs.sparkSession, *made[:-1])  # the components read the table written last
     placed = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("low"), F.min("set_id").alias("row")).select(
         "root", F.col("low.doc_id").alias("component_id"), F.coalesce("low.row_id", "row").alias("first_row"))
@@ -441,6 +452,8 @@ def join(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) ->
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest doc_id, and their own columns."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "join-rows")
-    found = join(rows.select("row_id", "row.doc_id", "row.text"), k, threshold)
+    with scratch() as made:
+        found = join(rows.select("row_id", "row.doc_id", "row.text"), k, threshold)
     others = materialize(found.where("row_id <> first_row").select("row_id"), "join-others")
+    drop(docs.sparkSession, *made)
     return rows.join(sent_if_small(others, F.lit(32)), "row_id", "left_anti").select("row.*")
