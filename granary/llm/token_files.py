@@ -20,14 +20,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm import bytes_np as B
 from granary.llm.common import shuffles_dropped
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 256 << 10
-#: Distinct pieces of text in each of a worker's two generations.
-CACHE_PIECES = 250_000
+#: Distinct pieces of text in each of a worker's two generations, and distinct words, of 16 bytes on average at most, before
+#: they are gathered anew.
+CACHE_PIECES, CACHE_WORDS = 250_000, 2_000_000
+#: Bytes of a word beyond which it is not remembered.
+LONG_WORD = 256
 SCHEMA = "doc_id long, ids array<int>"
 
 
@@ -58,11 +62,32 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+#: As _WIDE on bytes, but for white space beyond ASCII only by the first byte of its character.
+_BLANK, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_SPACE = np.arange(256) == 0x20
+
+#: The vocabulary's own splitting of texts of Latin letters, ASCII digits and marks, and line feeds; other words are not cut.
+_LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u027f", r"!-/:-@\[-`{-~"
+#: Bytes of no such text; two of its characters' bytes are left, C3 97 and C3 B7, which are no letters.
+_UNCUT = np.ones(256, bool)
+_UNCUT[[0x0A, *range(0x21, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = False
+_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+|\n+(?![^\n ])|\n+")
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of ``pool`` one after another."""
+    end = np.cumsum(size)
+    return pool[np.repeat(start - (end - size), size) + np.arange(end[-1] if end.size else 0)]
+
+
 class Encoder:
-    """Encodes with the tokenizer, each distinct piece once while it is remembered.
+    """Encodes with the tokenizer, each distinct word and piece once while it is remembered.
 
-    Most pieces are a word after a space. They are kept in two generations of bounded size: those
-    met again move to the new one, and when that is full the old one is dropped.
+    Words after a space are found in a table by hash, and their bytes are compared; ids are gathered for many texts at once.
+    New words are cut where the vocabulary's own splitting cuts them, and only pieces that are new are encoded. These
+    are kept in two generations of bounded size: those met again move to the new one, and when that is full the old one is dropped.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,57 +97,159 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # A token's characters stand for one byte each.
         self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table: ascending hashes and the place of each one's word; letters and ids of words by place."""
+        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.letters, self.letters_at = np.zeros(0, np.uint8), np.zeros(1, np.int32)
+        self.ids, self.ids_at = np.zeros(0, "<i4"), np.zeros(1, np.int32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words after a space, encoded many in one text: where each ends follows from the tokens' lengths."""
-        joint = [w for w in words if not w[-1].isspace()]
-        blocks = [joint[i : i + 50] for i in range(0, len(joint), 50)]
-        texts = [" " + " ".join(own) for own in blocks]
-        for own, text, ids in zip(blocks, texts, self._encode(texts)):
-            sizes = [1 + n for n in map(len, own)] if text.isascii() else [1 + len(w.encode()) for w in own]
-            cut = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes)) + 1
-            data, ends = ids.tobytes(), (4 * cut).tolist()
-            self.young.update(zip(own, [data[i:j] for i, j in zip([0, *ends], ends)]))
-        for w in words:
-            if w[-1].isspace():
-                self.young[w] = self._encode([" " + w])[0].tobytes()
+    def _joint(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words after a mark that they do not hold, and where each one's end: many are encoded in one text, and the tokens' lengths tell."""
+        if not words:
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        texts = [mark + mark.join(words[i : i + 50]) for i in range(0, len(words), 50)]
+        ids = np.concatenate(self._encode(texts))
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == ord(mark))[1:], data.size)
+        return ids, np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
+
+    def _meet(self, found: set[str]) -> None:
+        """Put pieces into the young generation."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        todo = [p for p in found if p not in self.young]
+        self.young.update((p, self.old[p]) for p in todo if p in self.old)
+        todo = [p for p in todo if p not in self.old]
+        after = [p for p in todo if p[0] == " "]
+        inside = [p for p in todo if p[0] != " " and p[0] != "\n"]
+        # A line feed before another character is a token of its own, left out here.
+        for own, words, mark, skip in ((after, [p[1:] for p in after], " ", 0), (inside, inside, "\n", 4)):
+            ids, ends = self._joint(words, mark)
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            self.young.update(zip(own, [data[i + skip : j] for i, j in zip([0, *ends], ends)]))
+        lines = [p for p in todo if p[0] == "\n"]
+        self.young.update(zip(lines, [x.tobytes() for x in self._encode(lines)]))
+
+    def _learn(self, buf: np.ndarray, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of words that stand after a space, and in that order their ids and how many each has."""
+        strange = _UNCUT[buf]
+        strange[:-1] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))
+        for content in self.added:
+            i = data.find(content)
+            while i >= 0:
+                strange[i] = True
+                i = data.find(content, i + 1)
+        uncut = np.add.reduceat(gathered(strange, start, size), np.cumsum(size) - size, dtype=np.int64) > 0
+        uncut |= (buf[start] == 0x0A) | (buf[start + size - 1] == 0x0A)
+        cut, whole = np.flatnonzero(~uncut), np.flatnonzero(uncut)
+        # Each word with the byte before it, a space.
+        found = _PIECE.findall(gathered(buf, start[cut] - 1, size[cut] + 1).tobytes().decode())
+        self._meet(set(found))
+        found_ids = list(map(self.young.__getitem__, found))
+        sizes = np.fromiter(map(len, found_ids), np.int64, len(found)) // 4
+        if found:
+            sizes = np.add.reduceat(sizes, np.flatnonzero([p[0] == " " for p in found]))
+        words = [data[i : i + n].decode() for i, n in zip(start[whole].tolist(), size[whole].tolist())]
+        last = np.array([w[-1].isspace() for w in words], bool)
+        ids, ends = self._joint([w for w in words if not w[-1].isspace()], " ")
+        more = [self._encode([" " + w])[0] for w in words if w[-1].isspace()]
+        return (np.concatenate([cut, whole[~last], whole[last]]),
+                np.concatenate([np.frombuffer(b"".join(found_ids), "<i4"), ids, *more]),
+                np.concatenate([sizes, np.diff(ends, prepend=0), np.array([x.size for x in more], np.int64)]))
 
     def _rest(self, piece: str) -> bytes:
         if piece not in self.other:
             self.other[piece] = self._encode([piece])[0].tobytes()
         return self.other[piece]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+    def _wide(self, buf: np.ndarray, at: np.ndarray, data: bytes) -> dict[int, str]:
+        """The texts that have white space next to a space, by row."""
+        space = np.flatnonzero(buf == 0x20)
+        near = np.concatenate([np.zeros(3, np.uint8), buf, np.zeros(1, np.uint8)])
+        edge = np.zeros(buf.size + 1, bool)
+        edge[at] = True
+        after = near[space + 4]
+        maybe = space[edge[space] | edge[space + 1] | _BLANK[after] | _LEAD[after] | _BLANK[near[space + 2]]
+                      | _LEAD[near[space + 1]] | _LEAD[near[space]]]
+        rows = np.unique(np.searchsorted(at, maybe, "right") - 1).tolist()
+        texts = {r: data[at[r] : at[r + 1]].decode() for r in rows}
+        return {r: t for r, t in texts.items() if _WIDE.search(t)}
+
+    def _places(self, buf: np.ndarray, data: bytes, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, which stands after a space; -1 for those that are not in the table."""
+        if self.hash.size > CACHE_WORDS or self.letters.size > 16 * CACHE_WORDS:
+            self._forget()
+        met, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        lo, hi = np.searchsorted(self.hash, met, "left"), np.searchsorted(self.hash, met, "right")
+        new = np.flatnonzero((lo == hi) & (size[first] <= LONG_WORD))
+        if new.size:
+            own = first[new]
+            order, ids, sizes = self._learn(buf, data, start[own], size[own])
+            place = np.empty(new.size, np.int32)
+            place[order] = self.place.size + np.arange(new.size)
+            self.hash, self.place = np.insert(self.hash, lo[new], met[new]), np.insert(self.place, lo[new], place)
+            own = own[order]
+            self.letters = np.concatenate([self.letters, gathered(buf, start[own], size[own])])
+            self.letters_at = np.concatenate([self.letters_at, self.letters_at[-1] + np.cumsum(size[own], dtype=np.int32)])
+            self.ids, self.ids_at = np.concatenate([self.ids, ids]), np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(sizes, dtype=np.int32)])
+            lo, hi = np.searchsorted(self.hash, met, "left"), np.searchsorted(self.hash, met, "right")
+        at = np.full(met.size, -1)
+        at[lo < hi] = self.place[lo[lo < hi]]
+        at = at[which]
+        # Words of one hash need not be one word.
+        at[(at >= 0) & (self.letters_at[at + 1] - self.letters_at[at] != size)] = -1
+        held = np.flatnonzero(at >= 0)
+        n = size[held]
+        unlike = np.flatnonzero(gathered(self.letters, self.letters_at[at[held]], n) != gathered(buf, start[held], n))
+        at[held[np.searchsorted(np.cumsum(n), unlike, "right")]] = -1
+        return at
+
+    def column(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, the end id last; null text has only that."""
         if len(self.other) > CACHE_PIECES:
             self.other = {}
-        whole = [pieces(t) if _WIDE.search(t) else None for t in texts]
-        words = [t.split(" ") if own is None else [] for t, own in zip(texts, whole)]
-        ids = [list(map(self.young.get, own[1:])) for own in words]
-        todo = []
-        for w in {w for own, found in zip(words, ids) if None in found for w, x in zip(own[1:], found) if x is None}:
-            if w in self.old:
-                self.young[w] = self.old[w]
-            else:
-                todo.append(w)
-        self._learn(todo)
-        out = []
-        for own, first, found in zip(whole, words, ids):
-            if own is not None:
-                out.append(b"".join(map(self._rest, own)))
-                continue
-            if None in found:
-                found = [x or self.young[w] for w, x in zip(first[1:], found)]
-            out.append((self._rest(first[0]) if first[0] else b"") + b"".join(found))
-        return out
+        buf, at = B.text_bytes(texts)
+        data, n = buf.tobytes(), len(texts)
+        wide = self._wide(buf, at, data)
+        w = B.words(buf, at, separator=_SPACE)
+        after = np.flatnonzero(w.start != at[w.row])
+        if wide:
+            after = after[~np.isin(w.row[after], list(wide))]
+        start, size, row = w.start[after], w.end[after] - w.start[after], w.row[after]
+        place = self._places(buf, data, start, size, w.hash[after])
+
+        # Units in order: what each text begins with, its words after a space, its end.
+        first = np.searchsorted(row, np.arange(n + 1)) + 2 * np.arange(n + 1)
+        unit, size_of = np.zeros(first[-1], np.int64), np.ones(first[-1], np.int64)
+        words = np.arange(row.size) + 2 * row + 1
+        unit[words], size_of[words] = 1 + self.ids_at[place], self.ids_at[place + 1] - self.ids_at[place]
+        odd, more = first[:-1].tolist(), []
+        for r, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist())):
+            own = pieces(wide[r]) if r in wide else [data[i : w.end[w.first[r]]].decode()] if i < j else []
+            more.append(b"".join(map(self._rest, own)))
+        for x in np.flatnonzero(place < 0).tolist():
+            odd.append(words[x])
+            more.append(self._encode([" " + data[start[x] : start[x] + size[x]].decode()])[0].tobytes())
+        sizes = np.array([len(x) // 4 for x in more], np.int64)
+        unit[odd], size_of[odd] = 1 + self.ids.size + np.cumsum(sizes) - sizes, sizes
+        pool = np.concatenate([np.array([END_ID], "<i4"), self.ids, np.frombuffer(b"".join(more), "<i4")])
+        ends = np.concatenate([[0], np.cumsum(size_of)])[first]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gathered(pool, unit, size_of)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        rows = self.column(pa.array(texts, pa.large_string()))
+        at, ids = rows.offsets.to_numpy(), rows.values.to_numpy()
+        return [ids[i : j - 1].tobytes() for i, j in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -136,16 +263,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from granary.llm.bytes_np import slices
-
-        made, end = encoder(path), np.array([END_ID], "<i4").tobytes()
+        made = encoder(path)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                ids = [x + end for x in made([t or "" for t in part.column("text").to_pylist()])]
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"])
+            for part in B.slices(batch, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), made.column(part.column("text"))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
