@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
-from granary.llm.common import materialize, table
+from granary.llm.common import drop, materialize, scratch, table
 from granary.session import shared_dir
 
 #: Near-duplicates of a corpus share 80 percent of their five-word shingles; op 7's query has its own measure.
@@ -59,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(spark, *read, *made[:-1])
+        read = made[-1:]
+    written = STAGES[-1][1](spark, docs, sf_dir)
+    drop(spark, *read)
+    return written

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import bytes_np as B
-from granary.llm.common import drop, materialize, scratch, sent_if_small
+from granary.llm.common import by_place, counted_rows, drop, listed, materialize, scratch, sent_if_small
 from granary.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -451,9 +451,9 @@ def join(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) ->
 
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest doc_id, and their own columns."""
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "join-rows")
+    rows = by_place(docs, "join-rows")
     with scratch() as made:
         found = join(rows.select("row_id", "row.doc_id", "row.text"), k, threshold)
-    others = materialize(found.where("row_id <> first_row").select("row_id"), "join-others")
+    kept = materialize(listed(found.select("row_id", F.expr("int(row_id = first_row)").alias("n"))), "join-others")
     drop(docs.sparkSession, *made)
-    return rows.join(sent_if_small(others, F.lit(32)), "row_id", "left_anti").select("row.*")
+    return counted_rows(rows, kept).select("row.*")

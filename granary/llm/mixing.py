@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import WORD, materialize
+from granary.llm.common import WORD, by_place, counted_rows, drop, listed, materialize, scratch
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -57,14 +57,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _rows(docs: DataFrame, whole: bool) -> DataFrame:
-    """The documents numbered and measured, written once so that numbers stay as they are."""
+def _measured(rows: DataFrame, *more: str) -> DataFrame:
+    """The documents of ``row_id``, ``doc_id``, ``text``, ``source`` measured, written once."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.struct("doc_id")
-    return materialize(docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("source"), size.alias("size"), key.alias("key"),
-        row.alias("row")), "mix-rows")
+    return materialize(rows.select("row_id", "source", size.alias("size"), key.alias("key"), *more), "mix-rows")
 
 
 def _copies(rows: DataFrame, seed: str) -> DataFrame:
@@ -106,13 +103,16 @@ def copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Other columns are not read. Ranks come from counts per (source, size, slice), so a source
     or a size that holds most documents is spread over many window groups.
     """
-    rows = _rows(docs, False)
-    return _copies(rows, seed).join(rows.select("row_id", "row.doc_id"), "row_id").select(
+    rows = _measured(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "source"), "doc_id")
+    return _copies(rows, seed).join(rows.select("row_id", "doc_id"), "row_id").select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixture itself: rows of ``docs`` with their own columns, each as often as it is taken."""
-    rows = _rows(docs, True)
-    taken = _copies(rows, seed).where("copies > 0").select("row_id", "copies")
-    return rows.join(taken, "row_id").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
+    rows = by_place(docs, "mix-docs")
+    with scratch() as made:
+        measured = _measured(rows.select("row_id", "row.doc_id", "row.text", "row.source"))
+    taken = materialize(listed(_copies(measured, seed).select("row_id", F.col("copies").alias("n"))), "mix-copies")
+    drop(docs.sparkSession, *made)
+    return counted_rows(rows, taken).withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).select("row.*")
