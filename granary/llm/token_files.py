@@ -29,7 +29,7 @@ ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 256 << 10
 #: Distinct pieces of text in each of a worker's two generations, and distinct words, of 16 bytes on average at most, before
 #: they are gathered anew.
-CACHE_PIECES, CACHE_WORDS = 250_000, 2_000_000
+CACHE_PIECES, CACHE_WORDS = 125_000, 1_000_000
 #: Bytes of a word beyond which it is not remembered.
 LONG_WORD = 256
 SCHEMA = "doc_id long, ids array<int>"
