@@ -265,8 +265,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path)
         for batch in batches:
-            for part in B.slices(batch, "text", 1 << 20):
+            for part in B.slices(batch, "text", 1 << 19):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), made.column(part.column("text"))], ["doc_id", "ids"])
+        made._forget()  # a worker keeps its pieces; other stages use it too
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
