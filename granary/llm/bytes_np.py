@@ -81,7 +81,7 @@ class Words:
 def words(buf: np.ndarray, at: np.ndarray, lower: bool = False, separator: np.ndarray = SPACE) -> Words:
     n = buf.size
     rows = at.size - 1
-    word = ~separator[buf]
+    word = ~separator.take(buf)
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before, after = np.ones(n, bool), np.ones(n, bool)
@@ -97,7 +97,7 @@ def words(buf: np.ndarray, at: np.ndarray, lower: bool = False, separator: np.nd
             j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
             lo, hi = int(start[i]), int(end[j - 1])
             sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(table[buf[lo:hi]] * _power("up", _BASE, hi - lo), out=sums[1:])
+            np.cumsum(table.take(buf[lo:hi]) * _power("up", _BASE, hi - lo), out=sums[1:])
             s, e = start[i:j] - lo, end[i:j] - lo
             out[i:j] = (sums[e] - sums[s]) * _power("down", _INVERSE, hi - lo)[s]
             i = j

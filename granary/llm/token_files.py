@@ -27,11 +27,13 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 256 << 10
-#: Distinct pieces of text in each of a worker's two generations, and distinct words, of 16 bytes on average at most, before
-#: they are gathered anew.
-CACHE_PIECES, CACHE_WORDS = 125_000, 1_000_000
+#: Distinct pieces of text and distinct words, of 16 bytes on average at most, in a worker's tables; beyond them words are gathered
+#: anew, and only pieces that were met again are kept.
+CACHE_PIECES, CACHE_WORDS = 500_000, 1_000_000
 #: Bytes of a word beyond which it is not remembered.
 LONG_WORD = 256
+#: Strings that are encoded in one text.
+JOINT = 500
 SCHEMA = "doc_id long, ids array<int>"
 
 
@@ -68,26 +70,143 @@ _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _SPACE = np.arange(256) == 0x20
 
-#: The vocabulary's own splitting of texts of Latin letters, ASCII digits and marks, and line feeds; other words are not cut.
-_LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u027f", r"!-/:-@\[-`{-~"
-#: Bytes of no such text; two of its characters' bytes are left, C3 97 and C3 B7, which are no letters.
+#: Bytes that stand in no text of Latin letters, ASCII digits and marks, and line feeds; two of its characters' bytes are left, C3 97
+#: and C3 B7, which are no letters. The vocabulary's own splitting of such texts is known, other words are not cut.
 _UNCUT = np.ones(256, bool)
 _UNCUT[[0x0A, *range(0x21, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = False
-_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LATIN}]+| ?[0-9]+| ?[{_MARKS}]+|\n+(?![^\n ])|\n+")
+#: Their kinds of bytes.
+_MARK, _LETTER, _DIGIT, _LINE = range(1, 5)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_KIND[[*range(0x30, 0x3A)]], _KIND[0x0A], _KIND[0x20] = _DIGIT, _LINE, 0
+#: What follows an apostrophe in a piece of its own: one letter or two.
+_SHORT, _LONG = np.isin(np.arange(256), list(b"stmd")), [b"re", b"ve", b"ll"]
+#: By size up to 8, the bits of so many bytes.
+_BITS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The spans of ``pool`` one after another."""
     end = np.cumsum(size)
-    return pool[np.repeat(start - (end - size), size) + np.arange(end[-1] if end.size else 0)]
+    at = np.repeat(start - (end - size), size)
+    at += np.arange(at.size)
+    return pool.take(at)
+
+
+def cuts(text: np.ndarray) -> np.ndarray:
+    """Where the vocabulary's own splitting starts a piece, in words that may be cut, each with the space before it.
+
+    Pieces are runs of one kind of bytes, the first one of a word with its space. An apostrophe after another kind takes the ending
+    of a contraction along, and of line feeds the last is a piece of its own.
+    """
+    kind = _KIND[text]
+    first = np.ones(text.size + 3, bool)
+    first[1:text.size] = (kind[1:] != kind[:-1]) & (kind[:-1] > 0)
+    line = kind == _LINE
+    first[: text.size - 1] |= line[:-1] & ~line[1:]
+    mark = np.flatnonzero((text == 0x27) & first[: text.size])
+    near = np.append(text, np.zeros(2, np.uint8))
+    after, beyond = near[mark + 1], near[mark + 2]
+    long = np.zeros(mark.size, bool)
+    for x, y in _LONG:
+        long |= (after == x) & (beyond == y)
+    for of, n in ((mark[_SHORT[after]], 2), (mark[long], 3)):
+        first[of + 1], first[of + n] = False, True
+    return np.flatnonzero(first[: text.size])
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data``, which ends with eight bytes more, as one number."""
+    return np.ndarray(data.size - 7, "<u8", data, 0, (1,))
+
+
+def put(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` behind its first ``n`` values, and room for others."""
+    if n + more.size > held.size:
+        held = np.concatenate([held[:n], np.zeros(more.size + (n + more.size) // 2, held.dtype)])
+    held[n : n + more.size] = more
+    return held
+
+
+class Table:
+    """Byte strings with their token ids by hash; strings of one hash need not be equal, so that bytes are compared."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.n, self.slots = 0, np.full(1 << 12, -1, np.int32)
+        self.hash, self.again = np.zeros(1, np.uint64), np.zeros(1, bool)
+        self.letters, self.letters_at = np.zeros(8, np.uint8), np.zeros(1, np.int32)
+        self.ids, self.ids_at = np.zeros(0, kind), np.zeros(1, np.int32)
+
+    def _settle(self, place: np.ndarray) -> None:
+        last = self.slots.size - 1
+        at = (self.hash[place] & np.uint64(last)).astype(np.int64)
+        while place.size:
+            free = self.slots[at] < 0
+            self.slots[at[free]] = place[free]
+            go = self.slots[at] != place
+            place, at = place[go], (at[go] + 1) & last
+
+    def add(self, hashes: np.ndarray, letters: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Strings one after another, of new hashes, with their sizes, and so their ids."""
+        n, m = self.n, self.n + hashes.size
+        self.hash, self.again = put(self.hash, n, hashes), put(self.again, n, np.zeros(hashes.size, bool))
+        self.letters = put(self.letters, int(self.letters_at[n]), np.append(letters, np.zeros(8, np.uint8)))
+        self.letters_at = put(self.letters_at, n + 1, self.letters_at[n] + np.cumsum(size, dtype=np.int32))
+        self.ids = put(self.ids, int(self.ids_at[n]), ids)
+        self.ids_at = put(self.ids_at, n + 1, self.ids_at[n] + np.cumsum(count, dtype=np.int32))
+        self.n, start = m, n
+        if 2 * m > self.slots.size:
+            start, self.slots = 0, np.full(1 << (2 * m).bit_length(), -1, np.int32)
+        self._settle(np.arange(start, m, dtype=np.int32))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of the string of each hash, or -1."""
+        last = self.slots.size - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        out = self.slots.take(at)
+        todo = np.flatnonzero((self.hash.take(out) != hashes) & (out >= 0))
+        while todo.size:
+            at[todo] = (at[todo] + 1) & last
+            place = out[todo] = self.slots.take(at[todo])
+            todo = todo[(self.hash.take(place) != hashes[todo]) & (place >= 0)]
+        return out
+
+    def unlike(self, place: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which strings of ``data``, which ends with eight bytes more, are not those at their places; no place is unlike."""
+        begin = self.letters_at.take(place).astype(np.int64)
+        out = (place < 0) | (self.letters_at.take(place + 1) - begin != size)
+        held, given = eights(self.letters), eights(data)
+        todo, k = np.flatnonzero(~out), 0
+        while todo.size:
+            differ = held[begin[todo] + k] ^ given[start[todo] + k]
+            out[todo[differ & _BITS.take(np.minimum(size[todo] - k, 8)) != 0]] = True
+            k += 8
+            todo = todo[size[todo] > k]
+        return out
+
+    def full(self, n: int) -> bool:
+        """Whether there are more than ``n`` strings, or more than 16 bytes for each of so many."""
+        return self.n > n or self.letters_at[self.n] > 16 * n
+
+    def met_again(self) -> Table:
+        """The strings that were marked in ``again``; none if these are most of them."""
+        made, keep = Table(self.ids.dtype), np.flatnonzero(self.again[: self.n])
+        size, count = self.letters_at[keep + 1] - self.letters_at[keep], self.count(keep)
+        if 2 * keep.size < self.n and 2 * size.sum() < self.letters_at[self.n]:
+            made.add(self.hash[keep], gathered(self.letters, self.letters_at[keep], size), size, gathered(self.ids, self.ids_at[keep], count), count)
+        return made
+
+    def count(self, place: np.ndarray) -> np.ndarray:
+        return self.ids_at.take(place + 1) - self.ids_at.take(place)
 
 
 class Encoder:
     """Encodes with the tokenizer, each distinct word and piece once while it is remembered.
 
     Words after a space are found in a table by hash, and their bytes are compared; ids are gathered for many texts at once.
-    New words are cut where the vocabulary's own splitting cuts them, and only pieces that are new are encoded. These
-    are kept in two generations of bounded size: those met again move to the new one, and when that is full the old one is dropped.
+    New words are cut where the vocabulary's own splitting cuts them, their pieces are found in a second table in the same way, and
+    only pieces that are new are encoded, many in one call. A table of words that is full is gathered anew, one of pieces keeps those
+    that were met again.
     """
 
     def __init__(self, path: str) -> None:
@@ -98,46 +217,59 @@ class Encoder:
         # A token's characters stand for one byte each.
         self.length = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2" if self.length.size <= 1 << 16 else "<i4")
+        self.pieces = Table(self.kind)
         self.other: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """An empty table: ascending hashes and the place of each one's word; letters and ids of words by place."""
-        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.letters, self.letters_at = np.zeros(0, np.uint8), np.zeros(1, np.int32)
-        self.ids, self.ids_at = np.zeros(0, "<i4"), np.zeros(1, np.int32)
+        """An empty table of words."""
+        self.words = Table(self.kind)
+
+    @property
+    def hash(self) -> np.ndarray:
+        """The hashes of the words that are remembered."""
+        return self.words.hash[: self.words.n]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joint(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words after a mark that they do not hold, and where each one's end: many are encoded in one text, and the tokens' lengths tell."""
-        if not words:
-            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
-        texts = [mark + mark.join(words[i : i + 50]) for i in range(0, len(words), 50)]
-        ids = np.concatenate(self._encode(texts))
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
-        ends = np.append(np.flatnonzero(data == ord(mark))[1:], data.size)
-        return ids, np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
-
-    def _meet(self, found: set[str]) -> None:
-        """Put pieces into the young generation."""
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        todo = [p for p in found if p not in self.young]
-        self.young.update((p, self.old[p]) for p in todo if p in self.old)
-        todo = [p for p in todo if p not in self.old]
-        after = [p for p in todo if p[0] == " "]
-        inside = [p for p in todo if p[0] != " " and p[0] != "\n"]
-        # A line feed before another character is a token of its own, left out here.
-        for own, words, mark, skip in ((after, [p[1:] for p in after], " ", 0), (inside, inside, "\n", 4)):
-            ids, ends = self._joint(words, mark)
-            data, ends = ids.tobytes(), (4 * ends).tolist()
-            self.young.update(zip(own, [data[i + skip : j] for i, j in zip([0, *ends], ends)]))
-        lines = [p for p in todo if p[0] == "\n"]
-        self.young.update(zip(lines, [x.tobytes() for x in self._encode(lines)]))
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joint(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings after a mark, in the place of the byte before each, and how many each has with its mark: many are encoded in
+        one text, and the tokens' lengths tell."""
+        if not start.size:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        joined, ends = gathered(data, start - 1, size + 1), np.cumsum(size + 1)
+        joined[ends - size - 1] = mark
+        text, at = joined.tobytes(), [0, *ends[JOINT - 1 : -1 : JOINT].tolist(), int(ends[-1])]
+        ids = np.concatenate(self._encode([text[i:j].decode() for i, j in zip(at, at[1:])]))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.length[ids]), ends) + 1, prepend=0)
+
+    def _meet(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The place of each piece in the table of pieces, into which new ones are put; -1 for those that share a hash with another."""
+        if self.pieces.full(CACHE_PIECES):
+            self.pieces = self.pieces.met_again()
+        hashes = B.mix(B.span_hash(B.prefix_sums(text), start, start + size))
+        place = self.pieces.find(hashes)
+        self.pieces.again[place[place >= 0]] = True
+        miss = np.flatnonzero(place < 0)
+        if miss.size:
+            new = miss[np.unique(hashes[miss], return_index=True)[1]]
+            begin = text[start[new]]
+            after, line = begin == 0x20, begin == 0x0A
+            after, inside, lines = new[after], new[~after & ~line], new[line]
+            ids, count = self._joint(text, start[after] + 1, size[after] - 1, 0x20)
+            # A line feed before another character is a token of its own, left out here.
+            own, more = self._joint(text, start[inside], size[inside], 0x0A)
+            if inside.size:
+                own = np.delete(own, np.cumsum(more) - more)
+            feeds = self._encode(["\n" * n for n in size[lines].tolist()])
+            order = np.concatenate([after, inside, lines])
+            self.pieces.add(hashes[order], gathered(text, start[order], size[order]), size[order], np.concatenate([ids, own, *feeds]),
+                            np.concatenate([count, more - 1, np.array([x.size for x in feeds], np.int64)]))
+            place[miss] = self.pieces.find(hashes[miss])
+        place[self.pieces.unlike(place, np.append(text, np.zeros(8, np.uint8)), start, size)] = -1
+        return place
 
     def _learn(self, buf: np.ndarray, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of words that stand after a space, and in that order their ids and how many each has."""
@@ -150,26 +282,27 @@ class Encoder:
                 i = data.find(content, i + 1)
         uncut = np.add.reduceat(gathered(strange, start, size), np.cumsum(size) - size, dtype=np.int64) > 0
         uncut |= (buf[start] == 0x0A) | (buf[start + size - 1] == 0x0A)
-        cut, whole = np.flatnonzero(~uncut), np.flatnonzero(uncut)
-        # Each word with the byte before it, a space.
-        found = _PIECE.findall(gathered(buf, start[cut] - 1, size[cut] + 1).tobytes().decode())
-        self._meet(set(found))
-        found_ids = list(map(self.young.__getitem__, found))
-        sizes = np.fromiter(map(len, found_ids), np.int64, len(found)) // 4
-        if found:
-            sizes = np.add.reduceat(sizes, np.flatnonzero([p[0] == " " for p in found]))
-        words = [data[i : i + n].decode() for i, n in zip(start[whole].tolist(), size[whole].tolist())]
-        last = np.array([w[-1].isspace() for w in words], bool)
-        ids, ends = self._joint([w for w in words if not w[-1].isspace()], " ")
-        more = [self._encode([" " + w])[0] for w in words if w[-1].isspace()]
-        return (np.concatenate([cut, whole[~last], whole[last]]),
-                np.concatenate([np.frombuffer(b"".join(found_ids), "<i4"), ids, *more]),
-                np.concatenate([sizes, np.diff(ends, prepend=0), np.array([x.size for x in more], np.int64)]))
-
-    def _rest(self, piece: str) -> bytes:
-        if piece not in self.other:
-            self.other[piece] = self._encode([piece])[0].tobytes()
-        return self.other[piece]
+        cut = np.flatnonzero(~uncut)
+        own, sizes = np.zeros(0, self.kind), np.zeros(0, np.int64)
+        if cut.size:
+            # Each word with the byte before it, a space.
+            text = gathered(buf, start[cut] - 1, size[cut] + 1)
+            at = cuts(text)
+            place = self._meet(text, at, np.diff(at, append=text.size))
+            word = np.cumsum(text[at] == 0x20) - 1
+            lost = np.zeros(cut.size, bool)
+            lost[word[place < 0]] = True
+            uncut[cut[lost]] = True
+            cut, place, word = cut[~lost], place[~lost[word]], word[~lost[word]]
+            count = self.pieces.count(place)
+            own = gathered(self.pieces.ids, self.pieces.ids_at[place], count)
+            sizes = np.bincount(word, count, lost.size).astype(np.int64)[~lost]
+        whole = np.flatnonzero(uncut)
+        last = np.array([data[i : i + n].decode()[-1].isspace() for i, n in zip(start[whole].tolist(), size[whole].tolist())], bool)
+        ids, count = self._joint(buf, start[whole[~last]], size[whole[~last]], 0x20)
+        more = self._encode([data[i - 1 : i + n].decode() for i, n in zip(start[whole[last]].tolist(), size[whole[last]].tolist())])
+        return (np.concatenate([cut, whole[~last], whole[last]]), np.concatenate([own, ids, *more]),
+                np.concatenate([sizes, count, np.array([x.size for x in more], np.int64)]))
 
     def _wide(self, buf: np.ndarray, at: np.ndarray, data: bytes) -> dict[int, str]:
         """The texts that have white space next to a space, by row."""
@@ -186,32 +319,19 @@ class Encoder:
 
     def _places(self, buf: np.ndarray, data: bytes, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The place of each word, which stands after a space; -1 for those that are not in the table."""
-        if self.hash.size > CACHE_WORDS or self.letters.size > 16 * CACHE_WORDS:
+        if self.words.full(CACHE_WORDS):
             self._forget()
-        met, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        lo, hi = np.searchsorted(self.hash, met, "left"), np.searchsorted(self.hash, met, "right")
-        new = np.flatnonzero((lo == hi) & (size[first] <= LONG_WORD))
-        if new.size:
-            own = first[new]
-            order, ids, sizes = self._learn(buf, data, start[own], size[own])
-            place = np.empty(new.size, np.int32)
-            place[order] = self.place.size + np.arange(new.size)
-            self.hash, self.place = np.insert(self.hash, lo[new], met[new]), np.insert(self.place, lo[new], place)
-            own = own[order]
-            self.letters = np.concatenate([self.letters, gathered(buf, start[own], size[own])])
-            self.letters_at = np.concatenate([self.letters_at, self.letters_at[-1] + np.cumsum(size[own], dtype=np.int32)])
-            self.ids, self.ids_at = np.concatenate([self.ids, ids]), np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(sizes, dtype=np.int32)])
-            lo, hi = np.searchsorted(self.hash, met, "left"), np.searchsorted(self.hash, met, "right")
-        at = np.full(met.size, -1)
-        at[lo < hi] = self.place[lo[lo < hi]]
-        at = at[which]
-        # Words of one hash need not be one word.
-        at[(at >= 0) & (self.letters_at[at + 1] - self.letters_at[at] != size)] = -1
-        held = np.flatnonzero(at >= 0)
-        n = size[held]
-        unlike = np.flatnonzero(gathered(self.letters, self.letters_at[at[held]], n) != gathered(buf, start[held], n))
-        at[held[np.searchsorted(np.cumsum(n), unlike, "right")]] = -1
-        return at
+        place = self.words.find(hashes)
+        miss = np.flatnonzero((place < 0) & (size <= LONG_WORD))
+        if miss.size:
+            new = miss[np.unique(hashes[miss], return_index=True)[1]]
+            for own in np.split(new, np.flatnonzero(np.diff(np.cumsum(size[new]) // B.BLOCK)) + 1):
+                order, ids, count = self._learn(buf, data, start[own], size[own])
+                own = own[order]
+                self.words.add(hashes[own], gathered(buf, start[own], size[own]), size[own], ids, count)
+            place[miss] = self.words.find(hashes[miss])
+        place[self.words.unlike(place, np.append(buf, np.zeros(8, np.uint8)), start, size)] = -1
+        return place
 
     def column(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text, the end id last; null text has only that."""
@@ -230,20 +350,24 @@ class Encoder:
         # Units in order: what each text begins with, its words after a space, its end.
         first = np.searchsorted(row, np.arange(n + 1)) + 2 * np.arange(n + 1)
         unit, size_of = np.zeros(first[-1], np.int64), np.ones(first[-1], np.int64)
-        words = np.arange(row.size) + 2 * row + 1
-        unit[words], size_of[words] = 1 + self.ids_at[place], self.ids_at[place + 1] - self.ids_at[place]
-        odd, more = first[:-1].tolist(), []
-        for r, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist())):
-            own = pieces(wide[r]) if r in wide else [data[i : w.end[w.first[r]]].decode()] if i < j else []
-            more.append(b"".join(map(self._rest, own)))
-        for x in np.flatnonzero(place < 0).tolist():
-            odd.append(words[x])
-            more.append(self._encode([" " + data[start[x] : start[x] + size[x]].decode()])[0].tobytes())
-        sizes = np.array([len(x) // 4 for x in more], np.int64)
-        unit[odd], size_of[odd] = 1 + self.ids.size + np.cumsum(sizes) - sizes, sizes
-        pool = np.concatenate([np.array([END_ID], "<i4"), self.ids, np.frombuffer(b"".join(more), "<i4")])
+        units = np.arange(row.size) + 2 * row + 1
+        unit[units], size_of[units] = self.words.ids_at[place], self.words.count(place)
+        begin = [pieces(wide[r]) if r in wide else [data[i : w.end[w.first[r]]].decode()] if i < j else []
+                 for r, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist()))]
+        lost = np.flatnonzero(place < 0)
+        alone = [data[i - 1 : i + k].decode() for i, k in zip(start[lost].tolist(), size[lost].tolist())]
+        new = list({p for own in begin for p in own if p not in self.other})
+        encoded = self._encode(new + alone)
+        self.other.update((p, x.tobytes()) for p, x in zip(new, encoded))
+        more = [b"".join(map(self.other.__getitem__, own)) for own in begin] + [x.tobytes() for x in encoded[len(new) :]]
+        odd, sizes = np.concatenate([first[:-1], units[lost]]), np.array([len(x) // self.kind.itemsize for x in more], np.int64)
+        # Behind the words' ids come the end id and the others, for this time.
+        held = int(self.words.ids_at[self.words.n])
+        self.words.ids = put(self.words.ids, held, np.frombuffer(np.array([END_ID], self.kind).tobytes() + b"".join(more), self.kind))
+        unit[first[1:] - 1] = held
+        unit[odd], size_of[odd] = held + 1 + np.cumsum(sizes) - sizes, sizes
         ends = np.concatenate([[0], np.cumsum(size_of)])[first]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gathered(pool, unit, size_of)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gathered(self.words.ids, unit, size_of).astype("<i4")))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""

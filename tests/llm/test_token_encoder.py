@@ -63,3 +63,54 @@ def test_full_tables_start_anew(made, monkeypatch):
     for seed in range(20, 40):
         same(made, texts(seed, 20))
     assert made.hash.size < 400
+
+
+def test_new_beginnings_and_words_take_few_calls(made):
+    some = [f"{a}{b} x{b}{a} 中{a}{b}" for a in "abcdefghijklmnopqrst" for b in "uvwxyzUVWXYZ"]
+    calls, encode = [], made._encode
+    made._encode = lambda x: calls.append(len(x)) or encode(x)
+    ids = made(some)
+    made._encode = encode
+    assert len(calls) < 10
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in ids] == [made.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_pieces_met_again_outlive_a_full_table(made, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 60)
+    made(["a alpha,beta"])
+    for i in range(8):
+        made._forget()
+        made([f"a alpha,beta {' '.join(f'x{c}{d}' for c in 'abcdefgh'[i] for d in 'abcdefghijklmnopqrstuvwxyz')}"])
+    assert made.pieces.n < 120
+    passed, encode = [], made._encode
+    made._encode = lambda some: passed.extend(some) or encode(some)
+    made._forget()
+    made(["a alpha,beta beta,alpha".rsplit(" ", 1)[0]])
+    assert not passed
+
+
+def test_pieces_of_one_hash(made, monkeypatch):
+    plain = token_files.B.span_hash
+    monkeypatch.setattr(token_files.B, "span_hash", lambda *args: plain(*args) & np.uint64(7))
+    same(made, ["the cat, and: the dog's are here; there", "'s a's's b'', c're, d'r e'st f\n'll g\n\n'd h\n\n\ni j'", *texts(11, 200)])
+    assert made.pieces.n <= 8
+
+
+def test_words_are_cut_as_the_vocabulary_cuts_them(made):
+    rng = random.Random(3)
+    for _ in range(300):
+        some = ["".join(rng.choices(["a", "s", "re", "ll", "'", "'", ",", "1", "\n", "\n", "é", "t"], k=rng.randint(1, 9))).strip("\n") for _ in range(30)]
+        same(made, ["x " + " ".join(w for w in some if w)])
+
+
+def test_long_words_are_compared_to_their_end(made, monkeypatch):
+    plain = token_files.B.words
+
+    def by_length(*args, **more):
+        w = plain(*args, **more)
+        w.hash = (w.end - w.start).astype(np.uint64)
+        return w
+
+    monkeypatch.setattr(token_files.B, "words", by_length)
+    stem = "abcdefghijklmnopqrstuvwxyz"
+    same(made, [f"x {stem[:n]}Q {stem[:n]}Z {'Q' + stem[:n]} {stem[:n]}Q" for n in range(26)])
