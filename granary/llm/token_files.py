@@ -8,6 +8,7 @@ ids and counts are delta-encoded (format version 2). Lengths and starts are read
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import zlib
@@ -85,6 +86,13 @@ _SHORT, _LONG = np.isin(np.arange(256), list(b"stmd")), [b"re", b"ve", b"ll"]
 _BITS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: it else keeps what the arrays of slices took."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The spans of ``pool`` one after another."""
     end = np.cumsum(size)
@@ -388,10 +396,13 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path)
-        for batch in batches:
-            for part in B.slices(batch, "text", 1 << 19):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), made.column(part.column("text"))], ["doc_id", "ids"])
-        made._forget()  # a worker keeps its pieces; other stages use it too
+        try:
+            for batch in batches:
+                for part in B.slices(batch, "text", 1 << 19):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), made.column(part.column("text"))], ["doc_id", "ids"])
+        finally:  # a worker keeps its pieces; other stages use it too
+            made._forget()
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

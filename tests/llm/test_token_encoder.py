@@ -114,3 +114,15 @@ def test_long_words_are_compared_to_their_end(made, monkeypatch):
     monkeypatch.setattr(token_files.B, "words", by_length)
     stem = "abcdefghijklmnopqrstuvwxyz"
     same(made, [f"x {stem[:n]}Q {stem[:n]}Z {'Q' + stem[:n]} {stem[:n]}Q" for n in range(26)])
+
+
+def test_freed_memory_is_given_back():
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("VmRSS"))
+
+    some = [bytes(2000) for _ in range(50_000)]
+    last, some = some[-1], None
+    before = held()
+    token_files.give_back()
+    assert last and before - held() > 50_000
